@@ -15,8 +15,9 @@ table gives an empty mix. Extra columns are kept; ``copy`` and ``position`` are
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,8 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 def thresholds(mean: float) -> list[float]:
     """The distribution's function at 0, 1, 2 ... up to where a 52-bit number can't lie above it."""
+    if mean <= 0:
+        return []
     out, term, total = [], math.exp(-mean), 0.0
     while total < 1 - 2.0**-52 and len(out) < 128:
         total += term
@@ -60,24 +63,29 @@ def thresholds(mean: float) -> list[float]:
 
 
 def copies(by_source: Mapping[str, float], u: Column, source_col: str = "source") -> Column:
-    """The least k whose distribution function lies above u: how many thresholds are at most u."""
+    """The least k whose distribution function lies above u: how many of the source's thresholds are at most u."""
+    whole, steps = (_by_source(by_source, x, source_col) for x in (_whole, lambda mean: F.from_json(F.lit(json.dumps(thresholds(mean - _least(mean)))), "array<double>")))
+    below = F.transform(F.array(u), lambda v: F.size(F.filter(steps, lambda t: t <= v)))  # so that u is evaluated once
+    return F.get(below, 0) + whole
+
+
+def _least(mean: float) -> int:
+    return max(0, math.ceil(mean - _MOST_MEAN))
+
+
+def _whole(mean: float) -> Column:
+    return F.lit(_least(mean))
+
+
+def _by_source(by_source: Mapping[str, float], make: Callable[[float], Column], source_col: str) -> Column:
     found = None
     for source, rate in sorted(by_source.items()):
-        if source == "*":
-            continue
-        found = (F.when if found is None else found.when)(F.col(source_col) == source, _inverse(rate, u))
-    rest = _inverse(by_source.get("*", 0.0), u)
+        if source != "*":
+            found = (F.when if found is None else found.when)(F.col(source_col) == source, make(rate))
+    rest = make(by_source.get("*", 0.0))
     return rest if found is None else found.otherwise(rest)
 
 
-def _inverse(mean: float, u: Column) -> Column:
-    whole = max(0, math.ceil(mean - _MOST_MEAN))
-    out = None
-    for k, t in enumerate(thresholds(mean - whole) if mean > 0 else [1.0]):
-        out = (F.when if out is None else out.when)(u < t, F.lit(whole + k))
-    return out.otherwise(F.lit(whole + k))
-
-
 def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", by_source: Mapping[str, float] | None = None) -> DataFrame:
     """The documents' columns, copy (from 0) and position (the hash that orders the output)."""
     by_source = by_source if by_source is not None else rates(docs, weights, source_col, text_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, mixing, oracles, quality, token_files, url_filter
+from pagewright.llm import bpe, embed_dedup, mixing, oracles, quality, token_files, url_filter
 from pagewright.llm.common import table
 
 
@@ -26,13 +26,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_byte_bpe, op8_url_filter, op10_token_files)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op6_byte_bpe, op8_url_filter, op9_embedding_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.QUALITY_RULES}
+    return {"op1_mix_sources": oracles.MIX_SOURCES, "op2_quality_rules": oracles.QUALITY_RULES}
