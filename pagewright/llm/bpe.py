@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import let_workers_import, text_or_empty
-from pagewright.llm.pieces import PieceStore, find_pieces
+from pagewright.llm.pieces import PieceStore, cut, slices, text_buffer
 
 #: Widths of the buckets, in bytes. Longer pieces take the heap.
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
@@ -163,14 +163,38 @@ class ByteBpe:
         return [t for t in tokens if t >= 0]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_pieces([x.encode() for x in find_pieces(text)]) for i in ids]
+        data, offsets = text_buffer(pa.array([text]))
+        start, whole = cut(data, offsets).tolist(), data.tobytes()
+        return [i for ids in self.encode_pieces([whole[a:b] for a, b in zip(start, [*start[1:], int(offsets[-1])], strict=False)]) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class _Known:
+    """What the pieces of a store became: ids, their decimal print, and the bytes that they decode to."""
+
+    def __init__(self, path: str) -> None:
+        self.coder = coder(path)
+        self.forget()
+        self.store = PieceStore(self.learn, self.forget)
+
+    def forget(self) -> None:
+        self.ids: list[list[int]] = []
+        self.printed: list[bytes] = []
+        self.decoded: list[bytes] = []
+        self.counts = np.zeros(0, np.int64)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        ids = self.coder.encode_pieces(pieces)
+        self.ids += ids
+        self.printed += [",".join(map(str, x)).encode() for x in ids]
+        self.decoded += map(self.coder.decode, ids)
+        self.counts = np.concatenate([self.counts, np.fromiter(map(len, ids), np.int64, len(ids))])
+
+
 _coders: dict[str, ByteBpe] = {}
-_stores: dict[str, PieceStore] = {}
+_stores: dict[str, _Known] = {}
 
 
 def coder(path: str) -> ByteBpe:
@@ -180,15 +204,9 @@ def coder(path: str) -> ByteBpe:
     return _coders[path]
 
 
-def _store(path: str) -> PieceStore:
+def _known(path: str) -> _Known:
     if path not in _stores:
-        own = coder(path)
-
-        def make(pieces: list[str]) -> tuple[list, ...]:
-            ids = own.encode_pieces([x.encode() for x in pieces])
-            return ids, [",".join(map(str, x)).encode() for x in ids], [own.decode(x) for x in ids]
-
-        _stores[path] = PieceStore(make)
+        _stores[path] = _Known(path)
     return _stores[path]
 
 
@@ -196,22 +214,19 @@ _DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("d
 
 
 def _digest_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store = _store(path)
+    known = _known(path)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        rows = []
-        for at in range(0, len(texts), 256):
-            found = [find_pieces(x) for x in texts[at : at + 256]]
-            store.learn(found)
-            if any(found):
-                ids, printed, decoded = (x.__getitem__ for x in store.fields)
-            for pieces in found:
-                if not pieces:
-                    rows.append((0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()))
-                    continue
-                numbers = list(map(store.number.__getitem__, pieces))
-                rows.append((sum(map(len, map(ids, numbers))), hashlib.sha256(b",".join(map(printed, numbers))).hexdigest(), hashlib.sha256(b"".join(map(decoded, numbers))).hexdigest()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, _DIGESTS, strict=True))], names=["doc_id", *_DIGESTS.names])
+        counts, ids, texts = [], [], []
+        for part in slices(batch.column(1)):
+            numbers, bounds = known.store.numbers(part)
+            before = np.concatenate([[0], np.cumsum(known.counts[numbers])])
+            counts += np.diff(before[bounds]).tolist()
+            each, bounds = numbers.tolist(), bounds.tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                own = each[a:b]
+                ids.append(hashlib.sha256(b",".join(map(known.printed.__getitem__, own))).hexdigest())
+                texts.append(hashlib.sha256(b"".join(map(known.decoded.__getitem__, own))).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t.type) for x, t in zip((counts, ids, texts), _DIGESTS, strict=True))], names=["doc_id", *_DIGESTS.names])
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,14 +239,14 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
 
 def _token_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    store = _store(path)
+    known = _known(path)
     for batch in batches:
         out = []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            pieces = find_pieces(text)
-            store.learn([pieces])
-            out.append([i for x in pieces for i in store.fields[0][store.number[x]]])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "ids"])
+        for part in slices(batch.column(1)):
+            numbers, bounds = known.store.numbers(part)
+            each, bounds = numbers.tolist(), bounds.tolist()
+            out += [[i for x in each[a:b] for i in known.ids[x]] for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

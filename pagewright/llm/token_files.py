@@ -25,25 +25,28 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import let_workers_import, scratch_path, shuffle_partitions, text_or_empty
-from pagewright.llm.pieces import find_pieces
+from pagewright.llm.pieces import PieceStore, Ragged, slices
 
 #: Distinct pieces that a worker remembers at most; then it starts anew.
 MOST_PIECES = 1_000_000
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, as bytes. The library sees each distinct piece once, since its byte-level
-    pre-tokenizer cuts a text into the same pieces and encodes each by itself."""
+    """Ids of whole texts by the tokenizers library, which sees each distinct piece once: its byte-level pre-tokenizer cuts a text into
+    pieces and encodes each by itself. Texts with a special token's string go to the library whole, and so do all texts
+    where the file's pre-tokenizer is another one."""
 
     def __init__(self, path: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,27 +58,47 @@ class LibraryEncoder:
         form = own["pre_tokenizer"] or {}
         self.by_pieces = form.get("type") == "ByteLevel" and form.get("use_regex") and not form.get("add_prefix_space") and not own["normalizer"]
         self.special = [t["content"] for t in own["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_pieces:
-            return self._direct(texts)
-        found = [find_pieces(x) for x in texts]
-        seen = set().union(*found)
-        new = [x for x in seen if x not in self.known]
-        if len(self.known) + len(new) > MOST_PIECES:
-            self.known, new = {}, list(seen)
-        if new:
-            self.known.update(zip(new, self._direct(new), strict=True))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, x)) for x in found]
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = self._direct([text])[0]
-        return out
+        self.known = Ragged(self.kind)
+        self.store = PieceStore(self._learn, self._forget, MOST_PIECES)
+
+    def _forget(self) -> None:
+        self.known = Ragged(self.kind)
+
+    def _direct(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces in one text of the library, with a line feed between them, are encoded apart: a line feed is a piece of its own there,
+        as white space before the space or the other mark that a piece begins with. Pieces with white space beyond one leading space go by themselves."""
+        texts = [x.decode() for x in pieces]
+        ids: list[list[int]] = [[]] * len(texts)
+        plain = [i for i, x in enumerate(texts) if not any(map(str.isspace, x[1:] if x[0] == " " and len(x) > 1 else x))]
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            made = np.array(self._direct(["\n".join(texts[i] for i in some)])[0], np.int64)
+            ends = np.append(np.flatnonzero(made == self.line_feed), len(made))
+            if len(ends) != len(some):
+                raise AssertionError("a piece was not encoded apart")
+            flat, start = made.tolist(), 0
+            for i, end in zip(some, ends.tolist(), strict=True):
+                ids[i], start = flat[start:end], end + 1
+        rest = sorted(set(range(len(texts))) - set(plain))
+        for i, own in zip(rest, self._direct([texts[i] for i in rest]), strict=True):
+            ids[i] = own
+        self.known.extend(np.array([t for x in ids for t in x]), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    @cached_property
+    def line_feed(self) -> int:
+        return self._direct(["\n"])[0][0]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's begin (and the end)."""
+        if self.by_pieces and not any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            numbers, bounds = self.store.numbers(texts)
+            ids, ends = self.known.take(numbers)
+            return ids, ends[bounds]
+        ids = self._direct(texts.to_pylist())
+        return np.array([t for x in ids for t in x], self.kind), np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
 
 
 _encoders: dict[tuple[str, int], LibraryEncoder] = {}
@@ -97,7 +120,7 @@ def _local(folder: str) -> str:
 
 def _write(folder: str, path: str, width: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    encode, end = _encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
+    encode = _encoder(path, width)
     name, own = f"part-{part:05d}", f".{uuid.uuid4().hex}"
     sizes, ids, nulls = [np.zeros(1, np.int64)], [], []
     with open(f"{folder}/{name}.bin{own}", "wb") as out:
@@ -105,11 +128,10 @@ def _write(folder: str, path: str, width: int, end_id: int, batches: Iterator[pa
             column = batch.column(0)
             ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             nulls.append(column.is_null().to_numpy(zero_copy_only=False).astype("u1"))
-            texts = batch.column(1)
-            for at in range(0, len(texts), 512):
-                made = [x + end for x in encode(texts.slice(at, 512).to_pylist())]
-                sizes.append(np.fromiter(map(len, made), np.int64, len(made)) // width)
-                out.write(b"".join(made))
+            for texts in slices(batch.column(1)):
+                made, bounds = encode(texts)
+                sizes.append(np.diff(bounds) + 1)
+                out.write(np.insert(made, bounds[1:], end_id).astype(f"<u{width}").tobytes())
     offsets = np.cumsum(np.concatenate(sizes)).astype("<i8")
     n = len(offsets) - 1
     if n:

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from pagewright.llm import token_files
@@ -34,3 +36,27 @@ def test_files_hold_what_the_library_gives(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     files = token_files.write(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none")
     assert files.parts == [] and token_files.read(spark, files).count() == 0
+
+
+def test_pieces_give_what_whole_texts_give():
+    rng = random.Random(4)
+    marks = [" ", " ", " ", "\n", "\t", "\x85", "\u00a0", "\u3000", "\x1c", "a", "Word", "it's", "'ll", "'", "'re", ".", "12", "²", "é", "<|endoftext|>", "<|endof", "text|>", "日本", "--", "\u0301"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(12))) for _ in range(4000)] + ["", " ", "a ", " a", "a  b", "a \nb"]
+    texts += ["".join(chr(c) for _ in range(40) if not 0xD800 <= (c := rng.randrange(0x30000)) < 0xE000) for _ in range(800)]
+    own = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert own.by_pieces
+    for text in (*texts[::50], *(x for x in texts if "<|endoftext|>" not in x)):
+        ids, bounds = own(pa.array([text]))
+        assert ids.tolist() == own.library.encode(text, add_special_tokens=False).ids, text
+        assert bounds.tolist() == [0, len(ids)]
+    ids, bounds = own(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_a_small_store_starts_anew(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_PIECES", 50)
+    own = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    for at in range(0, 400, 40):
+        texts = [f"word{at + i} and more{i}" for i in range(40)]
+        ids, bounds = own(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.library.encode(x, add_special_tokens=False).ids for x in texts]
