@@ -196,8 +196,9 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     every = base.filter(F.octet_length(_TEXT) >= LENGTH).select(_TEXT, _CLASS, _CHECK).mapInArrow(_anchor_batches, f"key long, snip long, {_CLASS} long, at long")
     twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     seen = every.join(twice.hint("shuffle_hash"), "key")
-    # any occurrence can stand for its snippet; both columns come from the same row
-    snippets = seen.groupBy("key", "snip").agg(F.count("*").alias("copies"), F.first(_CLASS).alias(_CLASS), F.first("at").alias("at"))
+    # Any occurrence can stand for its snippet; both columns come from the same row. The filter keeps all rows: with it, every use of
+    # the snippets reads all columns, so that Spark makes the anchors' exchange once and reuses it.
+    snippets = seen.groupBy("key", "snip").agg(F.count("*").alias("copies"), F.first(_CLASS).alias(_CLASS), F.first("at").alias("at")).filter(F.col(_CLASS).isNotNull() & F.col("at").isNotNull())
     kinds = snippets.groupBy("key").agg(F.count("*").alias("kinds"))
     sorted_out = snippets.join(kinds.hint("shuffle_hash"), "key")
     all_equal = sorted_out.filter("kinds = 1").select("key", "snip", F.lit(WINDOWS).cast("long").alias("run"))
