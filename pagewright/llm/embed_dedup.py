@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import let_workers_import
-from pagewright.llm.tiles import candidate_groups, link_items
+from pagewright.llm.tiles import candidate_groups, link_rows, sized
 
 K = 12
 WIDTH = 0.8
@@ -95,7 +95,8 @@ def links(rows: DataFrame, cosine: float = COSINE, k: int = K, width: float = WI
     named = good.withColumns({"item": F.xxhash64("label", "vector"), "item2": F.xxhash64(F.lit("second"), "label", "vector")})
     items = named.groupBy("item", "item2", "label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     keys = items.select("item", "label", "vector").mapInArrow(lambda batches: _key_batches(seed, k, width, tables, batches), "item long, key long")
-    found = link_items(items.drop("least"), candidate_groups(keys), ["label", "vector"], cosine_linker(cosine))
+    rows = items.drop("least").join(sized(candidate_groups(keys)), "item")
+    found = link_rows(rows, ["label", "vector"], cosine_linker(cosine))
     whole = items.select("item", "item2", "copies", "least").join(found, ["item", "item2"], "left")
     rooted = whole.select("item", "item2", "least", F.coalesce("root", "item").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     parts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

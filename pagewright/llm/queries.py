@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, embed_dedup, mixing, oracles, quality, suffix_dedup, token_files, url_filter
+from pagewright.llm import bpe, embed_dedup, jaccard, mixing, oracles, quality, suffix_dedup, token_files, toxicity, url_filter
 from pagewright.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_suffix_dedup, op6_byte_bpe, op8_url_filter, op9_embedding_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_suffix_dedup, op4_toxicity, op5_ngram_jaccard, op6_byte_bpe, op8_url_filter, op9_embedding_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

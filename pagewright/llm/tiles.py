@@ -69,9 +69,17 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
+def _once(tile: pa.Table) -> pa.Table:
+    """Without rows that repeat an item."""
+    ids = np.column_stack([tile.column(i).to_numpy() for i in (5, 6)])
+    first = np.unique(ids, axis=0, return_index=True)[1] if len(ids) > 1 else np.arange(len(ids))
+    return tile if len(first) == len(ids) else tile.take(pa.array(np.sort(first)))
+
+
 def _tiles(link: Linker, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: tile key (3), g, blk, item, item2, copies, payload. Out: item, item2, g, links, hub, hub2."""
+    """Columns: tile key (3), g, blk, item, item2, copies, payload. Out: item, item2, g, links,; hub2 completes hub."""
     for tile in groups_of(batches, 3):
+        tile = _once(tile)
         g, blk, item, item2, copies = (tile.column(i).to_numpy() for i in range(3, 8))
         low, high = tile.column(1)[0].as_py(), tile.column(2)[0].as_py()
         first = np.flatnonzero(blk == low)
@@ -82,20 +90,23 @@ def _tiles(link: Linker, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (item, item2, g, links.astype(np.int64), item[root], item2[root])], names=["item", "item2", "g", "links", "hub", "hub2"])
 
 
-def link_items(items: DataFrame, groups: DataFrame, payload: list[str], link: Linker, block: int = BLOCK) -> DataFrame:
-    """items: item, item2 (two longs that identify an item; groups know the first), copies, payload columns.
+def sized(groups: DataFrame, block: int | None = None) -> DataFrame:
+    """groups: item, grp. (item, grp, g): g blocks of about ``block`` items for each group of more than one item."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
+    return groups.join(sizes, "grp").select("item", "grp", F.ceil(F.col("n") / (block or BLOCK)).cast("int").alias("g"))
+
+
+def link_rows(rows: DataFrame, payload: list[str], link: Linker) -> DataFrame:
+    """rows: item, item2 (two longs that identify an item; its group is by the first), copies, grp, g, and the payload columns.
 
-    Gives (item, item2, links, root) for the items in candidate groups: links counts the copies of all items linked directly; root is
-    the same for all items that links connect."""
-    spark = items.sparkSession
+    Gives (item, item2, links, root): links counts the copies of all items linked directly; root is the same for all items that links connect."""
+    spark = rows.sparkSession
     let_workers_import(spark)
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
-    known = groups.join(sizes, "grp").select("item", "grp", F.ceil(F.col("n") / block).cast("int").alias("g"))
-    rows = items.join(known, "item").withColumn("blk", F.pmod(F.xxhash64("item2"), F.col("g")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    placed = rows.withColumn("blk", F.pmod(F.xxhash64("item2"), F.col("g")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     keyed = dealt.select("grp", F.least("blk", "other").alias("low"), F.greatest("blk", "other").alias("high"), "g", "blk", "item", "item2", "copies", *payload)
-    placed = keyed.repartition(shuffle_partitions(spark), "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-    found = cut(placed.mapInArrow(lambda batches: _tiles(link, batches), "item long, item2 long, g int, links long, hub long, hub2 long"))
+    by_tile = keyed.repartition(shuffle_partitions(spark), "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+    found = cut(by_tile.mapInArrow(lambda batches: _tiles(link, batches), "item long, item2 long, g int, links long, hub long, hub2 long"))
     one = found.filter("g = 1").select("item", "item2", "links", F.col("hub").alias("root"))
     many = found.filter("g > 1")
     roots = components(many.select(F.col("item").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("item"), "root")

@@ -69,7 +69,7 @@ def test_embedding_links_match_brute_force(spark):
 
 def test_large_groups_are_cut_into_tiles(spark, monkeypatch):
     rows = make_rows()
-    monkeypatch.setattr(tiles.link_items, "__defaults__", (2,))
+    monkeypatch.setattr(tiles, "BLOCK", 2)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, embed_dedup.links(frame).collect())) == brute(rows)
 
