@@ -194,6 +194,8 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     spark = own.sparkSession
     base = own.select(F.col(id_col).alias("doc_id"), _TEXT, _CLASS, _CHECK)
     every = base.filter(F.octet_length(_TEXT) >= LENGTH).select(_TEXT, _CLASS, _CHECK).mapInArrow(_anchor_batches, f"key long, snip long, {_CLASS} long, at long")
+    # no value is null; saying so here keeps joins from adding their own filters, which would make the exchanges differ
+    every = every.filter(F.col("key").isNotNull() & F.col("snip").isNotNull() & F.col(_CLASS).isNotNull() & F.col("at").isNotNull())
     twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     seen = every.join(twice.hint("shuffle_hash"), "key")
     # Any occurrence can stand for its snippet; both columns come from the same row. The filter keeps all rows: with it, every use of
