@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import quality
+from pagewright.llm import bpe, jaccard, mixing, quality, suffix_dedup
 from pagewright.llm.common import scratch_path, table
 
 
@@ -12,7 +13,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go from the texts; n_chars follows."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate draws it, in a global shuffle."""
+    return mixing.mixed_documents(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token ids: digests and numbers of ids per document."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", byte_bpe),
+]
 
 #: The suffix-array stage needs matches of 200 bytes over the whole corpus; SQL can't express that.
 ORACLE_SQL = None

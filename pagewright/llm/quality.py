@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import hidden, text_or_empty
 
 _SPACES = " \t\n\x0b\f\r"
-_TEXT, _TRIMMED, _WORDS, _N, _MASK, _SORTED = (hidden(x) for x in ("text", "trimmed", "words", "n", "mask", "sorted"))
+_TEXT, _TRIMMED, _WORDS, _N, _MASK, _SORTED, _KEEP = (hidden(x) for x in ("text", "trimmed", "words", "n", "mask", "sorted", "keep"))
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,11 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500, text_col: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their columns. The costly window count is looked at last."""
     ordered = order_rules(docs, rules, sample_rows, text_col)
-    frame = with_words(docs, text_col)
-    cheap = frame.filter(_verdict(ordered, too_short()))
-    return with_windows(cheap).filter(n_repeat_words() * 100 <= F.col(_N) * MAX_REPEAT_PERCENT).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cheap = _only(with_words(docs, text_col), _verdict(ordered, too_short()))
+    whole = _only(with_windows(cheap), n_repeat_words() * 100 <= F.col(_N) * MAX_REPEAT_PERCENT)
+    return whole.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _only(frame: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays where it is. Pushed below the words' or windows' projection, it would hold their expressions many times over."""
+    return frame.withColumn(_KEEP, F.explode(F.array(condition))).filter(_KEEP).drop(_KEEP)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, embed_dedup, jaccard, mixing, oracles, quality, suffix_dedup, token_files, toxicity, url_filter
+from pagewright.llm import bpe, embed_dedup, html_text, jaccard, mixing, oracles, quality, suffix_dedup, token_files, toxicity, url_filter
 from pagewright.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.texts(table(spark, sf_dir, "pages"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_suffix_dedup, op4_toxicity, op5_ngram_jaccard, op6_byte_bpe, op8_url_filter, op9_embedding_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_suffix_dedup, op4_toxicity, op5_ngram_jaccard, op6_byte_bpe, op7_html_text, op8_url_filter, op9_embedding_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -91,7 +91,7 @@ def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 # What a sign may stand for, with the channel's cost of each reading.
 _LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "¥": "y", "µ": "u"}
 _FILLERS = set(".-_*'’`~^ ,:;/\\=\"#%&)>[]{}·​‌‍﻿­")
-_LOOK_COST, _DROP_COST, _ODD_COST = 1.0, 0.7, 3.0
+_LOOK_COST, _DROP_COST, _ODD_COST, _LOST_COST = 1.0, 0.7, 3.0, 14.0
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -100,13 +100,13 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     for m in re.finditer(r"(.)\1*", token.lower(), re.S):
         c, n = m.group(1), len(m.group(0))
         if c in _LEET:
-            reads = [(x, _LOOK_COST) for x in _LEET[c]]
+            reads = [(x, _LOOK_COST + (4.0 if n > 1 else 0.0)) for x in _LEET[c]]
             reads += [(x * 2, _LOOK_COST) for x in _LEET[c]] if n > 1 else []
-            reads.append(("", _ODD_COST))
+            reads.append(("", _LOST_COST))
         elif c in _FILLERS:
             reads = [("", _DROP_COST)]
         elif c.isalpha():
-            reads = [(c, 0.0)] if n == 1 else [(c * 2, 0.0 if n == 2 else 0.7), (c, 1.0 if n == 2 else 0.5)]
+            reads = [(c, 0.0)] if n == 1 else [(c * 2, 0.0 if n == 2 else 0.7), (c, 4.0 if n == 2 else 0.5)]
         else:
             reads = [("", _ODD_COST)]
         out.append(reads)
