@@ -32,10 +32,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder: cuts the lineage and survives lost executors."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def written(frame: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, and the table's path: cuts the lineage and survives lost executors.
+
+    Read back as a file, it also leaves behind the constraints that plans of repeated joins would pile up on the driver."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
+    return written(frame, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def let_workers_import(spark: SparkSession) -> None:
