@@ -215,7 +215,8 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     few = from_texts((F.col("kinds") > 1) & (F.col("kinds") <= MOST_SNIPPETS), _snippet_batches, "key long, snip long, copies long, bytes binary")
     ordered = few.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_order_batches, "key long, snip long, run long")
 
-    many = from_texts(F.col("kinds") > MOST_SNIPPETS, _window_batches, "w1 long, w2 long, key long, snip long, off long, copies long").distinct()
+    many = from_texts(F.col("kinds") > MOST_SNIPPETS, _window_batches, "w1 long, w2 long, key long, snip long, off long, copies long")
+    # a row that repeats with its id gives its windows again, but then their copies are two already
     repeated = many.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
     places = many.join(repeated.hint("shuffle_hash"), ["w1", "w2"]).groupBy("key", "snip").agg(F.array_sort(F.collect_set("off")).alias("offs"))
     stretch = places.select("key", "snip", F.posexplode("offs").alias("n", "off")).groupBy("key", "snip", (F.col("off") - F.col("n")).alias("island"))
