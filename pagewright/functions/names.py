@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagewright.functions.text import WHITE, strip
 
@@ -16,14 +17,13 @@ MAX_STEM_BYTES = 200
 RESERVED = ("CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9")
 
 
-@F.pandas_udf("string")
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
 def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no function for it."""
-    return _composed(text)
+    return F.pandas_udf(_composed, StringType())(text)
 
 
 def clip(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """All queries of the package by name."""
 
-from pagewright.plans import page_queries
+from pagewright.plans import layout_queries, page_queries, record_queries
 from pagewright.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "page_queries"]
+__all__ = ["ORACLES", "QUERIES", "layout_queries", "page_queries", "record_queries"]
