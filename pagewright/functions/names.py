@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,10 +27,19 @@ def nfc(text: Column) -> Column:
     return F.pandas_udf(_composed, StringType())(text)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once however often it is used (and a Python function kept out of inner lambdas)."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def clip(text: Column) -> Column:
     """The longest beginning of at most MAX_STEM characters and MAX_STEM_BYTES bytes."""
-    fits = F.filter(F.sequence(F.lit(0), F.lit(MAX_STEM)), lambda i: F.octet_length(F.left(text, i)) <= MAX_STEM_BYTES)
-    return F.when(F.octet_length(text) <= MAX_STEM, text).otherwise(F.left(text, F.array_max(fits)))
+
+    def longest(t: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(0), F.lit(MAX_STEM)), lambda i: F.octet_length(F.left(t, i)) <= MAX_STEM_BYTES)
+        return F.when(F.octet_length(t) <= MAX_STEM, t).otherwise(F.left(t, F.array_max(fits)))
+
+    return _once(text, longest)
 
 
 def sanitize(text: Column, compose: bool = True) -> Column:
@@ -37,16 +47,16 @@ def sanitize(text: Column, compose: bool = True) -> Column:
     clean = F.regexp_replace(nfc(text) if compose else text, r"\p{Cf}", "")
     clean = F.regexp_replace(clean, r'[<>:"/\\|?*\x00-\x1f]', " ")
     clean = F.btrim(F.regexp_replace(clean, rf"[{WHITE}]+", " "), F.lit(" ."))
-    named = F.when(F.upper(clean).isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+    named = _once(clean, lambda t: F.when(F.upper(t).isin(*RESERVED), F.concat(F.lit("_"), t)).otherwise(t))
     return F.rtrim(clip(named), F.lit(" ."))
 
 
 def build_stem(pattern: str, title: Column, date: Column, no_date: str, compose: bool = True) -> Column:
     """The pattern with {title}, then {date} filled in."""
-    own = strip(F.coalesce(title, F.lit("")))
-    named = F.replace(F.lit(pattern), F.lit("{title}"), F.when(own == "", F.lit("Document")).otherwise(own))
+    own = F.coalesce(F.nullif(strip(title), F.lit("")), F.lit("Document"))
+    named = F.replace(F.lit(pattern), F.lit("{title}"), own)
     stem = sanitize(F.replace(named, F.lit("{date}"), F.coalesce(F.nullif(date, F.lit("")), F.lit(no_date))), compose)
-    return F.when(stem == "", F.lit("Document")).otherwise(stem)
+    return F.coalesce(F.nullif(stem, F.lit("")), F.lit("Document"))
 
 
 def unique_names(rows: DataFrame, folder: str, stem: str, order: str, suffix: str = ".pdf", existing: DataFrame | None = None) -> DataFrame:

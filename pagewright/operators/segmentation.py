@@ -15,7 +15,10 @@ NEARLY_EMPTY_CHARS = 60
 MARKER_CONFIDENCE = "0.97"
 REVIEW_CONFIDENCE = "0.80"
 CONFIDENCE = "decimal(6,4)"
-_STACK = W.partitionBy("stack_id")
+
+
+def _stack():
+    return W.partitionBy("stack_id")
 
 
 def dec(value: str) -> Column:
@@ -32,7 +35,7 @@ def is_blank(max_chars: int = BLANK_MAX_CHARS, max_ink: float = BLANK_MAX_INK) -
 def content_positions(pages: DataFrame, blank: Column | None = None) -> DataFrame:
     """Pages that aren't blank, with pos among them (from 0) and their number in the stack."""
     kept = pages.filter(~(is_blank() if blank is None else blank))
-    return kept.withColumns({"pos": F.row_number().over(_STACK.orderBy("index")) - 1, "n_content": F.count("*").over(_STACK)})
+    return kept.withColumns({"pos": F.row_number().over(_stack().orderBy("index")) - 1, "n_content": F.count("*").over(_stack())})
 
 
 def window_starts(count: Column, window: int, step: int) -> Column:
@@ -91,7 +94,7 @@ def apply_markers(pages: DataFrame) -> DataFrame:
         "reason": F.when(opens, F.lit("page marker 1 of n")).when(goes_on, F.lit("page marker k of n, k > 1")).otherwise(F.col("reason")),
         "confidence": F.when(opens | goes_on, sure).otherwise(F.col("confidence")),
     })
-    first = F.row_number().over(_STACK.orderBy("index")) == 1
+    first = F.row_number().over(_stack().orderBy("index")) == 1
     return out.withColumn("__first", first).withColumns({
         "starts_new": F.col("__first") | F.col("starts_new"),
         "confidence": F.when(F.col("__first"), dec("1")).otherwise(F.col("confidence")),
@@ -101,7 +104,7 @@ def apply_markers(pages: DataFrame) -> DataFrame:
 
 def with_segments(pages: DataFrame) -> DataFrame:
     """Adds seg: how many documents have begun up to a page."""
-    return pages.withColumn("seg", F.sum(F.col("starts_new").cast("int")).over(_STACK.orderBy("index").rowsBetween(W.unboundedPreceding, 0)))
+    return pages.withColumn("seg", F.sum(F.col("starts_new").cast("int")).over(_stack().orderBy("index").rowsBetween(W.unboundedPreceding, 0)))
 
 
 def segments(pages: DataFrame) -> DataFrame:
@@ -144,8 +147,8 @@ def with_first_page(segs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def attach_blanks(pages: DataFrame) -> DataFrame:
     """pages: stack_id, index, seg (null where blank). Each blank page joins the last segment that began before it, else the first: an as-of fill, no range join."""
-    before = F.last("seg", ignorenulls=True).over(_STACK.orderBy("index").rowsBetween(W.unboundedPreceding, 0))
-    return pages.withColumn("owner", F.coalesce(before, F.min("seg").over(_STACK)))
+    before = F.last("seg", ignorenulls=True).over(_stack().orderBy("index").rowsBetween(W.unboundedPreceding, 0))
+    return pages.withColumn("owner", F.coalesce(before, F.min("seg").over(_stack())))
 
 
 def document_texts(pages: DataFrame, keys: list[str], piece: Column, separator: str) -> DataFrame:
