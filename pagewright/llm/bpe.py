@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import let_workers_import, text_or_empty
-from pagewright.llm.pieces import PieceStore, cut, slices, text_buffer
+from pagewright.llm.pieces import PieceStore, Ragged, cut, slices, text_buffer
 
 #: Widths of the buckets, in bytes. Longer pieces take the heap.
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
+#: Distinct pieces that a worker remembers at most; then it starts anew. A piece takes about 250 bytes.
+MOST_PIECES = 400_000
 _NONE = np.int32(2**31 - 1)
 _ROWS = 1 << 16
 
@@ -177,20 +179,18 @@ class _Known:
     def __init__(self, path: str) -> None:
         self.coder = coder(path)
         self.forget()
-        self.store = PieceStore(self.learn, self.forget)
+        self.store = PieceStore(self.learn, self.forget, MOST_PIECES)
 
     def forget(self) -> None:
-        self.ids: list[list[int]] = []
+        self.ids = Ragged("<i4")
         self.printed: list[bytes] = []
         self.decoded: list[bytes] = []
-        self.counts = np.zeros(0, np.int64)
 
     def learn(self, pieces: list[bytes]) -> None:
         ids = self.coder.encode_pieces(pieces)
-        self.ids += ids
+        self.ids.extend(np.array([i for x in ids for i in x]), np.fromiter(map(len, ids), np.int64, len(ids)))
         self.printed += [",".join(map(str, x)).encode() for x in ids]
         self.decoded += map(self.coder.decode, ids)
-        self.counts = np.concatenate([self.counts, np.fromiter(map(len, ids), np.int64, len(ids))])
 
 
 _coders: dict[str, ByteBpe] = {}
@@ -219,7 +219,7 @@ def _digest_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         counts, ids, texts = [], [], []
         for part in slices(batch.column(1)):
             numbers, bounds = known.store.numbers(part)
-            before = np.concatenate([[0], np.cumsum(known.counts[numbers])])
+            before = np.concatenate([[0], np.cumsum(known.ids.counts[numbers])])
             counts += np.diff(before[bounds]).tolist()
             each, bounds = numbers.tolist(), bounds.tolist()
             for a, b in zip(bounds, bounds[1:]):
@@ -244,8 +244,9 @@ def _token_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         out = []
         for part in slices(batch.column(1)):
             numbers, bounds = known.store.numbers(part)
-            each, bounds = numbers.tolist(), bounds.tolist()
-            out += [[i for x in each[a:b] for i in known.ids[x]] for a, b in zip(bounds, bounds[1:])]
+            ids, ends = known.ids.take(numbers)
+            ends = ends[bounds].tolist()
+            out += [ids[a:b] for a, b in zip(ends, ends[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 

@@ -84,7 +84,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 21):
+def slices(column: pa.Array, most: int = 1 << 20):
     """Parts of a string array of about ``most`` bytes each; a longer text is a part of its own."""
     sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column).fill_null(0)))])
     at = 0
