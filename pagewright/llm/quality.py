@@ -114,7 +114,7 @@ def _many_symbols() -> Column:
 
 
 def _many_dup_lines() -> Column:
-    return n_dup_lines() * 10 > F.size(_lines_with_words()) * 3
+    return n_dup_lines() * 2 > F.size(_lines_with_words())
 
 
 def _few_letters() -> Column:

@@ -15,7 +15,7 @@ def brute(text):
     dup, symbols, chars = len(lines) - len(set(lines)), len(re.findall(r"[#*$%&|<>]", text)), sum(map(len, words))
     base = n < 50 or 100 * len(covered) > 50 * n
     letters = sum(c.isalpha() for c in text)
-    bad = base or chars < 2 * n or chars > 20 * n or 10 * symbols > n or 10 * dup > 3 * len(lines) or 2 * letters < chars
+    bad = base or chars < 2 * n or chars > 20 * n or 10 * symbols > n or 2 * dup > len(lines) or 2 * letters < chars
     return n, chars, symbols, dup, len(covered), base, not bad
 
 
