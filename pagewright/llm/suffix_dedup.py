@@ -9,8 +9,9 @@ judged on the input and never cross documents.
 2. Snippets of one anchor string are put one after another, and their suffix array (lyndon.py, the linear grouping construction) brings
    windows that start alike together; neighbours with LENGTH bytes in common that occur at least twice are repeats. Snippets that are all equal
    need no order: their number decides.
-3. An anchor string with more than MOST_SNIPPETS different snippets (a passage that very many documents share) isn't gathered in one task:
-   its windows are counted by a 128-bit hash, with partial sums.
+3. An anchor string with more than MOST_SNIPPETS different snippets (a passage that very many documents share) isn't gathered in one task. Its
+   windows are dealt out anew, by CLASS_WINDOWS neighbours and the bytes that those have in common; step 2 then holds for the parts. What is still
+   too large (where very many texts part from a passage) has its windows counted by a 128-bit hash, with partial sums.
 4. Repeats go back to the occurrences and to the documents, where bytes are cut.
 
 Defined results: a null or empty text has no bytes, and its digest is that of no bytes. Texts under LENGTH bytes stay. All copies
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,9 @@ LENGTH = 200
 KEY = 64
 WINDOWS = LENGTH - KEY + 1
 MOST_SNIPPETS = 16
+#: About the root of the windows of a usual snippet: with parts of this many windows, and single windows of the parts that stay
+#: large, a hot anchor gives the fewest rows.
+CLASS_WINDOWS = 8
 #: Bytes of snippets whose suffix arrays are made side by side.
 _SIDE_BY_SIDE = 3_000_000
 _CLASS, _CHECK, _TEXT, _MARKS, _REP = (hidden(x) for x in ("class", "check", "text", "marks", "rep"))
@@ -76,14 +81,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, class, check -> key, snip, class, at."""
+    """text, class, check -> key, snip, class, at, more.
+
+    A snippet that a text repeats (a line or word over and over) is one row: where it stands first, and where else."""
     for batch in batches:
         done = 0
         for part in slices(batch.column(0)):
             key, snippet, text, begin, count = anchors(*text_buffer(part))
             own, check = (batch.column(i).slice(done, len(part)).to_numpy()[text] for i in (1, 2))
             done += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), snippet.view(np.int64), own, check << 40 | begin << 8 | count)], names=["key", "snip", _CLASS, "at"])
+            at = check << 40 | begin << 8 | count
+            order = np.argsort(mixed(key + snippet * np.uint64(3) + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), kind="stable")
+            key, snippet, text, own, at = (x[order] for x in (key, snippet, text, own, at))
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (snippet[1:] != snippet[:-1]) | (text[1:] != text[:-1]))[: len(key)])
+            ends = np.append(first[1:], len(key))
+            back = np.argsort(order[first])  # in the texts' order, which a shuffle's compression likes
+            first, ends = first[back], ends[back]
+            more: list[np.ndarray | None] = [None] * len(first)
+            for i in np.flatnonzero(ends - first > 1).tolist():
+                more[i] = at[first[i] + 1 : ends[i]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (key.view(np.int64), snippet.view(np.int64), own, at)), pa.array(more, pa.list_(pa.int64()))], names=["key", "snip", _CLASS, "at", "more"])
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,20 +129,45 @@ def _snippet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "snip", "copies", "bytes"])
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the wanted snippets: two hashes, key, snip, offset in the snippet, copies."""
+def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of the wanted snippets: windows whose distances to the anchor fall into one class, under a key of the class and the bytes common to it.
+
+    Columns: key2, snip2, copies, bytes, then the snippet (key, snip) that it is from, its first window there and its number of windows."""
     for batch in batches:
-        out: list[list[np.ndarray]] = []
+        rows: list[tuple] = []
         for text, key, snip, begin, count, copies in _wanted(batch):
             data = np.frombuffer(text, np.uint8)
-            rows = np.repeat(np.arange(len(key)), count)
-            offset = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-            start = begin[rows] + offset
-            one = range_hashes(prefix_hashes(data), start, start + LENGTH)
-            two = range_hashes(prefix_hashes(data ^ 0x5A), start, start + LENGTH)
-            out.append([one.view(np.int64), two.view(np.int64), key[rows], snip[rows], offset, copies[rows]])
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["w1", "w2", "key", "snip", "off", "copies"])
+            prefix, (_, down) = prefix_hashes(data), powers(len(data) + 1)
+            hashes = mixed((prefix[KEY:] - prefix[:-KEY]) * down[: len(data) - KEY + 1]).view(np.int64)
+            for k, s, b, n, c in zip(*(x.tolist() for x in (key, snip, begin, count, copies)), strict=True):
+                anchor = b + int((hashes[b : b + WINDOWS] == k).argmax())
+                for kind in range((anchor - b - n + 1) // CLASS_WINDOWS, (anchor - b) // CLASS_WINDOWS + 1):
+                    last = anchor - kind * CLASS_WINDOWS  # the last window that the class can have
+                    low, high = max(b, last - CLASS_WINDOWS + 1), min(b + n - 1, last)
+                    rows.append((k, kind, last, low, high, s, c, b))
+            if not rows:
+                continue
+            k, kind, last, low, high, s, c, b = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            common = range_hashes(prefix, last, last - CLASS_WINDOWS + 1 + LENGTH)
+            key2 = mixed(common ^ (k.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            snip2 = range_hashes(prefix, low, high + LENGTH)
+            parts = [text[x:y] for x, y in zip(low.tolist(), (high + LENGTH).tolist(), strict=True)]
+            rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(snip2.view(np.int64)), pa.array(c), pa.array(parts, pa.binary()), pa.array(k), pa.array(s), pa.array(low - b), pa.array(high - low + 1)], names=["key2", "snip2", "copies", "bytes", "key", "snip", "low", "n"])
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, snip, copies, bytes -> a row for each window: two hashes, key, snip, offset, copies."""
+    for batch in batches:
+        data = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+        sizes = pc.binary_length(batch.column(3)).to_numpy()
+        count = sizes - LENGTH + 1
+        rows = np.repeat(np.arange(len(sizes)), count)
+        offset = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+        start = (np.cumsum(sizes) - sizes)[rows] + offset
+        one, two = (range_hashes(prefix_hashes(x), start, start + LENGTH).view(np.int64) for x in (data, data ^ 0x5A))
+        key, snip, copies = (batch.column(i).to_numpy()[rows] for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, key, snip, offset, copies)], names=["w1", "w2", "key", "snip", "off", "copies"])
 
 
 def repeated_windows(groups: list[list[bytes]], copies: list[list[int]]) -> list[list[np.ndarray]]:
@@ -193,14 +235,15 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     """class -> marks: the repeated stretches of its texts, each as check bits, first window and number of windows in one long."""
     spark = own.sparkSession
     base = own.select(F.col(id_col).alias("doc_id"), _TEXT, _CLASS, _CHECK)
-    every = base.filter(F.octet_length(_TEXT) >= LENGTH).select(_TEXT, _CLASS, _CHECK).mapInArrow(_anchor_batches, f"key long, snip long, {_CLASS} long, at long")
+    every = base.filter(F.octet_length(_TEXT) >= LENGTH).select(_TEXT, _CLASS, _CHECK).mapInArrow(_anchor_batches, f"key long, snip long, {_CLASS} long, at long, more array<long>")
+    times = F.lit(1).cast("long") + F.coalesce(F.size("more"), F.lit(0))
     # no value is null; saying so here keeps joins from adding their own filters, which would make the exchanges differ
     every = every.filter(F.col("key").isNotNull() & F.col("snip").isNotNull() & F.col(_CLASS).isNotNull() & F.col("at").isNotNull())
-    twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    twice = every.groupBy("key").agg(F.sum(times).alias("n")).filter("n > 1").select("key")
     seen = every.join(twice.hint("shuffle_hash"), "key")
     # Any occurrence can stand for its snippet; both columns come from the same row. The filter keeps all rows: with it, every use of
     # the snippets reads all columns, so that Spark makes the anchors' exchange once and reuses it.
-    snippets = seen.groupBy("key", "snip").agg(F.count("*").alias("copies"), F.first(_CLASS).alias(_CLASS), F.first("at").alias("at")).filter(F.col(_CLASS).isNotNull() & F.col("at").isNotNull())
+    snippets = seen.groupBy("key", "snip").agg(F.sum(times).alias("copies"), F.first(_CLASS).alias(_CLASS), F.first("at").alias("at")).filter(F.col(_CLASS).isNotNull() & F.col("at").isNotNull() & (F.col("copies") > 0))
     kinds = snippets.groupBy("key").agg(F.count("*").alias("kinds"))
     sorted_out = snippets.join(kinds.hint("shuffle_hash"), "key")
     all_equal = sorted_out.filter("kinds = 1").select("key", "snip", F.lit(WINDOWS).cast("long").alias("run"))
@@ -215,15 +258,26 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     few = from_texts((F.col("kinds") > 1) & (F.col("kinds") <= MOST_SNIPPETS), _snippet_batches, "key long, snip long, copies long, bytes binary")
     ordered = few.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_order_batches, "key long, snip long, run long")
 
-    many = from_texts(F.col("kinds") > MOST_SNIPPETS, _window_batches, "w1 long, w2 long, key long, snip long, off long, copies long")
-    # a row that repeats with its id gives its windows again, but then their copies are two already
+    # The hot anchors' windows by parts. A row whose id repeats gives its parts again, but then their copies are two already.
+    parts = from_texts(F.col("kinds") > MOST_SNIPPETS, _part_batches, "key2 long, snip2 long, copies long, bytes binary, key long, snip long, low long, n long")
+    counted = parts.groupBy(F.col("key2").alias("key"), F.col("snip2").alias("snip")).agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
+    part_kinds = counted.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("copies").alias("n")).filter("n > 1").select("key", "kinds")
+    known = counted.join(part_kinds.hint("shuffle_hash"), "key")
+    equal_parts = known.filter("kinds = 1").select("key", "snip", F.lit(WINDOWS).cast("long").alias("run"))
+    part_rows = known.filter((F.col("kinds") > 1) & (F.col("kinds") <= MOST_SNIPPETS)).select("key", "snip", "copies", "bytes")
+    ordered_parts = part_rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_order_batches, "key long, snip long, run long")
+    many = known.filter(F.col("kinds") > MOST_SNIPPETS).select("key", "snip", "copies", "bytes").mapInArrow(_window_batches, "w1 long, w2 long, key long, snip long, off long, copies long")
     repeated = many.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
     places = many.join(repeated.hint("shuffle_hash"), ["w1", "w2"]).groupBy("key", "snip").agg(F.array_sort(F.collect_set("off")).alias("offs"))
     stretch = places.select("key", "snip", F.posexplode("offs").alias("n", "off")).groupBy("key", "snip", (F.col("off") - F.col("n")).alias("island"))
-    counted = stretch.agg((F.min("off") * 256 + F.max("off") + 1).alias("run")).select("key", "snip", "run")
-
-    runs = all_equal.unionByName(ordered).unionByName(counted)
-    found = seen.join(runs.hint("shuffle_hash"), ["key", "snip"])
+    counted_parts = stretch.agg((F.min("off") * 256 + F.max("off") + 1).alias("run")).select("key", "snip", "run")
+    part_runs = equal_parts.unionByName(ordered_parts).unionByName(counted_parts).select(F.col("key").alias("key2"), F.col("snip").alias("snip2"), "run")
+    from_parts = parts.drop("bytes", "copies").join(part_runs.hint("shuffle_hash"), ["key2", "snip2"])
+    first, behind = F.shiftright("run", 8), F.least(F.col("run").bitwiseAND(F.lit(255)), F.col("n"))
+    split = from_parts.select("key", "snip", ((F.col("low") + first) * 256 + F.col("low") + behind).alias("run")).distinct()
+
+    runs = all_equal.unionByName(ordered).unionByName(split)
+    found = seen.join(runs.hint("shuffle_hash"), ["key", "snip"]).select(_CLASS, "run", F.explode(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<long>")))).alias("at"))
     windows = F.col("at").bitwiseAND(F.lit(255))
     low, high = F.shiftright("run", 8), F.least(F.col("run").bitwiseAND(F.lit(255)), windows)
     return found.groupBy(_CLASS).agg(F.collect_set(F.col("at") - windows + low * 256 + high - low).alias(_MARKS))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from pagewright.llm import suffix_dedup
 from pagewright.llm.suffix_dedup import LENGTH
@@ -50,9 +51,10 @@ def test_digests_match_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_many_snippets_take_counted_windows(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST_SNIPPETS", 1)
-    texts = make_texts()
+@pytest.mark.parametrize("most", [1, 3])
+def test_many_snippets_are_split_and_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_SNIPPETS", most)
+    texts = make_texts() + ["ab cd " * 200, "line of words\n" * 90, "x " + "line of words\n" * 40]
     frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(frame).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
