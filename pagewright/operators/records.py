@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.operators.folds import fold
+
 
 def ledger_state(files: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
     """files: sha, file, order column; ledger: sha, document, file, pending. Adds state and document.
@@ -41,32 +43,28 @@ def complete_layouts(stacks: DataFrame, cached: DataFrame, default: int) -> Data
 
 
 def next_fit(rows: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
-    """Adds batch: rows of a key in order, a new batch wherever the next would take a batch that has rows beyond ``most``. A fold, in one array per key."""
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("__rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<int>").alias("out"))
+    """Adds batch: rows of a key in order, a new batch wherever the next would take a batch that has rows beyond ``most``."""
 
-    def step(acc: Column, row: Column) -> Column:
-        over = (F.size(acc["out"]) > 0) & (acc["filled"] + row[size] > most)
-        batch = acc["batch"] + F.when(over, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), (F.when(over, F.lit(0).cast("long")).otherwise(acc["filled"]) + row[size]).alias("filled"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    def step(state: tuple[int, int, bool], own: int) -> tuple[tuple[int, int, bool], int]:
+        batch, filled, any_rows = state
+        if any_rows and filled + own > most:
+            batch, filled = batch + 1, 0
+        return (batch, filled + own, True), batch
 
-    folded = ordered.withColumn("__out", F.aggregate("__rows", start, step, lambda a: a["out"]))
-    pairs = folded.select(key, F.explode(F.zip_with("__rows", "__out", lambda r, b: F.struct(r[order].alias(order), r[size].alias(size), b.alias("batch")))).alias("x"))
-    return pairs.select(key, "x.*")
+    return fold(rows.select(key, order, size), key, [order], size, (0, 0, False), step, "batch", "int")
 
 
 def heartbeats(rows: DataFrame, key: str, time: str, state: str, seconds: int) -> DataFrame:
-    """Rows of a key at which a report is due: its state changed since the last report, or ``seconds`` have passed since then. A fold, as the last report depends on all before."""
-    ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time, state))).alias("__rows"))
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("last"), F.array().cast("array<boolean>").alias("out"))
+    """Rows of a key at which a report is due: its state changed since the last report, or ``seconds`` have passed since then."""
 
-    def step(acc: Column, row: Column) -> Column:
-        due = acc["at"].isNull() | ~row[state].eqNullSafe(acc["last"]) | (row[time] - acc["at"] >= seconds)
-        return F.struct(F.when(due, row[time]).otherwise(acc["at"]).alias("at"), F.when(due, row[state]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(due)).alias("out"))
+    def step(last: tuple | None, own: tuple) -> tuple[tuple | None, bool]:
+        at, now = own
+        due = last is None or now != last[1] or at - last[0] >= seconds
+        return (own if due else last), due
 
-    folded = ordered.withColumn("__out", F.aggregate("__rows", start, step, lambda a: a["out"]))
-    pairs = folded.select(key, F.explode(F.zip_with("__rows", "__out", lambda r, d: F.struct(r[time].alias(time), r[state].alias(state), d.alias("due")))).alias("x"))
-    return pairs.select(key, "x.*").filter("due").drop("due")
+    # a null state is a state like any other: the empty mark keeps it apart from texts
+    marked = rows.select(key, time, state, F.coalesce(F.concat(F.lit("="), F.col(state)), F.lit("")).alias("__state"))
+    return fold(marked, key, [time, state], [time, "__state"], None, step, "__due", "boolean").filter("__due").select(key, time, state)
 
 
 def queue_snapshot(counts: DataFrame) -> DataFrame:
