@@ -17,6 +17,22 @@ def format_pages(rows: DataFrame, keys: list[str], index: str, name: str = "page
     return runs.groupBy(*keys).agg(F.array_join(ordered, ", ").alias(name))
 
 
+def format_indices(indices: Column) -> Column:
+    """The same from an array of 0-based indices in one row: a fold over the sorted array."""
+    start = F.struct(F.lit("").alias("t"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+
+    def shown(acc: Column) -> Column:
+        run = F.when(acc["a"] == acc["b"], acc["a"].cast("string")).otherwise(F.concat_ws("-", acc["a"].cast("string"), acc["b"].cast("string")))
+        return F.when(acc["a"].isNull(), acc["t"]).when(acc["t"] == "", run).otherwise(F.concat_ws(", ", acc["t"], run))
+
+    def step(acc: Column, i: Column) -> Column:
+        n = i.cast("long") + 1
+        goes_on = F.coalesce(n == acc["b"] + 1, F.lit(False))
+        return F.when(goes_on, F.struct(acc["t"].alias("t"), acc["a"].alias("a"), n.alias("b"))).otherwise(F.struct(shown(acc).alias("t"), n.alias("a"), n.alias("b")))
+
+    return F.aggregate(F.array_sort(F.array_distinct(indices)), start, step, shown)
+
+
 def _parts(text: Column) -> Column:
     return F.filter(F.split(text, ","), lambda x: F.trim(x) != "")
 

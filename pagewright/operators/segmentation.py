@@ -107,18 +107,20 @@ def with_segments(pages: DataFrame) -> DataFrame:
     return pages.withColumn("seg", F.sum(F.col("starts_new").cast("int")).over(_stack().orderBy("index").rowsBetween(W.unboundedPreceding, 0)))
 
 
-def segments(pages: DataFrame) -> DataFrame:
-    """One row per (stack_id, seg): first_index, n_pages, indices, start_* of the opening verdict, join_* of the weakest other one (the earliest of equals)."""
+def segments(pages: DataFrame, **more: Column) -> DataFrame:
+    """One row per (stack_id, seg): first_index, n_pages, indices, start_* of the opening verdict, join_* of the weakest other one (the earliest of equals).
+
+    more: other aggregates by name. The window and the aggregation share one exchange by stack."""
     verdict = F.struct("confidence", "index", "reason")
     grouped = with_segments(pages).groupBy("stack_id", "seg").agg(
         F.min("index").alias("first_index"), F.count("*").alias("n_pages"), F.array_sort(F.collect_list("index")).alias("indices"),
         F.min(F.when(F.col("starts_new"), F.struct("index", "confidence", "reason"))).alias("start"),
-        F.min(F.when(~F.col("starts_new"), verdict)).alias("weakest"),
+        F.min(F.when(~F.col("starts_new"), verdict)).alias("weakest"), *(c.alias(n) for n, c in more.items()),
     )
     return grouped.select(
         "stack_id", "seg", "first_index", "n_pages", "indices",
         F.col("start.confidence").alias("start_confidence"), F.col("start.reason").alias("start_reason"),
-        F.col("weakest.index").alias("join_index"), F.col("weakest.confidence").alias("join_confidence"), F.col("weakest.reason").alias("join_reason"),
+        F.col("weakest.index").alias("join_index"), F.col("weakest.confidence").alias("join_confidence"), F.col("weakest.reason").alias("join_reason"), *more,
     )
 
 
@@ -151,7 +153,11 @@ def attach_blanks(pages: DataFrame) -> DataFrame:
     return pages.withColumn("owner", F.coalesce(before, F.min("seg").over(_stack())))
 
 
-def document_texts(pages: DataFrame, keys: list[str], piece: Column, separator: str) -> DataFrame:
-    """Pieces of a document's pages, in order, that aren't empty."""
+def ordered_pieces(piece: Column, separator: str) -> Column:
+    """An aggregate: the pieces of a group's pages in the order of their index, those that aren't empty."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col("index").alias("i"), piece.alias("t")))), lambda x: x["t"])
-    return pages.groupBy(*keys).agg(F.array_join(F.filter(parts, lambda x: x != ""), separator).alias("text"))
+    return F.array_join(F.filter(parts, lambda x: x != ""), separator)
+
+
+def document_texts(pages: DataFrame, keys: list[str], piece: Column, separator: str) -> DataFrame:
+    return pages.groupBy(*keys).agg(ordered_pieces(piece, separator).alias("text"))

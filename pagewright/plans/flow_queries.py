@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.ranges import format_indices
+from pagewright.operators import segmentation as seg
 from pagewright.plans.page_queries import SEGMENTS, _marked_lines, _pages_sql, _review_sql
 from pagewright.plans.registry import query
-from pagewright.functions.ranges import format_pages
-from pagewright.operators import segmentation as seg
 from pagewright.session import table
 from pagewright.sinks import plans
 from pagewright.streaming import gate, stability
@@ -16,7 +16,8 @@ from pagewright.streaming import gate, stability
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _marked_lines(spark, sf_dir)
-    docs = seg.with_first_page(seg.segments(pages), pages).join(format_pages(seg.with_segments(pages), ["stack_id", "seg"], "index"), ["stack_id", "seg"])
+    segs = seg.segments(pages, head=F.min(F.struct("index", "header", "markdown", "footer"))).withColumn("pages", format_indices(F.col("indices")))
+    docs = segs.withColumns({f"first_{c}": F.col(f"head.{c}") for c in ("header", "markdown", "footer")})
     return docs.select("stack_id", "seg", "pages", "n_pages", seg.document_confidence().cast("string").alias("confidence"), seg.review_reason().alias("review_reason")).withColumns({"needs_review": F.col("review_reason") != "", "name": F.concat(F.lit("d"), F.col("seg").cast("string"), F.lit(".pdf"))})
 
 

@@ -147,9 +147,7 @@ segs AS (SELECT g.*, start_confidence, start_reason, join_index, join_confidence
 
 @query(f"WITH {SEGMENTS} SELECT s.stack_id, s.seg::BIGINT AS seg, s.first_index, s.n_pages, p.pages FROM segs s JOIN {_pages_sql('sg', 'stack_id, seg', 'index', 'pages')} p USING (stack_id, seg)")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _marked_lines(spark, sf_dir)
-    shown = ranges.format_pages(seg.with_segments(pages), ["stack_id", "seg"], "index")
-    return seg.segments(pages).select("stack_id", "seg", "first_index", "n_pages").join(shown, ["stack_id", "seg"])
+    return seg.segments(_marked_lines(spark, sf_dir)).select("stack_id", "seg", "first_index", "n_pages", ranges.format_indices(F.col("indices")).alias("pages"))
 
 
 @query(f"WITH {SEGMENTS} SELECT stack_id, seg::BIGINT AS seg, coalesce(join_index, -1) AS join_index, join_confidence::VARCHAR AS join_confidence, join_reason FROM segs")
@@ -257,19 +255,21 @@ def plain_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_plan_of(pages: DataFrame, drop_blank: bool = True) -> DataFrame:
-    """The whole way from pages with verdicts to named documents: blank filter, markers, segments, ranges, review, description, file name."""
+    """The whole way from pages with verdicts to named documents: blank filter, markers, segments, ranges, review, description, file name.
+
+    One exchange by stack serves the windows and the aggregation; pages that stay though blank are attached by a second pass."""
     blank = seg.is_blank()
     content = seg.apply_markers(pages.filter(~blank))
-    with_seg = seg.with_segments(content)
-    owned = with_seg.select("stack_id", "seg", "index")
-    if not drop_blank:
-        every = pages.withColumn("__blank", blank).select("stack_id", "index", "__blank").join(owned, ["stack_id", "index"], "left")
-        owned = seg.attach_blanks(every).filter("owner is not null").select("stack_id", F.col("owner").alias("seg"), "index")
-    shown = ranges.format_pages(owned, ["stack_id", "seg"], "index")
     piece = text.page_chunk(F.col("index") + 1, F.col("header"), F.col("markdown"), F.col("footer"))
-    texts = seg.document_texts(with_seg, ["stack_id", "seg"], piece, "\n\n")
-    described = texts.select("stack_id", "seg", *describe(F.col("text")))
-    docs = seg.with_first_page(seg.segments(content), content).join(shown, ["stack_id", "seg"]).join(described, ["stack_id", "seg"])
+    head = F.min(F.struct("index", "header", "markdown", "footer"))
+    docs = seg.segments(content, text=seg.ordered_pieces(piece, "\n\n"), head=head)
+    if drop_blank:
+        docs = docs.withColumn("pages", ranges.format_indices(F.col("indices")))
+    else:
+        every = pages.withColumn("__blank", blank).select("stack_id", "index", "__blank").join(seg.with_segments(content).select("stack_id", "seg", "index"), ["stack_id", "index"], "left")
+        owned = seg.attach_blanks(every).filter("owner is not null").select("stack_id", F.col("owner").alias("seg"), "index")
+        docs = docs.join(ranges.format_pages(owned, ["stack_id", "seg"], "index"), ["stack_id", "seg"])
+    docs = docs.withColumns({f"first_{c}": F.col(f"head.{c}") for c in ("header", "markdown", "footer")}).select("*", *describe(F.col("text")))
     reason = seg.review_reason()
     reason = F.concat_ws("; ", F.when(reason != "", reason), F.when(F.col("title") == "", F.lit("no title found")))
     out = docs.select("stack_id", "seg", "pages", "title", "date", seg.document_confidence().cast("string").alias("confidence"), reason.alias("review_reason"))

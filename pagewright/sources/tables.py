@@ -12,10 +12,10 @@ from pagewright.session import table
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a stack and a turn a page; a user's turn opens a document, with a confidence from its length."""
-    rows = table(spark, sf_dir, "conversations")
-    index = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "stack_id")  # before the window, so that its exchange serves what follows
+    index = F.row_number().over(W.partitionBy("stack_id").orderBy("turn", "role", "text")) - 1
     return rows.select(
-        F.col("conv_id").alias("stack_id"), index.alias("index"), F.coalesce("text", F.lit("")).alias("markdown"), F.lit("").alias("header"), F.lit("").alias("footer"),
+        "stack_id", index.alias("index"), F.coalesce("text", F.lit("")).alias("markdown"), F.lit("").alias("header"), F.lit("").alias("footer"),
         F.lit(False).alias("has_images"), F.lit(None).cast("double").alias("ink"), (F.col("role") == "user").alias("starts_new"),
         ((F.lit(50) + F.length(F.coalesce("text", F.lit(""))) % 50) / F.lit(100)).cast(CONFIDENCE).alias("confidence"), F.concat(F.lit("role "), "role").alias("reason"),
     )

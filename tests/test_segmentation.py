@@ -68,3 +68,20 @@ def test_weakest_join_is_the_earliest_of_equals(spark):
 def test_blank_pages_join_the_document_before(spark):
     frame = spark.createDataFrame([(1, i, s) for i, s in enumerate([None, 1, None, None, 2, None])], "stack_id int, index int, seg int")
     assert [r.owner for r in seg.attach_blanks(frame).orderBy("index").collect()] == [1, 1, 1, 1, 2, 2]
+
+
+def test_split_plan_with_and_without_blank_pages(spark):
+    from pagewright.plans.page_queries import split_plan_of
+
+    pages = stack(spark, SEVEN).select("*", *letter_verdict(F.col("markdown")))
+    for drop, want in ((True, ["1-2", "4-5", "6"]), (False, ["1-3", "4-5", "6-7"])):
+        docs = split_plan_of(pages, drop_blank=drop).orderBy("seg").collect()
+        assert [d.pages for d in docs] == want
+        assert docs[0].stem == "LETTER blood count dated many letters he undated" and [d.needs_review for d in docs] == [False, True, True]
+
+
+def test_ranges_of_an_array(spark):
+    from pagewright.functions.ranges import format_indices
+
+    rows = spark.createDataFrame([([0, 2, 3, 4, 9, 9],), ([],), ([5],), ([3, 1, 2],)], "i array<int>")
+    assert [r[0] for r in rows.select(format_indices(F.col("i"))).collect()] == ["1, 3-5, 10", "", "6", "2-4"]
