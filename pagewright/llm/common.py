@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not context.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
     return context.getCheckpointDir().rstrip("/")
