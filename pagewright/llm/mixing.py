@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Mapping
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from pagewright.llm.common import hidden, shuffle_partitions
 #: The production mix: shares of all characters. "*" stands for all sources that aren't named.
 WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "src3": 0.08, "*": 0.56}
 MOST_SOURCES = 2000
-#: Means above this are the sum of a whole number of copies and a Poisson remainder.
-_MOST_MEAN = 16.0
+#: Terms below this share of the largest one can't be told apart by a 52-bit number.
+_LEAST_TERM = 2.0**-64
 _COPIES, _KEY, _N = (hidden(x) for x in ("copies", "key", "n"))
 
 
@@ -50,39 +51,44 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def thresholds(mean: float) -> list[float]:
-    """The distribution's function at 0, 1, 2 ... up to where a 52-bit number can't lie above it."""
+def thresholds(mean: float) -> tuple[int, list[float]]:
+    """(first, the distribution's function at first, first + 1 ...) over all k that a 52-bit number can tell apart: about 19 * sqrt(mean) of them.
+
+    The terms are relative to the largest one, so that exp(-mean) doesn't vanish.
+    """
     if mean <= 0:
-        return []
-    out, term, total = [], math.exp(-mean), 0.0
-    while total < 1 - 2.0**-52 and len(out) < 128:
-        total += term
-        out.append(round(total, 15))
-        term *= mean / len(out)
-    return out
+        return 0, []
+    mode = int(mean)
+    below, above, term, k = [], [1.0], 1.0, mode
+    while k > 0 and term > _LEAST_TERM:
+        term *= k / mean
+        k -= 1
+        below.append(term)
+    first, term, k = k, 1.0, mode
+    while term > _LEAST_TERM:
+        k += 1
+        term *= mean / k
+        above.append(term)
+    terms = below[::-1] + above
+    whole = math.fsum(terms)
+    return first, [round(x / whole, 15) for x in accumulate(terms)]
 
 
 def copies(by_source: Mapping[str, float], u: Column, source_col: str = "source") -> Column:
-    """The least k whose distribution function lies above u: how many of the source's thresholds are at most u."""
-    whole, steps = (_by_source(by_source, x, source_col) for x in (_whole, lambda mean: F.from_json(F.lit(json.dumps(thresholds(mean - _least(mean)))), "array<double>")))
+    """The least k whose distribution function lies above u: how many of the source's thresholds are at most u, with those left out below the first."""
+    made = {s: thresholds(rate) for s, rate in by_source.items()}
+    first = _by_source(made, lambda x: F.lit(x[0]), source_col)
+    steps = _by_source(made, lambda x: F.from_json(F.lit(json.dumps(x[1])), "array<double>"), source_col)
     below = F.transform(F.array(u), lambda v: F.size(F.filter(steps, lambda t: t <= v)))  # so that u is evaluated once
-    return F.get(below, 0) + whole
-
-
-def _least(mean: float) -> int:
-    return max(0, math.ceil(mean - _MOST_MEAN))
-
-
-def _whole(mean: float) -> Column:
-    return F.lit(_least(mean))
+    return F.get(below, 0) + first
 
 
-def _by_source(by_source: Mapping[str, float], make: Callable[[float], Column], source_col: str) -> Column:
+def _by_source(by_source: Mapping[str, tuple[int, list[float]]], make: Callable[[tuple[int, list[float]]], Column], source_col: str) -> Column:
     found = None
-    for source, rate in sorted(by_source.items()):
+    for source, own in sorted(by_source.items()):
         if source != "*":
-            found = (F.when if found is None else found.when)(F.col(source_col) == source, make(rate))
-    rest = make(by_source.get("*", 0.0))
+            found = (F.when if found is None else found.when)(F.col(source_col) == source, make(own))
+    rest = make(by_source.get("*", (0, [])))
     return rest if found is None else found.otherwise(rest)
 
 

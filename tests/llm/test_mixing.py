@@ -1,6 +1,7 @@
 import hashlib
 import math
 from collections import Counter
+from functools import cache
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,21 @@ def test_mix_is_the_same_each_time(spark):
     frame = spark.createDataFrame([(i, "abc", "src0") for i in range(50)], "doc_id long, text string, source string")
     assert sorted(mixing.mix(frame).collect()) == sorted(mixing.mix(frame.repartition(3)).collect())
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_copies_invert_poisson_at_every_rate(spark):
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("s").alias("source"))
+    for mean in (15.5, 16.5, 40.0, 300.0):
+        got = Counter(r.doc_id for r in mixing.mix(frame, by_source={"*": mean}).select("doc_id").collect())
+        assert [got[i] for i in range(400)] == [min(k for k in range(2000) if poisson_function(mean, k) > uniform(17, i)) for i in range(400)]
+
+
+@cache
+def poisson_function(mean, k):
+    return (poisson_function(mean, k - 1) if k else 0.0) + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+
+
+def test_thresholds_of_a_very_large_mean():
+    first, steps = mixing.thresholds(1e6)
+    assert 985_000 < first < 991_500 and len(steps) < 20_000 and steps == sorted(steps) and steps[0] == 0 and steps[-1] == pytest.approx(1, abs=1e-12)
+    assert steps[1_000_000 - first] == pytest.approx(0.5 + 2 / 3 / math.sqrt(2 * math.pi * 1e6), abs=1e-6)
