@@ -164,36 +164,50 @@ def features(words: list[str]) -> set[str]:
     return {x for w in words for x in (w, *(f"{w[:k]}~" for k in BEGINNINGS if len(w) >= k))}
 
 
+#: What a token that isn't in the table gives.
+_NOTHING = (0.0, "")
+
+
 class Scorer:
-    """Toxicity of tokens by a table of features; what it knows of tokens is bounded."""
+    """Toxicity of tokens by a table of features, with the words that they are restored to; what it knows of tokens is bounded."""
 
     def __init__(self, table: dict[str, float], model: np.ndarray, most: int = 1_000_000) -> None:
         self.table, self.model, self.most, self.known = table, model, most, {}
 
-    def token(self, token: str) -> float:
+    def token(self, token: str) -> tuple[float, str]:
         got = self.known.get(token)
         if got is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            table = self.table
-            got = self.known[token] = max((table.get(x, 0.0) for x in features(readings(token, self.model))), default=0.0)
+            table, words = self.table, readings(token, self.model)
+            score = max((table.get(x, 0.0) for x in features(words)), default=0.0)
+            got = self.known[token] = (score, words[-1]) if score else _NOTHING
         return got
 
-    def apart(self, run: str) -> float:
-        """A run of single characters: what it is restored to, from each of its places on."""
+    def apart(self, run: str) -> tuple[float, str]:
+        """A run of single characters: what it is restored to, from each of its places on; of equal scores a whole word's, then the longest word's."""
         signs = run.split()
         if not sum(map(str.isalpha, signs)) * 2 >= len(signs):
-            return 0.0
+            return _NOTHING
         word = restore("".join(signs), self.model)
-        table = self.table
-        return max((table.get(x, 0.0) for i in range(len(word) - 2) for x in (word[i:], *(f"{word[i:i + k]}~" for k in (5, 6) if len(word) >= i + k), *(word[i : i + k] for k in range(4, 13)))), default=0.0)
+        table, found = self.table, []
+        for i in range(len(word) - 2):
+            rest = word[i:]
+            found += [(table.get(w, 0.0), True, len(w), w) for w in (rest, *(rest[:k] for k in range(4, 13) if k < len(rest)))]
+            found += [(table.get(f"{rest[:k]}~", 0.0), False, len(rest), rest) for k in (5, 6) if len(rest) >= k]
+        score, _, _, best = max(found, default=(0.0, False, 0, ""))
+        return (score, best) if score else _NOTHING
 
     def top_two(self, text: str) -> tuple[float, float]:
-        found = set(map(self.token, set(text.split())) if len(text) < 1 << 16 else (self.token(x) for x in set(text.split())))
-        found.discard(0.0)
+        """The scores of the two most toxic words; a word counts once, however it is written."""
+        found = set(map(self.token, set(text.split())))
         if _APART.search(text):
             found |= {self.apart(m.group(0)) for m in _APART.finditer(text)}
-        best = sorted(found, reverse=True)[:2]
+        found.discard(_NOTHING)
+        words: dict[str, float] = {}
+        for score, word in found:
+            words[word] = max(score, words.get(word, 0.0))
+        best = sorted(words.values(), reverse=True)[:2]
         return (*best, 0.0, 0.0)[:2]
 
 

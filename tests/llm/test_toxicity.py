@@ -73,3 +73,19 @@ def test_without_labels_or_texts(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in toxicity.score(docs, none).collect()] == [(1, False, 0.0, 0)]
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_two_words_of_one_share_count_as_two():
+    import pyarrow as pa
+
+    counts = np.zeros(toxicity.LETTERS**3)
+    out = next(toxicity._count_batches(iter([pa.RecordBatch.from_arrays([pa.array([" ".join(["gnorbel", "fwizzo", "nation", "letter"] * 50)])], names=["t"])])))
+    counts[out.column(0).to_numpy()] = out.column(1).to_numpy()
+    three = counts.reshape([toxicity.LETTERS] * 3)
+    model = np.log((three + 0.01) / (three.sum(axis=2, keepdims=True) + 0.64)).astype(np.float32).ravel()
+    scorer = toxicity.Scorer({"gnorbel": 0.9, "fwizzo": 0.9, "gnorb~": 0.9, "lette~": 0.6}, model)
+    assert scorer.top_two("a gnorbel and fwizzo letter") == (0.9, 0.9)
+    assert scorer.top_two("a gnorbel and f w i z z o") == (0.9, 0.9)
+    assert scorer.top_two("gnorbel GNORBEL! gn0rbel g n o r b e l x") == (0.9, 0.0)
+    assert scorer.top_two("gnorbel Gnorbel, letter") == (0.9, 0.6)
+    assert scorer.top_two("nation") == scorer.top_two("") == (0.0, 0.0)
