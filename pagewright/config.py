@@ -35,5 +35,5 @@ class Settings:
     filename_pattern: str = "{title} {date}"
     no_date_label: str = "undated"
     drop_blank_pages: bool = True
-    metadata_max_chars: int = 12_000
+    metadata_max_chars: int = 24_000
     ocr_chunk_pages: int = 50

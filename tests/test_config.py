@@ -1,4 +1,4 @@
-from pagewright.config import pages_at_once, retention_days
+from pagewright.config import Settings, pages_at_once, retention_days
 
 
 def test_pages_at_once():
@@ -7,3 +7,7 @@ def test_pages_at_once():
 
 def test_retention_days():
     assert [retention_days(v, 30) for v in (None, "", "7", "0.5", "2.4", "-3", "x", "inf")] == [30, 30, 7, 1, 2, 0, 30, 30]
+
+
+def test_text_limit_is_the_references():
+    assert Settings().metadata_max_chars == 24_000
