@@ -26,7 +26,7 @@ from pagewright.llm.common import let_workers_import, text_or_empty
 from pagewright.llm.pieces import PieceStore, Ragged, cut, slices, text_buffer
 
 #: Widths of the buckets, in bytes. Longer pieces take the heap.
-WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
+WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
 #: Distinct pieces that a worker remembers at most; then it starts anew. A piece takes about 250 bytes.
 MOST_PIECES = 400_000
 _NONE = np.int32(2**31 - 1)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import hidden, let_workers_import
-from pagewright.llm.pieces import mixed, prefix_hashes, range_hashes, slices, text_buffer
+from pagewright.llm.pieces import mixed, slices, text_buffer, word_hashes
 from pagewright.llm.tiles import candidate_groups, link_rows, sized
 
 N = 5
@@ -52,7 +52,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     edge[offsets] = True
     starts = np.flatnonzero(~space[1:-1] & (space[:-2] | edge[:-1]))
     ends = np.flatnonzero(~space[1:-1] & (space[2:] | edge[1:])) + 1
-    words = range_hashes(prefix_hashes(data[:n]), starts, ends)
+    words = word_hashes(data[:n], starts, ends)
     bounds = np.searchsorted(starts, offsets)
     counts = np.diff(bounds)
     many = np.maximum(counts - N + 1, np.minimum(counts, 1))

@@ -1,11 +1,13 @@
 """Cutting text into the pieces that byte-level BPE encodes one by one, over whole batches of UTF-8 bytes at a time.
 
 ``cut`` gives the matches of the usual pattern of byte-level tokenizers (public_tokenizers.PATTERN): runs of letters, of numbers or of
-other marks, each with one space before it; short English contractions; and white space. ``PieceIndex`` numbers distinct pieces by
-a 64-bit polynomial hash with the length, in a table of bounded size."""
+other marks, each with one space before it; short English contractions; and white space. ``PieceStore`` numbers distinct pieces: a
+64-bit hash finds a piece in a table of bounded size, and its bytes confirm it."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -171,53 +173,138 @@ class PieceIndex:
         return out
 
 
+#: Ranges of up to this many bytes are held in two words, which say all of them.
+SHORT = 16
+_WORD_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+
+
+def packed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes from each start to its end, as two little-endian words; zero behind the end."""
+    room = np.zeros(len(data) + SHORT, np.uint8)
+    room[: len(data)] = data
+    words = np.ndarray((len(data) + SHORT - 7,), "<u8", room, strides=(1,))
+    out = []
+    for at in (0, 8):
+        length = np.clip(end - start - at, 0, 8).astype(np.uint64)
+        mask = np.where(length == 0, np.uint64(0), np.uint64(2**64 - 1) >> (np.uint64(64) - np.maximum(length, 1) * np.uint64(8)))
+        out.append(words[np.minimum(start + at, len(words) - 1)] & mask)
+    return out[0], out[1]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, pair: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """64-bit hashes of the bytes from start to end: of their two words and length up to 16 bytes, beyond that of a cryptographic digest."""
+    low, high = pair or packed(data, start, end)
+    length = end - start
+    out = mixed(mixed(low * _WORD_FACTORS[0] + length.astype(np.uint64)) + mixed(high * _WORD_FACTORS[1] + _WORD_FACTORS[2]))
+    long = np.flatnonzero(length > SHORT)
+    if len(long):
+        whole = data.tobytes()
+        digest = b"".join(hashlib.blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True))
+        out[long] = np.frombuffer(digest, "<u8")
+    return out
+
+
 class PieceStore:
-    """Numbers distinct pieces; ``learn`` is called with the bytes of new ones, in the order of their numbers, and ``forget`` when the
-    store would hold more than ``most`` and starts anew, so that a worker's memory is bounded."""
+    """Numbers distinct pieces by their bytes; ``learn`` is called with the bytes of new ones, in the order of their numbers, and ``forget`` when
+    the store would hold more than ``most`` pieces or ``most_bytes`` bytes and starts anew, so that a worker's memory is bounded.
+
+    A hash only finds a candidate: its words, and the bytes of pieces beyond two words, are compared, and a piece whose place is taken by another of the
+    same hash looks on under a next hash."""
 
-    def __init__(self, learn, forget, most: int = 1_000_000) -> None:
-        self.learn, self.forget, self.most, self.index = learn, forget, most, PieceIndex()
+    def __init__(self, learn, forget, most: int = 1_000_000, most_bytes: int = 64 << 20, hashes=word_hashes) -> None:
+        self.learn, self.forget, self.most, self.most_bytes, self.hashes = learn, forget, most, most_bytes, hashes
+        self._empty()
+
+    def _empty(self) -> None:
+        self.index, self.held = PieceIndex(), 0
+        self.known = [Ragged("<u8"), Ragged("<u8"), Ragged("<i8")]  # both words and the length, by number
+        self.long: dict[int, bytes] = {}
 
     def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece of the texts, and how many pieces come before each text (and in all)."""
         data, offsets = text_buffer(column)
         start = cut(data, offsets)
         end = np.append(start[1:], offsets[-1])[: len(start)]
-        hashes = range_hashes(prefix_hashes(data[: offsets[-1]]), start, end) ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        found = self.index.find(hashes)
+        pair = packed(data, start, end)
+        pieces = (*pair, end - start, start, data.tobytes())
+        keys = self.hashes(data, start, end, pair)
+        found = self._find(pieces, np.arange(len(start)), keys)
         if (found < 0).any():
-            found = self._new(data, start, end, hashes, found)
+            found = self._new(pieces, keys, found)
         return found, np.searchsorted(start, offsets)
 
-    def _new(self, data, start, end, hashes, found):
+    def _find(self, pieces, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the rows' pieces, -1 where there is none; keys moves on to the hash under which the search ended."""
+        low, high, length, start, whole = pieces
+        found = self.index.find(keys[rows])
+        open_ = np.flatnonzero(found >= 0)
+        while len(open_):
+            at, numbers = rows[open_], found[open_]
+            same = (self.known[0].values[numbers] == low[at]) & (self.known[1].values[numbers] == high[at]) & (self.known[2].values[numbers] == length[at])
+            for i in np.flatnonzero(same & (length[at] > SHORT)).tolist():
+                a = int(start[at[i]])
+                same[i] = whole[a : a + int(length[at[i]])] == self.long[int(numbers[i])]
+            open_ = open_[~same]
+            keys[rows[open_]] = mixed(keys[rows[open_]] + _WORD_FACTORS[0])
+            found[open_] = self.index.find(keys[rows[open_]])
+            open_ = open_[found[open_] >= 0]
+        return found
+
+    def _new(self, pieces, keys, found):
+        low, high, length, start, whole = pieces
         fresh = np.flatnonzero(found < 0)
-        keys, first = np.unique(hashes[fresh], return_index=True)
-        if self.index.size and self.index.size + len(keys) > self.most:
-            self.index = PieceIndex()
+        first = np.unique(keys[fresh], return_index=True)[1]
+        if self.index.size and (self.index.size + len(first) > self.most or self.held + int(length[fresh[first]].sum()) > self.most_bytes):
+            self._empty()
             self.forget()
-            fresh = np.arange(len(hashes))
-            keys, first = np.unique(hashes, return_index=True)
-        rows = fresh[first]
-        whole = data.tobytes()
-        self.learn([whole[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist(), strict=True)])
-        self.index.add(keys)
-        found[fresh] = self.index.find(hashes[fresh])
+            fresh = np.arange(len(keys))
+        while len(fresh):  # a round more for each further piece of one hash
+            rows = fresh[np.unique(keys[fresh], return_index=True)[1]]
+            size = self.index.size
+            own = [whole[a : a + n] for a, n in zip(start[rows].tolist(), length[rows].tolist(), strict=True)]
+            self.learn(own)
+            self.long.update((size + i, own[i]) for i in np.flatnonzero(length[rows] > SHORT).tolist())
+            for known, values in zip(self.known, (low, high, length), strict=True):
+                known.extend(values[rows], np.ones(len(rows), np.int64))
+            self.held += int(length[rows].sum())
+            self.index.add(keys[rows])
+            found[fresh] = self._find(pieces, fresh, keys)
+            fresh = fresh[found[fresh] < 0]
         return found
 
 
 class Ragged:
-    """Growing arrays of unequal lengths, one after another."""
+    """Growing arrays of unequal lengths, one after another, in room that doubles."""
 
     def __init__(self, kind: str) -> None:
-        self.values, self.counts, self.starts = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._values, self._counts, self._starts = np.zeros(16, kind), np.zeros(16, np.int64), np.zeros(16, np.int64)
+        self.used, self.size = 0, 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._values[: self.used]
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self._counts[: self.size]
+
+    @staticmethod
+    def _put(room: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+        if used + len(values) > len(room):
+            wider = np.zeros(max(2 * len(room), used + len(values)), room.dtype)
+            wider[:used] = room[:used]
+            room = wider
+        room[used : used + len(values)] = values
+        return room
 
     def extend(self, values: np.ndarray, counts: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])
+        self._starts = self._put(self._starts, self.size, self.used + np.cumsum(counts) - counts)
+        self._counts = self._put(self._counts, self.size, counts)
+        self._values = self._put(self._values, self.used, values)
+        self.size, self.used = self.size + len(counts), self.used + len(values)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows' values one after another, and where each row's begin (and the end)."""
-        counts = self.counts[rows]
+        counts = self._counts[rows]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return self.values[np.repeat(self.starts[rows] - ends[:-1], counts) + np.arange(ends[-1])], ends
+        return self._values[np.repeat(self._starts[rows] - ends[:-1], counts) + np.arange(ends[-1])], ends

@@ -95,6 +95,15 @@ def test_pruning_keeps_alike_pairs_and_drops_others():
     assert (0, 1) in set(zip(a.tolist(), b.tolist())) and (0, 2) not in set(zip(a.tolist(), b.tolist()))
 
 
+def test_long_words_are_told_apart():
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(65536))
+    texts = [w for n in (17, 1024, 2048, 65536) for w in (thue[:n], thue[:n].translate({97: 98, 98: 97}))] + ["x" * 16, "x" * 17, "x" * 15, "x" * 15 + "\0"]
+    hashes, bounds = jaccard.shingles(*text_buffer(pa.array(texts)))
+    assert len(set(hashes.tolist())) == len(texts) == len(hashes)
+    again, _ = jaccard.shingles(*text_buffer(pa.array(["y " + x + " z" for x in texts])))
+    assert len(set(again.tolist())) == len(texts)
+
+
 def test_shingles_of_each_text_stand_apart():
     texts = ["a b c d e f", "", "b c", "\x0ba b c d e", "é"]
     hashes, bounds = jaccard.shingles(*text_buffer(pa.array(texts)))

@@ -53,6 +53,14 @@ def test_pieces_give_what_whole_texts_give():
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.library.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_equal_hashes_and_very_long_texts():
+    own = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(65536))
+    texts = [thue[:2048], thue[:2048].translate({97: 98, 98: 97}), thue, thue.translate({97: 98, 98: 97}), "word and " * 20_000, "z" * 100_000]
+    ids, bounds = own(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [own.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_a_small_store_starts_anew(monkeypatch):
     monkeypatch.setattr(token_files, "MOST_PIECES", 50)
     own = token_files.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
