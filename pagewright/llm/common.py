@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ def written(frame: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     spark = frame.sparkSession
     path = scratch_path(spark, name)
     frame.write.parquet(path)
-    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    remove_at_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path), path
 
 
@@ -52,15 +54,39 @@ def remove(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder when the session's JVM ends, for what a lazy result still reads."""
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_shipped: set[str] = set()
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package at the driver's path, if nothing else gives it to them."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if _PACKAGE_ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
+    """Python workers find this package: in local mode at the driver's path, on a cluster in an archive that goes to all executors by way of the shared folder."""
+    context = spark.sparkContext
+    if context.master == "local" or context.master.startswith("local["):
+        paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if _PACKAGE_ROOT not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
+    elif context.applicationId not in _shipped:
+        package = os.path.join(_PACKAGE_ROOT, __name__.partition(".")[0])
+        room = io.BytesIO()
+        with zipfile.ZipFile(room, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, files in os.walk(package):
+                for file in sorted(x for x in files if x.endswith(".py")):
+                    archive.write(os.path.join(folder, file), os.path.relpath(os.path.join(folder, file), _PACKAGE_ROOT))
+        path = f"{scratch_path(spark, 'package')}.zip"
+        out = _file_system(spark, path).create(spark._jvm.org.apache.hadoop.fs.Path(path))
+        out.write(bytearray(room.getvalue()))
+        out.close()
+        remove_at_exit(spark, path)
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -74,3 +100,13 @@ def text_or_empty(column: str = "text") -> Column:
 def hidden(name: str) -> str:
     """A name for a helper column that an input's extra columns won't have."""
     return f"__pw_{name}"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns as c0, c1 ...: no column of an input then clashes with a helper's; ``toDF(*docs.columns)`` names them back."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def number_of(docs: DataFrame, column: str) -> str:
+    """A column's name in ``numbered``."""
+    return f"c{[c.lower() for c in docs.columns].index(column.lower())}"

@@ -4,13 +4,15 @@ A source's rate is target weight * all characters / its characters: the mean num
 occur. Each document's number of copies inverts a Poisson distribution of that mean at a uniform number that a hash of seed and
 document id gives, so a rerun gives the same mix. Documents are exploded by their copies and dealt out over the whole output by
 another hash of seed, id and copy, and sorted by it within partitions: a global shuffle in which no source or copy group meets.
+Rows of one id and copy number share a position.
 
 The rates have one row per named source and one for all others ("*"), so their number is bounded by the parameter and they are
 put into the plan as constants; the corpus' counts cover all rows.
 
 Defined results: a null or empty text has length 0 and takes its source's rate; a null source belongs to "*"; a null id hashes
 as the empty string. Rows with equal ids get equal numbers of copies. A named source without characters gets rate 0. An empty
-table gives an empty mix. Extra columns are kept; ``copy`` and ``position`` are added by ``mix`` and not by ``mixed_documents``.
+table gives an empty mix. Extra columns are kept by ``mixed_documents``, whatever their names; ``mix`` adds ``copy`` and ``position``, in the place of input
+columns of these names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import hidden, shuffle_partitions
+from pagewright.llm.common import hidden, number_of, numbered, shuffle_partitions
 
 #: The production mix: shares of all characters. "*" stands for all sources that aren't named.
 WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "src3": 0.08, "*": 0.56}
@@ -92,19 +94,24 @@ def _by_source(by_source: Mapping[str, tuple[int, list[float]]], make: Callable[
     return rest if found is None else found.otherwise(rest)
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", by_source: Mapping[str, float] | None = None) -> DataFrame:
-    """The documents' columns, copy (from 0) and position (the hash that orders the output)."""
+def _placed(docs: DataFrame, weights: Mapping[str, float], seed: int, id_col: str, source_col: str, text_col: str, by_source: Mapping[str, float] | None) -> DataFrame:
+    """The documents' columns by number, copy and position, shuffled."""
     by_source = by_source if by_source is not None else rates(docs, weights, source_col, text_col)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "position")]
-    counted = docs.select(*own, copies(by_source, uniform(seed, F.col(id_col)), source_col).alias(_COPIES))
-    many = counted.filter(F.col(_COPIES) > 0)
-    each = many.select(*own, F.explode(F.sequence(F.lit(0), F.col(_COPIES) - 1)).alias("copy"))
-    text = F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string"))
+    rows, id_, source = numbered(docs), F.col(number_of(docs, id_col)), number_of(docs, source_col)
+    many = rows.withColumn(_COPIES, copies(by_source, uniform(seed, id_), source)).filter(F.col(_COPIES) > 0)
+    each = many.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(_COPIES) - 1))).drop(_COPIES)
+    text = F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(id_.cast("string"), F.lit("")), F.col("copy").cast("string"))
     placed = each.withColumn("position", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
-    # positions are uniform, so their leading bits cut the output into even ranges without a sampling pass
-    return placed.repartition(shuffle_partitions(docs.sparkSession), F.shiftright("position", 44)).sortWithinPartitions("position")
+    return placed.repartition(shuffle_partitions(docs.sparkSession), "position").sortWithinPartitions("position")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", by_source: Mapping[str, float] | None = None) -> DataFrame:
+    """The documents' columns, copy (from 0) and position (the hash that orders the output within each of its partitions)."""
+    placed = _placed(docs, weights, seed, id_col, source_col, text_col, by_source)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "position")]
+    return placed.select(*own, "copy", "position")
 
 
-def mixed_documents(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", by_source: Mapping[str, float] | None = None) -> DataFrame:
     """The mix with the documents' columns only."""
-    return mix(docs, weights, seed).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _placed(docs, weights, seed, id_col, source_col, text_col, by_source).drop("copy", "position").toDF(*docs.columns)

@@ -21,12 +21,12 @@ FROM m
 """
 
 MIX_SOURCES = """
-WITH RECURSIVE w(source, weight) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.08), ('src2', 0.08), ('src3', 0.08), ('*', 0.56)),
+WITH w(source, weight) AS (VALUES ('src0', 0.2::DOUBLE), ('src1', 0.08), ('src2', 0.08), ('src3', 0.08), ('*', 0.56)),
 d AS (SELECT *, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '*' END AS grp FROM documents),
 c AS (SELECT grp, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM d GROUP BY grp),
 r AS (SELECT grp, CASE WHEN chars > 0 THEN weight / (SELECT sum(weight) FROM w) * (SELECT sum(chars) FROM c) / chars ELSE 0 END AS rate FROM c JOIN w ON grp = w.source),
-t AS (SELECT grp, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM r WHERE rate > 0
-      UNION ALL SELECT grp, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM t WHERE k < 60),
+t AS (SELECT grp, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY grp ORDER BY k) AS total
+      FROM r, unnest(range(0, (rate + 12 * sqrt(rate) + 40)::BIGINT)) AS u(k) WHERE rate > 0),
 a AS (SELECT grp, list(total ORDER BY k) AS steps FROM t GROUP BY grp),
 n AS (SELECT d.*, len(list_filter(steps, lambda s: s <= ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) AS copies FROM d JOIN a USING (grp)),
 e AS (SELECT * FROM n, unnest(range(0, copies)) AS u(copy))

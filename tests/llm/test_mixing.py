@@ -44,11 +44,38 @@ def test_large_means_and_shuffle(spark):
     frame = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("s").alias("source"))
     out = mixing.mix(frame, by_source={"*": 40.0})
     counts = Counter(r.doc_id for r in out.select("doc_id").collect())
-    assert abs(sum(counts.values()) / 300 - 40) < 1.5 and min(counts.values()) >= 24
+    assert [counts[i] for i in range(300)] == [min(k for k in range(200) if poisson_function(40.0, k) > uniform(17, i)) for i in range(300)]
+    spread = sum((counts[i] - 40) ** 2 for i in range(300)) / 300
+    assert abs(sum(counts.values()) / 300 - 40) < 1.5 and 30 < spread < 52  # the variance of a Poisson distribution is its mean
     parts = out.select(F.spark_partition_id().alias("p"), "position", "copy").collect()
     assert len({r.p for r in parts}) > 1 and len({(r.position, r.copy) for r in parts}) == len(parts)
 
 
+def test_clashing_columns_keep_their_values(spark):
+    rows = [(i, "abc", "s", 777 + i, -i, 5, 6, None) for i in range(40)] + [(None, None, None, None, None, None, None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, position long, __pw_copies int, c0 int, `a.b` int")
+    out = mixing.mixed_documents(frame, by_source={"*": 1.5})
+    assert out.columns == frame.columns
+    got = Counter(map(tuple, out.collect()))
+    want = Counter({r: poisson(1.5, uniform(17, r[0])) for r in rows})
+    assert got == +want
+    assert mixing.mix(frame).columns == ["doc_id", "text", "source", "__pw_copies", "c0", "a.b", "copy", "position"]
+
+
+def test_sql_inverts_the_same_distribution(spark, tmp_path):
+    import duckdb
+
+    from pagewright.llm import oracles
+
+    rows = [(i, "x" * (3 if i < 3 else 400), "src1" if i < 3 else "other", "en", 1) for i in range(400)]  # src1 is so small that its rate is in the thousands
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").select("doc_id", "text", "lang", "source", "n_chars")
+    frame.coalesce(1).write.parquet(str(tmp_path / "d"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    assert max(mixing.rates(frame).values()) > 1000
+    assert sorted(map(tuple, mixing.mix(frame).collect())) == sorted(db.execute(oracles.MIX_SOURCES).fetchall())
+
+
 def test_mix_is_the_same_each_time(spark):
     frame = spark.createDataFrame([(i, "abc", "src0") for i in range(50)], "doc_id long, text string, source string")
     assert sorted(mixing.mix(frame).collect()) == sorted(mixing.mix(frame.repartition(3)).collect())
