@@ -8,7 +8,7 @@ File format, in a folder that driver and executors share:
   documents, then n bytes of which 1 marks a null document id;
 * ``manifest.json``: the width, and per part its documents, its ids, and its base, the prefix sum of the ids of all parts before.
 
-Documents are dealt out by ranges of the document id and sorted, so parts and the documents in them ascend (null first; equal
+Documents are dealt out by ranges of the document id and the first characters of the text, and sorted, so parts and the documents in them ascend (null first; equal
 ids by text). Each task writes under a name of its own and renames at the end: a repeated task leaves the same file. Only the
 manifest's rows, one per part, reach the driver.
 
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import let_workers_import, scratch_path, shuffle_partitions, text_or_empty
+from pagewright.llm.common import let_workers_import, remove_at_exit, scratch_path, shuffle_partitions, text_or_empty
 from pagewright.llm.pieces import PieceStore, Ragged, slices
 
 #: Distinct pieces that a worker remembers at most; then it starts anew.
@@ -164,7 +164,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0
     width, place = (2 if most < 1 << 16 else 4), _local(folder)
     os.makedirs(place, exist_ok=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's beginning parts rows of one id, or without any, that a range by the id alone would leave in one task
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     made = dealt.mapInArrow(lambda batches: _write(place, file, width, end_id, batches), "part int, n_docs long, n_tokens long")
     parts, base = [], 0
     for part, n, ids in sorted(map(tuple, made.collect())):  # one row per part
@@ -227,6 +228,8 @@ def read(spark: SparkSession, files: TokenFiles) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Writes docs into the shared folder, and reads the files."""
-    files = write(docs, scratch_path(docs.sparkSession, "token-files"))
+    """Writes docs into the shared folder, and reads the files, which go when the session ends."""
+    folder = scratch_path(docs.sparkSession, "token-files")
+    files = write(docs, folder)
+    remove_at_exit(docs.sparkSession, folder)
     return read(docs.sparkSession, files)
