@@ -9,7 +9,8 @@
    labelled texts gave each other.
 
 Labels are taken from a documented sample: MOST_LABELLED labelled documents at most, by a hash of the id, of those with
-crc32(id) % 3 != 1; equal texts count once. Features kept are at most MOST_FEATURES. Neither labels nor language, source or id are inputs of a score.
+crc32(id) % 3 != 1; equal texts count once, and of the texts that these ids bring MOST_LABELLED at most, by a hash of the text. Every feature of them that
+occurs in _LEAST_SUPPORT texts and tells toxic ones apart is kept: their number is bounded by the sample. Neither labels nor language, source or id are inputs of a score.
 
 Defined results: a null or empty text has no words and gets the model's base score. Repeated rows are scored one by one; ids labelled twice count as two
 labels. A null id is not held out. Without labels of both kinds every score is 0. An empty table gives an empty result. Extra columns are ignored.
@@ -26,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import let_workers_import
+from pagewright.llm.common import let_workers_import, shuffle_partitions
 from pagewright.llm.pieces import slices, text_buffer
 
 MOST_LABELLED = 20_000
-MOST_FEATURES = 50_000
 THRESHOLD = 0.7
 #: Lengths of beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5, 6)
@@ -67,7 +67,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             data, _ = text_buffer(part)
             codes = np.where(data[:-1] == 0xC3, _TWO[data[1:]], _ONE[data[:-1]])
             codes[(data[:-1] >= 0xC2) & (data[:-1] != 0xC3)] = _OTHER
-            codes = np.concatenate([[0, 0], codes[(data[:-1] & 0xC0) != 0x80], [0, 0]])
+            codes = np.concatenate([[0, 0], codes[(data[:-1] & 0xC0) != 0x80][:-3]])  # without the bytes behind the texts
             total += np.bincount(codes[:-2] * LETTERS**2 + codes[1:-1] * LETTERS + codes[2:], minlength=LETTERS**3)
     cells = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
@@ -76,7 +76,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def letter_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(c | a, b) as LETTERS**3 floats, from all texts; trigrams are mixed with bigrams and single letters."""
     let_workers_import(docs.sparkSession)
-    parts = docs.filter(F.col(text_col).isNotNull()).select(text_col).mapInArrow(_count_batches, "cell int, n long")
+    # two edges behind each text, so that the counts are the same however texts are batched
+    parts = docs.filter(F.col(text_col).isNotNull()).select(F.concat(F.col(text_col), F.lit("\n\n")).alias("text")).mapInArrow(_count_batches, "cell int, n long")
     counts = np.zeros(LETTERS**3)
     for cell, n in parts.groupBy("cell").agg(F.sum("n")).toLocalIterator():  # LETTERS ** 3 rows at most
         counts[cell] = n
@@ -169,16 +170,19 @@ _NOTHING = (0.0, "")
 
 
 class Scorer:
-    """Toxicity of tokens by a table of features, with the words that they are restored to; what it knows of tokens is bounded."""
+    """Toxicity of tokens by a table of features, with the words that they are restored to; what it knows of tokens is bounded, in numbers and in characters."""
 
-    def __init__(self, table: dict[str, float], model: np.ndarray, most: int = 1_000_000) -> None:
-        self.table, self.model, self.most, self.known = table, model, most, {}
+    def __init__(self, table: dict[str, float], model: np.ndarray, most: int = 1_000_000, most_chars: int = 32 << 20) -> None:
+        self.table, self.model, self.most, self.most_chars, self.known, self.chars = table, model, most, most_chars, {}, 0
+        self.longest = max(map(len, table), default=0)
 
     def token(self, token: str) -> tuple[float, str]:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) >= self.most:
+            self.chars += len(token)
+            if len(self.known) >= self.most or self.chars > self.most_chars:
                 self.known.clear()
+                self.chars = len(token)
             table, words = self.table, readings(token, self.model)
             score = max((table.get(x, 0.0) for x in features(words)), default=0.0)
             got = self.known[token] = (score, words[-1]) if score else _NOTHING
@@ -192,9 +196,9 @@ class Scorer:
         word = restore("".join(signs), self.model)
         table, found = self.table, []
         for i in range(len(word) - 2):
-            rest = word[i:]
-            found += [(table.get(w, 0.0), True, len(w), w) for w in (rest, *(rest[:k] for k in range(4, 13) if k < len(rest)))]
-            found += [(table.get(f"{rest[:k]}~", 0.0), False, len(rest), rest) for k in (5, 6) if len(rest) >= k]
+            rest = word[i : i + self.longest + 12]  # beyond it, no word of the table can be what is left
+            found += [(x, True, len(w), w) for w in (rest, *(rest[:k] for k in range(4, 13) if k < len(word) - i)) if (x := table.get(w))]
+            found += [(x, False, len(rest), rest) for k in (5, 6) if len(rest) >= k and (x := table.get(f"{rest[:k]}~"))]
         score, _, _, best = max(found, default=(0.0, False, 0, ""))
         return (score, best) if score else _NOTHING
 
@@ -262,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # the sample has MOST_LABELLED rows of two numbers at most
     joined = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"]).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
-    known = joined.persist()
+    # ids may repeat in docs: the sample's bound holds for texts, too
+    known = joined.orderBy(F.xxhash64("text"), "text", "toxic").limit(MOST_LABELLED).repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("text")).persist()
     try:
         n, positive = known.agg(F.count("*"), F.sum("toxic")).first()
         if not n or positive in (0, n):
@@ -272,8 +277,14 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
         sums = [F.sum(F.when(F.col("half") == h, v).otherwise(0)).alias(f"{k}{h}") for h in (0, 1) for k, v in (("t", F.col("toxic")), ("n", F.lit(1)))]
         summed = each.groupBy("feature").agg(*sums)
         share = (F.col("t0") + F.col("t1") + _SHRINK * prior) / (F.col("n0") + F.col("n1") + _SHRINK)
-        kept = summed.filter((F.col("n0") + F.col("n1") >= _LEAST_SUPPORT) & (share > min(0.5, 2 * prior))).orderBy(share.desc(), "feature").limit(MOST_FEATURES).collect()
-        tables = [{r.feature: (t + _SHRINK * prior) / (m + _SHRINK) for r in kept if (m := sum(r[f"n{h}"] for h in halves)) and (t := sum(r[f"t{h}"] for h in halves)) + 1} for halves in ((1,), (0,), (0, 1))]
+        kept = summed.filter((F.col("n0") + F.col("n1") >= _LEAST_SUPPORT) & (share > min(0.5, 2 * prior))).collect()  # bounded by the sample
+
+
+        def shares(halves: tuple[int, ...]) -> dict[str, float]:
+            counted = ((r.feature, sum(r[f"t{h}"] for h in halves), sum(r[f"n{h}"] for h in halves)) for r in kept)
+            return {feature: (t + _SHRINK * prior) / (n + _SHRINK) for feature, t, n in counted if n}
+
+        tables = [shares(halves) for halves in ((1,), (0,), (0, 1))]
 
         def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorers = [Scorer(x, model) for x in tables[:2]]
