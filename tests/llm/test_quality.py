@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from pagewright.llm import quality
 
 
@@ -51,5 +53,39 @@ def test_order_changes_no_verdict(spark):
     frame = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
     rules = quality.order_rules(frame)
     assert sorted(r.name for r in rules) == sorted(r.name for r in quality.RULES)
-    kept = [{r.doc_id for r in quality.keep_good(frame, some, sample_rows=5).collect()} for some in (quality.RULES, quality.RULES[::-1])]
+    every = (*quality.BASE_RULES, *quality.RULES)
+    kept = [{r.doc_id for r in quality.keep_good(frame, some, sample_rows=5).collect()} for some in (every, every[::-1])]
     assert kept[0] == kept[1]
+
+
+def test_cheap_strict_rules_come_before_costly_lax_ones(spark):
+    frame = spark.createDataFrame([(i, words(200, i)) for i in range(60)], "doc_id long, text string")
+    costly = lambda c: F.length(F.regexp_replace(F.repeat(quality._TEXT, 40), r"(w)(o)(r)(d)", "$4$3$2$1")) < 0
+    lax = quality.Rule("costly_lax", costly)
+    strict = quality.Rule("cheap_strict", lambda c: c.n_words() > 0)
+    rare = quality.Rule("cheap_lax", lambda c: c.n_words() < 0)
+    costly_strict = quality.Rule("costly_strict", lambda c: ~costly(c))
+    for rules in ([lax, strict, rare], [rare, lax, strict]):
+        assert [r.name for r in quality.order_rules(frame, rules)] == ["cheap_strict", "cheap_lax", "costly_lax"]
+    assert [r.name for r in quality.order_rules(frame, [lax, costly_strict])] == ["costly_strict", "costly_lax"]
+    same = [quality.Rule(str(i), lambda c: c.n_words() < 0) for i in range(2)]
+    assert sorted(r.name for r in quality.order_rules(frame, same)) == ["0", "1"]
+
+
+def test_only_some_files_of_a_large_table_are_sampled(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"text {i}") for i in range(800)], "doc_id long, text string").repartition(16).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(quality, "SAMPLED_ROWS", 200)
+    some = quality._sample(docs, 10_000, "text")
+    assert 0 < some.count() < 500
+    local = spark.createDataFrame([(i, f"text {i}") for i in range(800)], "doc_id long, text string")
+    assert quality._sample(local, 10_000, "text").count() == 800  # no scan of files
+    assert {r.name for r in quality.order_rules(docs)} == {r.name for r in quality.RULES}
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(i, t, "x", i, -i, 3) for i, t in enumerate(TEXTS)] + [(None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __pw_words string, __pw_n int, c0 int, n_words int")
+    out = quality.keep_good(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(r) for r in rows if brute(r[1])[-1])
