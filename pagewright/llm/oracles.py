@@ -32,3 +32,15 @@ n AS (SELECT d.*, len(list_filter(steps, lambda s: s <= ('0x' || substr(md5('17:
 e AS (SELECT * FROM n, unnest(range(0, copies)) AS u(copy))
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 15))::BIGINT AS position FROM e
 """
+
+#: Host, path, rule and the rule's verdict; the model's verdicts are left null.
+URL_RULES = r"""
+WITH r(verdict, rule, host, path) AS (VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS own, rest FROM a),
+p AS (SELECT row_number() OVER () AS rid, page_id, translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(own) + 1), '^[^?#]*') AS path FROM b),
+f AS (SELECT rid, rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, rule) AS n
+      FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f ON p.rid = f.rid AND f.n = 1
+"""

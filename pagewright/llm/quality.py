@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import hidden, number_of, numbered, text_or_empty
 
 _SPACES = " \t\n\x0b\f\r"
-_TEXT, _TRIMMED, _WORDS, _N, _LINES, _KEEP = (hidden(x) for x in ("text", "trimmed", "words", "n", "lines", "keep"))
+_TEXT, _TRIMMED, _WORDS, _N, _MASK, _LINES, _KEEP = (hidden(x) for x in ("text", "trimmed", "words", "n", "mask", "lines", "keep"))
 #: About so many rows are looked at to draw the sample; of larger tables, some files.
 SAMPLED_ROWS = 20_000_000
-#: The sample is judged so many times over in a run, and the least of so many runs counts.
-_TIMES, _RUNS = 8, 2
+#: The sample is judged so many times over in a run, and the least of so many runs counts, behind one that compiles the code.
+_TIMES, _RUNS = 4, 1
 
 
 class Counts:
@@ -79,11 +79,13 @@ class Rule:
 
 
 def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the text, its words and their number as helper columns."""
+    """Adds the text, its words, their number, and a mask of the bits above those that a word's place takes, as helper columns."""
     trimmed = docs.withColumn(_TEXT, text_or_empty(text_col)).withColumn(_TRIMMED, F.btrim(_TEXT, F.lit(_SPACES)))
     words = trimmed.withColumn(_WORDS, F.split(F.col(_TRIMMED), r"[\x20\x09-\x0D]+"))
     n = F.when(F.col(_TRIMMED) == "", F.lit(0)).otherwise(F.size(_WORDS))
-    return words.withColumn(_N, F.coalesce(n, F.lit(0)).cast("long"))
+    numbered_ = words.withColumn(_N, F.coalesce(n, F.lit(0)).cast("long"))
+    above = -F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.col(_N))))
+    return numbered_.withColumn(_MASK, F.coalesce(above, F.lit(-1).cast("long")))
 
 
 def word_chars() -> Column:
@@ -105,22 +107,19 @@ def lines() -> Column:
     return _bound(worded, lambda own: F.struct(F.size(own).cast("long").alias("n"), (F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("dup")))
 
 
-def _mask() -> Column:
-    """Of the bits above those that a word's position takes."""
-    return F.coalesce(-F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.col(_N)))), F.lit(-1).cast("long"))
-
-
 def _sorted_windows() -> Column:
     """3-word windows as longs, sorted: a hash in the high bits, the window's position in the low bits.
 
     The array sort is one of primitives, so a document of n words costs n log n and no shuffle."""
-    at = F.sequence(F.lit(0).cast("long"), F.col(_N) - 3)
 
-    def packed(i: Column) -> Column:
-        word = [F.get(_WORDS, (i + k).cast("int")) for k in range(3)]
-        return F.xxhash64(*word).bitwiseAND(_mask()).bitwiseOR(i)
+    def windows(hashes: Column) -> Column:
+        def packed(h: Column, i: Column) -> Column:
+            return F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).bitwiseAND(F.col(_MASK)).bitwiseOR(i.cast("long"))
+
+        return F.sort_array(F.slice(F.transform(hashes, packed), F.lit(1), F.col(_N).cast("int") - 2))
 
-    return F.when(F.col(_N) >= 3, F.sort_array(F.transform(at, packed))).otherwise(F.array().cast("array<bigint>"))
+    made = _bound(F.transform(_WORDS, lambda w: F.xxhash64(w)), windows)
+    return F.when(F.col(_N) >= 3, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def n_repeat_words() -> Column:
@@ -129,11 +128,10 @@ def n_repeat_words() -> Column:
 
 
 def _repeat_words(windows: Column) -> Column:
-    low = F.bitwise_not(_mask())
+    low = F.bitwise_not(F.col(_MASK))
 
     def same(x: Column, y: Column) -> Column:
-        equal = x.bitwiseXOR(y) <= low  # the high bits are equal
-        equal = equal & (x.bitwiseXOR(y) >= 0)
+        equal = x.bitwiseXOR(y).between(0, low)  # the high bits are equal
         for k in range(3):
             a, b = (F.get(_WORDS, (z.bitwiseAND(low) + k).cast("int")) for z in (x, y))
             equal = equal & (a == b)
@@ -199,7 +197,7 @@ def _sample(docs: DataFrame, sample_rows: int, text_col: str) -> DataFrame:
     return some.sample(fraction=min(1.0, 1.2 * sample_rows / max(1, rows)), seed=7)
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500, text_col: str = "text", counted: bool = False, sample: DataFrame | None = None) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 300, text_col: str = "text", counted: bool = False, sample: DataFrame | None = None) -> list[Rule]:
     """Measures cost and rejections of each rule on a sample of about sample_rows rows; most rejections per second first."""
     if len(rules) < 2:
         return list(rules)
@@ -246,7 +244,7 @@ def _with_counts(worded: DataFrame) -> DataFrame:
     return made.withColumn("n_dup_lines", F.col(_LINES)["dup"])
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its counts, base_failed and kept."""
     ordered = order_rules(docs, rules, sample_rows, text_col, counted=True)
     counted = _with_counts(with_words(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
@@ -256,7 +254,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 500
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES), sample_rows: int = 500, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES), sample_rows: int = 300, text_col: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their columns. All rules, base rules too, are in the measured order."""
     ordered = order_rules(docs, rules, sample_rows, text_col)
     rows = with_words(numbered(docs), number_of(docs, text_col))

@@ -2,17 +2,18 @@
 
 The model sees hashed character n-grams of host and path and is trained from a small labelled URL table, whose size is a
 documented parameter (MOST_LABELLED rows, for the weights are fitted by passes over it). Training is full-batch gradient
-descent: each pass is one aggregation per document and one per bucket; only the weights, one per bucket, reach the driver.
+descent with momentum in one job: the table's n-grams, bounded by it, become two arrays of one row (the buckets of each url, the urls of each bucket),
+over which an aggregate makes the passes. The weights, one per bucket, reach the driver and are constants in the plan that judges.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model like
-any other (an empty url has no n-grams: the bias alone decides). Repeated rows are judged one by one; an empty table gives an
-empty result; extra columns are ignored.
+any other (an empty url has no n-grams: the bias alone decides). Repeated rows are judged one by one; of rules of one length the first in
+alphabetical order wins; an empty table gives an empty result; extra columns are ignored. Without labelled rows all weights are 0, and the model blocks.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,21 +24,85 @@ from pagewright.llm.common import hidden
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Labelled rows that training takes at most; beyond it ``train`` refuses.
 MOST_LABELLED = 5000
-BUCKETS = 4096
+BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-PASSES = 30
-RATE = 2.0
+PASSES = 60
+RATE = 10.0
+#: What is kept of a pass's step in the next.
+MOMENTUM = 0.9
 
 _HOST, _PATH, _GRAMS, _FITS = (hidden(x) for x in ("host", "path", "grams", "fits"))
 
-#: A small labelled table: word stems of wanted and unwanted sites, as hosts and paths; 1 marks the unwanted.
-_GOOD = ("library", "archive", "science", "museum", "school", "journal", "wiki", "recipes", "history", "health", "research", "gardens", "weather", "council", "physics", "courses")
-_BAD = ("casino", "poker", "betting", "xxx", "porn", "escort", "viagra", "pills", "torrent", "warez", "crack", "jackpot", "payday", "replica", "clickbait", "malware")
+#: A small labelled table of urls as crawls meet them, wanted and unwanted ones with hosts and paths of many shapes.
+_GOOD = """
+https://www.citylibrary.org/catalogue/search  https://archive.regional-museum.net/exhibits/1923/photographs.html  http://news.harbourtimes.com/2021/06/14/ferry-timetable-changes
+https://en.openwiki.org/wiki/Glacier  https://docs.buildtool.dev/en/latest/getting-started.html  https://www.university.edu/physics/courses/mechanics/lecture-07.pdf
+https://blog.gardenersclub.co.uk/planting-beans-in-may/  https://kochen.example.de/rezepte/kartoffelsuppe  https://www.mairie-ville.fr/services/etat-civil
+https://forum.cyclists.net/t/which-tyres-for-gravel/20417  http://weather.service.gov/forecast/coast/tomorrow  https://m.railway.info/de/fahrplan/3391
+https://shop.bookstore.com/product/atlas-of-birds?id=8831  https://www.hospital.org/patients/visiting-hours  https://journal.chemistry.org/articles/10.1002/anie.2019
+http://people.institute.edu/~miller/teaching/algebra/notes.html  https://www.parliament.gov/debates/2018-03-02  https://github-pages.example.io/project/readme
+https://www.schule-am-park.de/klasse/3b/termine  https://es.viajes.com/guia/granada/alhambra  https://support.printers.com/drivers/windows
+https://static.school.org/handbook/2020.pdf  https://www.theatre.org/programme/autumn  http://www.farmers-market.com/opening-times
+https://recipes.kitchen.com/bread/sourdough  https://history.society.org/medieval/charters/index.html  https://www.football-club.com/fixtures/42107
+https://podcast.science.fm/episodes/118  https://www.bank.com/en/accounts/savings  https://tickets.orchestra.org/en/concerts/90311.html
+https://maps.county.gov/parcels/77120  https://www.encyclopedia.com/people/explorers  https://questions.programming.com/questions/40218/how-to-sort-a-list
+https://www.zoo.ch/fr/animaux/12940  https://blog.travels.net/es/2210  https://www.newspaper.com/de/politik/50012.html
+https://wiki.hackerspace.org/projects/laser-cutter  https://www.architecture.it/progetti/torre  https://language.school.org/en/grammar/6612/
+http://old.village.net/chronicle/page3.htm  https://data.statistics.gov/tables/population  https://www.airline.com/en/baggage
+https://m.cinema.com/films/881  https://www.choir.org/en/rehearsals/1204  https://careers.engineering.com/jobs/10233
+https://read.novels.net/chapter/17  https://www.observatory.org/images/nebula  https://law.court.gov/opinions/2017/18-114
+https://www.charity.org/donate  https://help.photoshare.com/en/albums/create  https://lists.kernel-users.org/archive/2016-August/thread.html
+https://www.vet-clinic.com/advice/dogs  https://art.gallery.net/de/sammlung/30415  https://chess.club.org/games/1998
+https://www.waterworks.com/tariffs  http://parish.church.org/news  https://www.furniture.se/tables/oak
+"""
+_BAD = """
+https://www.royal-casino-bonus.com/play/slots  http://online-poker-room.net/welcome-offer  https://bet365-mirror.example.info/odds/live
+https://xxx-tube-videos.com/watch/4421  http://hotporn.example.net/category/milf  https://cheap-viagra-pills.org/order/now
+https://escort-girls-city.com/profiles/anna  http://free-cracked-software.net/download/keygen.exe  https://torrent-warez.to/browse/games
+https://replica-watches-outlet.com/rolex  https://payday-loans-fast.com/apply  http://win-a-free-phone.info/claim-prize
+https://best-jackpot-slots.net/free-spins  https://adult-cams-live.com/rooms  https://buy-followers-cheap.com/instagram
+http://secure-login-paypa1.verify-account.info/signin.php  https://nude-celebs.xyz/gallery/77  https://sportsbook-betting-tips.com/today
+http://weightloss-miracle-pills.com/buy  https://hookup-tonight.net/join  https://crypto-double-your-coins.io/invest
+http://roulette-systems.org/winning-strategy  https://sex-stories-adult.com/story/5120  https://generic-cialis-pharmacy.com/checkout
+https://serial-keys-crack.net/windows/activator  http://free-movie-torrents.com/dl/8812  https://megaslots-casino.bet/en/bonus
+https://xxxvideos.example.com/en/20418.html  https://poker-bonus-codes.example.org/de/3310  http://pills-without-prescription.net/fr/778
+https://casino-en-ligne.fr/jeux/machines-a-sous  https://sexkontakte-heute.de/anzeigen  https://apuestas-casino.es/ruleta
+https://get-rich-quick.biz/secret-method  http://clickbait-shock.com/you-wont-believe/11  https://malware-host.ru/payload/setup.exe
+https://hot-singles-near-you.com/chat  http://spin-and-win-jackpot.com/lobby  https://fake-diploma-shop.com/degrees
+https://porno-gratis.com/videos/9931  https://bingo-slots-online.co.uk/deposit  https://escorts-vip.net/booking
+http://warez-scene.org/releases  https://luxury-replica-bags.cn/sale  https://viagra-online-canada.com/shop
+https://instant-loans-no-check.com/form  https://live-betting-odds.com/football  http://xxx-cams.tv/girls
+https://game-cheats-hack.net/unlimited-coins  https://spam-offer-deal.info/click?id=3  http://phish-bank-login.com/update/password
+https://blackjack-casino-games.com/tables  https://adultdating-site.com/signup  https://torrentz-mirror.net/search
+https://penis-enlargement-pills.com/results  https://gambling-tips.bet/jackpot  http://keygen-crackz.org/serials
+https://sexshop-xxx.com/toys  https://work-from-home-cash.biz/start  https://free-nudes.club/leaked
+"""
+
+
+#: Words of hosts; each is put into all of _HOSTS, with paths that both kinds share, so that no path gives a kind away. Wanted sites are in the majority, as in a crawl.
+_GOOD_WORDS = """library archive science museum school journal wiki recipes history health research garden weather council physics courses university hospital theatre
+railway harbour forest bakery orchestra cinema village farming geology cycling chess painting language grammar atlas travel mountain pottery hiking software printer
+furniture election newspaper astronomy football knitting camera kitchen dentist insurance airport charity parliament biology mathematics carpenter fishing sailing
+novels radio""".split()
+_BAD_WORDS = """casino poker betting xxx porn escort viagra pills torrent warez crack jackpot payday replica clickbait malware slots roulette gambling adultcams
+hookup sexchat nudes keygen phishing cialis bingo sportsbook spyware fakeid bets jackpots lottery-win cash-bonus pharmacy-deals""".split()
+#: Two of these make a name such as most sites have: it says nothing, and the site is wanted.
+_SYLLABLES = "an ber co da el fen gar her in jo kel lan mar nor on per qui ran sen tor um ver win xan yel zo ther ing tion and ble ess".split()
+_HOSTS = ("www.{}.com", "{}-online.net", "m.{}.org", "my{}club.info", "{}24.de", "blog.{}world.co.uk")
+_PATHS = ("/", "", "/en/{}", "/de/{}.html", "/fr/{}/", "/index.php?id={}", "/page/{}", "/2021/{}/item", "/list/all?page={}", "/es/{}", "/about-us", "/download/{}", "/view/{}/", "/en/{}/", "/t/{}")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{prefix}{stem}.{end}/{path}", label) for label, stems, path in ((0, _GOOD, "articles/page"), (1, _BAD, "free-bonus/win")) for stem in stems for prefix, end in (("www.", "example.org"), ("", "example.net"), ("m.", "example.com"))]
-    rows += [(f"https://{host}/{lang}/{number}{end}", 0) for host in ("www.example.org", "blog.site.example.net", "m.pages.example.com") for lang in ("en", "de", "fr", "es") for number, end in (("1042", ""), ("77", ".html"), ("30519", "/"))]
+    rows = [(url, label) for label, urls in ((0, _GOOD), (1, _BAD)) for url in urls.split()]
+
+    def site(i: int, k: int, word: str) -> str:
+        return f"https://{_HOSTS[k % len(_HOSTS)].format(word)}{_PATHS[(7 * i + k) % len(_PATHS)].format((i * 7919 + k * 10007) % 60000)}"
+
+    for label, words in ((0, _GOOD_WORDS), (1, _BAD_WORDS)):
+        rows += [(site(i, k, word), label) for i, word in enumerate(words) for k in range(len(_HOSTS))]
+    n = len(_SYLLABLES)
+    names = [_SYLLABLES[i] + _SYLLABLES[(i + step) % n] for step in (1, 5, 11, 19, 27) for i in range(n)]
+    rows += [(site(i, i + k, name), 0) for i, name in enumerate(names) for k in range(4)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -84,36 +149,68 @@ def _score(weights: Sequence[float], bias: float) -> Column:
     return total / F.sqrt(F.greatest(F.size(_GRAMS), F.lit(1))) + F.lit(bias)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+
+
 def train(labelled: DataFrame, passes: int = PASSES, rate: float = RATE) -> tuple[list[float], float]:
     """labelled: url, label (1 for block). Weights and bias, rounded to 9 digits so that the order of sums doesn't show."""
     frame = _with_parts(labelled.filter(F.col("url").isNotNull() & F.col("label").isNotNull()), "url")
-    known = frame.select(F.col("label").cast("double").alias("label"), grams().alias(_GRAMS)).persist()
-    weights, bias = [0.0] * BUCKETS, 0.0
-    try:
-        n = known.limit(MOST_LABELLED + 1).count()
-        if n > MOST_LABELLED:
-            raise ValueError(f"more than {MOST_LABELLED} labelled urls")
-        for _ in range(passes if n else 0):
-            error = F.col("label") - F.lit(1.0) / (F.lit(1.0) + F.exp(-_score(weights, bias)))
-            off = known.select(error.alias("error"), F.sqrt(F.greatest(F.size(_GRAMS), F.lit(1))).alias("root"), _GRAMS)
-            each = off.select(F.explode(F.concat(_GRAMS, F.array(F.lit(BUCKETS)))).alias("bucket"), F.col("error"), F.col("root"))
-            each = each.select("bucket", F.when(F.col("bucket") == BUCKETS, F.col("error")).otherwise(F.col("error") / F.col("root")).alias("step"))
-            for bucket, step in each.groupBy("bucket").agg(F.sum("step")).collect():  # at most BUCKETS + 1 rows
-                if bucket == BUCKETS:
-                    bias = round(bias + rate * step / n, 9)
-                else:
-                    weights[bucket] = round(weights[bucket] + rate * step * len(SIZES) / n, 9)
-    finally:
-        known.unpersist()
-    return weights, bias
+    # one more than allowed is enough to see that there are too many
+    known = frame.select(F.col("label").cast("double").alias("label"), F.array_sort(grams()).alias(_GRAMS)).limit(MOST_LABELLED + 1)
+    urls = known.agg(F.array_sort(F.collect_list(F.struct("label", _GRAMS))).alias("urls"))
+    entries = urls.select(F.posexplode("urls").alias("i", "url")).select("i", F.explode(F.col("url")[_GRAMS]).alias("bucket"))
+    every = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    inverted = every.join(entries, "bucket", "left").groupBy("bucket").agg(F.array_sort(F.collect_list("i")).alias("of")).agg(F.array_sort(F.collect_list(F.struct("bucket", "of"))).alias("of"))
+    both = urls.unionByName(inverted, allowMissingColumns=True).agg(F.first("urls", ignorenulls=True).alias("urls"), F.first("of", ignorenulls=True).alias("of"))
+    placed = both.select(
+        F.transform("urls", lambda u: u["label"]).alias("labels"),
+        F.transform("urls", lambda u: u[_GRAMS]).alias("grams"),
+        F.transform("urls", lambda u: F.sqrt(F.greatest(F.size(u[_GRAMS]), F.lit(1)))).alias("roots"),
+        F.transform("of", lambda b: b["of"]).alias("of"),
+    )
+    n = F.size("labels")
+
+    def step(state: Column, _: Column) -> Column:
+        def score(g: Column, root: Column) -> Column:
+            return F.aggregate(g, F.lit(0.0), lambda total, b: total + F.get(state["weights"], b)) / root + state["bias"]
+
+        errors = F.transform("labels", lambda y, i: y - F.lit(1.0) / (F.lit(1.0) + F.exp(-score(F.get("grams", i), F.get("roots", i)))))
+
+        def moved(e: Column) -> Column:
+            gains = F.transform("of", lambda of: _sum(F.transform(of, lambda i: F.get(e, i) / F.get("roots", i))) * F.lit(rate * len(SIZES)) / n)
+            pushes = F.transform(gains, lambda gain, k: F.round(F.get(state["pushes"], k) * MOMENTUM + gain, 9))
+            push = F.round(state["push"] * MOMENTUM + _sum(e) * F.lit(rate) / n, 9)
+
+            def after(p: Column) -> Column:
+                weights = F.transform(state["weights"], lambda w, k: F.round(w + F.get(p, k), 9))
+                return F.struct(weights.alias("weights"), p.alias("pushes"), F.round(state["bias"] + push, 9).alias("bias"), push.alias("push"))
+
+            return _bound(pushes, after)
+
+        return _bound(errors, moved)
+
+    none = F.array_repeat(F.lit(0.0), BUCKETS)
+    start = F.struct(none.alias("weights"), none.alias("pushes"), F.lit(0.0).alias("bias"), F.lit(0.0).alias("push"))
+    model = F.when(n.between(1, MOST_LABELLED), F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)).otherwise(start)
+    fitted = placed.select(n.alias("n"), model.alias("model")).first()  # one row of BUCKETS weights
+    if fitted.n > MOST_LABELLED:
+        raise ValueError(f"more than {MOST_LABELLED} labelled urls")
+    return fitted.model.weights, fitted.model.bias
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict: the rule's, else block where the model gives at least one half; with the model's score."""
+    """page_id, host, path, rule, verdict (the rule's, else block where the score is at least one half), score (the model's, from 0 to 1)."""
     weights, bias = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
     frame = _with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url")
     ruled = frame.select("page_id", F.col(_HOST).alias("host"), F.col(_PATH).alias("path"), rule_of(rules).alias("rule"), grams().alias(_GRAMS))
     blocked = [rule for verdict, rule in rules if verdict == "block"]
-    own = F.when(_score(weights, bias) >= 0, F.lit("block")).otherwise(F.lit("allow"))
+    ruled = ruled.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-_score(weights, bias))))
+    own = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     verdict = F.when(F.col("rule").isNull(), own).when(F.col("rule").isin(blocked), F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
