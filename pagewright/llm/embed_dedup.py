@@ -2,8 +2,8 @@
 
 Vectors are normalised; each table cuts K Gaussian projections into steps of WIDTH and hashes the K step numbers with the label to
 a key. Two unit vectors of cosine 0.98 lie 0.2 apart: one projection agrees with probability 0.80, K of them with 0.069, and a pair
-is missed by all TABLES tables with probability 0.001, less for closer pairs. Vectors that share a key in any table form candidate
-groups, in which every pair is checked by its cosine in double precision (tiles.py).
+is missed by all TABLES tables with probability 0.001, less for closer pairs. Vectors that share a key of a table are a bucket, in which
+every pair is checked by its cosine in double precision and counts in the first table that it shares (tiles.py).
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, have no links and are their own
 component. Equal vectors of one label are one item with a number of copies, so copies are linked without expanding pairs. Vectors of
@@ -14,14 +14,15 @@ their vectors are linked. A null id is never the smallest of a component unless
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import let_workers_import
-from pagewright.llm.tiles import candidate_groups, link_rows, sized
+from pagewright.llm.common import cut, let_workers_import
+from pagewright.llm.tiles import link_rows, members
 
 K = 12
 WIDTH = 0.8
@@ -40,19 +41,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@cache
+def _draws(seed: int, length: int, k: int, width: float, tables: int) -> tuple[np.ndarray, ...]:
+    """Projections, shifts, factors and marks of the tables for vectors of a length."""
+    rng = np.random.default_rng([seed, length])
+    normals, shifts = rng.standard_normal((length, tables * k)), rng.uniform(0, width, tables * k)
+    return normals, shifts, rng.integers(1, 2**62, (tables, k)) * 2 + 1, rng.integers(0, 2**63, tables).astype(np.uint64)
+
+
 def table_keys(x: np.ndarray, labels: np.ndarray, seed: int, k: int, width: float, tables: int) -> np.ndarray:
-    """rows x tables, int64; the same for any batching, as all draws come from the seed and the vectors' length."""
-    rng = np.random.default_rng([seed, x.shape[1]])
-    normals, shifts = rng.standard_normal((x.shape[1], tables * k)), rng.uniform(0, width, tables * k)
+    """rows x tables, int64; all draws come from the seed and the vectors' length."""
+    normals, shifts, odd, marks = _draws(seed, x.shape[1], k, width, tables)
     steps = np.floor((_unit(x) @ normals + shifts) / width).astype(np.int64).reshape(len(x), tables, k)
-    odd = rng.integers(1, 2**62, (tables, k)) * 2 + 1
-    mixed = (steps * odd).sum(axis=2).astype(np.uint64) ^ (labels.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ rng.integers(0, 2**63, tables).astype(np.uint64)
+    mixed = (steps * odd).sum(axis=2).astype(np.uint64) ^ (labels.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ marks
     for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 1)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
     return mixed.astype(np.int64)
 
 
 def _key_batches(seed: int, k: int, width: float, tables: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, label, vector -> item, keys"""
     for batch in batches:
         lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
         for length in np.unique(lengths):
@@ -60,12 +68,14 @@ def _key_batches(seed: int, k: int, width: float, tables: int, batches: Iterator
             for at in range(0, part.num_rows, 2048):
                 some = part.slice(at, 2048)
                 keys = table_keys(_matrix(some.column(2)), some.column(1).to_numpy(), seed, k, width, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), tables)), pa.array(keys.ravel())], names=["item", "key"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))], names=["item", "keys"])
 
 
 def cosine_linker(cosine: float):
-    def link(tile: pa.Table, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        labels, vectors = tile.column("label").to_numpy(), tile.column("vector").combine_chunks()
+    """Payload: copies, label, vector, keys."""
+
+    def link(tile: pa.Table, band: int, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        labels, vectors, keys = tile.column("label").to_numpy(), tile.column("vector").combine_chunks(), _matrix(tile.column("keys"))
         lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for length in np.unique(lengths):
@@ -73,11 +83,16 @@ def cosine_linker(cosine: float):
             b = a if second is None else second[lengths[second] == length]
             if not len(a) or not len(b):
                 continue
-            x = _unit(_matrix(vectors.take(pa.array(a))))
-            y = x if second is None else _unit(_matrix(vectors.take(pa.array(b))))
+            x = _unit(_matrix(vectors.take(pa.array(a))).astype(np.float64))
+            y = x if second is None else _unit(_matrix(vectors.take(pa.array(b))).astype(np.float64))
             near = (x @ y.T >= cosine) & (labels[a][:, None] == labels[b])
             i, j = np.nonzero(np.triu(near, 1) if second is None else near)
-            found.append((a[i], b[j]))
+            i, j = a[i], b[j]
+            new = keys[i, band] == keys[j, band]
+            for at in range(0, len(i), 20_000):
+                some = slice(at, at + 20_000)
+                new[some] &= ~(keys[i[some], :band] == keys[j[some], :band]).any(axis=1)
+            found.append((i[new], j[new]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
 
     return link
@@ -86,17 +101,20 @@ def cosine_linker(cosine: float):
 def links(rows: DataFrame, cosine: float = COSINE, k: int = K, width: float = WIDTH, tables: int = TABLES, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     let_workers_import(rows.sparkSession)
-    own = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    own = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     marked = own.withColumn("usable", usable)
+    kind = own.schema["vector"].dataType.elementType.simpleString()
     # adding 0 makes -0 and 0 the same vector
-    good = marked.filter("usable").withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    good = marked.filter("usable").withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))
     named = good.withColumns({"item": F.xxhash64("label", "vector"), "item2": F.xxhash64(F.lit("second"), "label", "vector")})
     items = named.groupBy("item", "item2", "label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    keys = items.select("item", "label", "vector").mapInArrow(lambda batches: _key_batches(seed, k, width, tables, batches), "item long, key long")
-    rows = items.drop("least").join(sized(candidate_groups(keys)), "item")
-    found = link_rows(rows, ["label", "vector"], cosine_linker(cosine))
+    # the keys are made once: what a pair has met in is read from them, not made again
+    keyed = cut(items.select("item", "label", "vector").mapInArrow(lambda batches: _key_batches(seed, k, width, tables, batches), "item long, keys array<long>"), "keys")
+    keys = keyed.select("item", F.lit(1).alias("size"), F.posexplode("keys").alias("band", "key"))
+    rows = members(keys).join(items.drop("least"), "item").join(keyed, "item")
+    found = link_rows(rows, ["label", "vector", "keys"], cosine_linker(cosine))
     whole = items.select("item", "item2", "copies", "least").join(found, ["item", "item2"], "left")
     rooted = whole.select("item", "item2", "least", F.coalesce("root", "item").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     parts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

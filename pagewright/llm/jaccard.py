@@ -1,11 +1,11 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, with Bayesian pruning of candidates.
 
-Words are maximal runs of bytes other than space and U+0009..U+000D; a shingle is N consecutive words. MinHash values, cut into bands,
-give candidate groups (tiles.py). In a tile, the MinHash values of each pair are compared CHUNK at a time; with a uniform prior, a pair
-is dropped as soon as the posterior probability that its similarity reaches THRESHOLD falls below TOLERANCE. What is left is verified on
-the whole shingle sets, in integers.
+Words are maximal runs of bytes other than space and U+0009..U+000D; a shingle is N consecutive words. MinHash values of 16 bits, cut into bands,
+give buckets (tiles.py). In a tile, the MinHash values of each pair are compared CHUNK at a time; with a uniform prior, a pair
+is dropped as soon as the posterior probability that its similarity reaches THRESHOLD falls below TOLERANCE. First only the values are dealt out to
+the tiles; texts go to the tiles where a pair was left, and there such pairs are verified on the whole shingle sets, in integers.
 
-A pair at similarity 0.8 is missed by all 30 bands of 5 values with probability 7e-6, less for closer pairs.
+A pair at similarity 0.8 is missed by all 30 bands of 5 values with probability 7e-6, less for closer pairs. Shingles are 64-bit hashes of their words.
 
 Defined results: a text with one to four words has one shingle, all its words. A text without words (null, empty, white space) links with
 nothing. Equal texts are one item with a number of copies, so copies are linked without expanding pairs; an item is identified by 128 bits
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import hidden, let_workers_import
+from pagewright.llm.common import cut, hidden, let_workers_import, number_of, numbered
 from pagewright.llm.pieces import mixed, slices, text_buffer, word_hashes
-from pagewright.llm.tiles import candidate_groups, link_rows, sized
+from pagewright.llm.tiles import TILE, all_pairs, candidates, link_rows, members
 
 N = 5
 THRESHOLD = (4, 5)
@@ -37,10 +37,8 @@ _rng = np.random.default_rng(41)
 _FACTORS = _rng.integers(0, 2**64, 2 * N, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(0, 2**32, BANDS * PER_BAND, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * PER_BAND, dtype=np.uint32)
-_BAND_FACTORS = _rng.integers(0, 2**64, (BANDS, PER_BAND), dtype=np.uint64) | np.uint64(1)
-_BAND_MARKS = _rng.integers(0, 2**64, BANDS, dtype=np.uint64)
 _is_space = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_ITEM, _ITEM2, _TEXT, _KEEP = (hidden(x) for x in ("item", "item2", "text", "keep"))
+_ITEM, _ITEM2, _TEXT = (hidden(x) for x in ("item", "item2", "text"))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +66,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """MinHash values: one row per function, one column per text; every text must have a shingle."""
+    """MinHash values, 16 bits of each: one row per function, one column per text; every text must have a shingle."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(_A), len(bounds) - 1), np.uint32)
     if len(bounds) > 1:
@@ -77,26 +75,25 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             np.multiply(x, _A[k], out=room)
             np.add(room, _B[k], out=room)
             np.minimum.reduceat(room, bounds[:-1], out=out[k])
-    return out
-
-
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """texts x BANDS, int64."""
-    grouped = values.T.reshape(-1, BANDS, PER_BAND).astype(np.uint64)
-    return mixed((grouped * _BAND_FACTORS).sum(axis=2, dtype=np.uint64) ^ _BAND_MARKS).view(np.int64)
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, item -> item, key"""
+def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, item, item2, id -> item, item2, id, size, values (none for a text without words)"""
     for batch in batches:
         done = 0
         for part in slices(batch.column(0)):
-            hashes, bounds = shingles(*text_buffer(part))
-            items = batch.column(1).slice(done, len(part)).to_numpy()
-            done += len(part)
+            data, offsets = text_buffer(part)
+            hashes, bounds = shingles(data, offsets)
             some = np.flatnonzero(np.diff(bounds))
-            keys = band_keys(signatures(hashes, np.append(bounds[some], bounds[-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(items[some], BANDS)), pa.array(keys.ravel())], names=["item", "key"])
+            values = np.ascontiguousarray(signatures(hashes, np.append(bounds[some], bounds[-1])).T)
+            signed: list[bytes] = [b""] * len(part)
+            for row, own in zip(some.tolist(), values, strict=True):
+                signed[row] = own.tobytes()
+            named = [batch.column(i).slice(done, len(part)) for i in (1, 2, 3)]
+            done += len(part)
+            sizes = np.minimum(np.diff(offsets), 2**31 - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*named, pa.array(sizes), pa.array(signed, pa.binary())], names=["item", "item2", "doc_id", "size", "values"])
 
 
 @cache
@@ -149,39 +146,69 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out[number[a], number[b]].astype(np.int64)
 
 
-def link(tile: pa.Table, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    hashes, bounds = shingles(*text_buffer(tile.column("text").combine_chunks()))
+def first_met(values: np.ndarray, band: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs (a, b) share the band's values, and all values of no earlier band."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 50_000):
+        x, y = a[at : at + 50_000], b[at : at + 50_000]
+        grouped = values[: (band + 1) * PER_BAND].reshape(band + 1, PER_BAND, -1)
+        same = (grouped[:, :, x] == grouped[:, :, y]).all(axis=1)
+        out[at : at + 50_000] = same[band] & ~same[:band].any(axis=0)
+    return out
+
+
+def _met(values: np.ndarray, band: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = likely_pairs(values, a, b)
+    new = first_met(values, band, a, b)
+    return a[new], b[new]
+
+
+def prune(tile: pa.Table, band: int, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs left by their MinHash values alone. Payload: values."""
+    flat = np.frombuffer(b"".join(tile.column(7).to_pylist()), np.uint16)
+    return _met(np.ascontiguousarray(flat.reshape(tile.num_rows, -1).T), band, *all_pairs(first, second))
+
+
+def verify(tile: pa.Table, band: int, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that reach the threshold. Payload: copies, text."""
+    hashes, bounds = shingles(*text_buffer(tile.column(8).combine_chunks()))
     values = signatures(hashes, bounds)  # all have shingles, or they would have no candidates
-    sizes: list[np.ndarray] = [np.unique(hashes[x:y]) for x, y in zip(bounds.tolist(), bounds.tolist()[1:])]
-    many = np.array([len(x) for x in sizes])
-    found = []
-    for row, i in enumerate(first.tolist()):
-        others = first[row + 1 :] if second is None else second
-        # no pair of sets can be more alike than the smaller is large
-        others = others[THRESHOLD[1] * np.minimum(many[others], many[i]) >= THRESHOLD[0] * np.maximum(many[others], many[i])]
-        found.append(likely_pairs(values, np.full(len(others), i), others) if len(first) > 64 else (np.full(len(others), i), others))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (first[:0], first[:0])
-    if len(first) <= 64:
-        a, b = likely_pairs(values, a, b)
-    common = _common(sizes, a, b)
+    a, b = _met(values, band, *all_pairs(first, second))
+    sets: list[np.ndarray] = [np.unique(hashes[x:y]) for x, y in zip(bounds.tolist(), bounds.tolist()[1:])]
+    many = np.array([len(x) for x in sets])
+    # no pair of sets can be more alike than the smaller is large
+    near = THRESHOLD[1] * np.minimum(many[a], many[b]) >= THRESHOLD[0] * np.maximum(many[a], many[b])
+    a, b = a[near], b[near]
+    common = _common(sets, a, b)
     near = common * THRESHOLD[1] >= THRESHOLD[0] * (many[a] + many[b] - common)
     return a[near], b[near]
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with their item, items with copies, least id, links and root)."""
-    let_workers_import(docs.sparkSession)
-    own = docs.withColumn(_TEXT, F.coalesce(F.col(text_col), F.lit("")))
-    own = own.withColumns({_ITEM: F.xxhash64(_TEXT), _ITEM2: F.xxhash64(F.lit("second"), F.col(_TEXT))})
-    base = own.select(F.col(id_col).alias("doc_id"), F.col(_TEXT).alias("text"), F.col(_ITEM).alias("item"), F.col(_ITEM2).alias("item2"))
-    wordless = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    items = base.groupBy("item", "item2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.bool_and(wordless).alias("wordless"))
-    groups = candidate_groups(base.select("text", "item").mapInArrow(_key_batches, "item long, key long"))
-    wanted = items.join(sized(groups), "item")
-    rows = base.withColumnRenamed("doc_id", "least").join(wanted.withColumnRenamed("least", "rep"), ["item", "item2"]).filter(F.col("least").eqNullSafe(F.col("rep")))
-    found = link_rows(rows, ["text"], link)
+def _identified(docs: DataFrame, text: str) -> DataFrame:
+    own = docs.withColumn(_TEXT, F.coalesce(F.col(text), F.lit("")))
+    return own.withColumns({_ITEM: F.xxhash64(_TEXT), _ITEM2: F.xxhash64(F.lit("second"), F.col(_TEXT))})
+
+
+def _items(own: DataFrame, id_col: str) -> DataFrame:
+    """Of documents with their item: items with copies, least id, links and root."""
+    let_workers_import(own.sparkSession)
+    base = own.select(F.col(_TEXT).alias("text"), F.col(_ITEM).alias("item"), F.col(_ITEM2).alias("item2"), F.col(id_col).alias("doc_id"))
+    kind = base.schema["doc_id"].dataType.simpleString()
+    signed = base.mapInArrow(_signature_batches, f"item long, item2 long, doc_id {kind}, size int, values binary")
+    items = cut(signed.groupBy("item", "item2", "size", "values").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "items")
+    width = 2 * PER_BAND
+    of_band = lambda j: F.xxhash64(j, F.substr("values", j * width + 1, F.lit(width)))
+    keys = items.filter(F.length("values") > 0).select("item", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), of_band)).alias("band", "key"))
+    tiles = members(keys).join(items.select("item", "item2", "values"), "item")
+    left = cut(candidates(tiles, ["values"], prune), "candidates")
+    wanted = left.select("item", "item2").distinct().join(items.select("item", "item2", "copies", F.col("least").alias("rep")), ["item", "item2"])
+    # one document of each item; by its id, too, so that copies of one text don't meet in one task
+    texts = base.withColumnsRenamed({"item": "i", "item2": "i2"}).join(wanted, (F.col("i") == F.col("item")) & (F.col("i2") == F.col("item2")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    rows = left.join(texts.select("item", "item2", "copies", "text"), ["item", "item2"]).select(*TILE, "item", "item2", "copies", "text")
+    found = link_rows(rows, ["text"], verify)
     whole = items.join(found, ["item", "item2"], "left")
-    return own, whole.select("item", "item2", "least", "wordless", F.coalesce("root", "item").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return whole.select("item", "item2", "least", (F.length("values") == 0).alias("wordless"), F.coalesce("root", "item").alias("root"), links.alias("n_links"))
 
 
 def _grouped(items: DataFrame) -> DataFrame:
@@ -193,9 +220,9 @@ def _grouped(items: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_links (other documents linked directly), group_id (the least id that links reach), kept."""
-    own, items = _classes(docs, id_col, text_col)
-    known = _grouped(items)
-    rows = own.select(F.col(id_col).alias("doc_id"), F.col(_ITEM).alias("item"), F.col(_ITEM2).alias("item2"))
+    own = _identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    known = _grouped(_items(own, "doc_id"))
+    rows = own.select("doc_id", F.col(_ITEM).alias("item"), F.col(_ITEM2).alias("item2"))
     joined = rows.join(known, ["item", "item2"])
     alone = F.col("wordless")
     out = joined.select(
@@ -208,11 +235,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their columns, one of each group: that of the least id. Texts without words all stay."""
-    own, items = _classes(docs, id_col, text_col)
-    known = _grouped(items)
-    tops = known.filter((F.col("item") == F.col("top")) & (F.col("item2") == F.col("top2"))).select(F.col("item").alias(_ITEM), F.col("item2").alias(_ITEM2), "least", "wordless")
-    tops = tops.withColumnsRenamed({"least": hidden("least"), "wordless": hidden("wordless")})
-    kept = own.join(tops, [_ITEM, _ITEM2]).filter(F.col(hidden("wordless")) | F.col(id_col).eqNullSafe(F.col(hidden("least"))))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    worded = kept.filter(~F.col(hidden("wordless"))).dropDuplicates([_ITEM, _ITEM2]).select(*columns)
-    return worded.unionByName(kept.filter(hidden("wordless")).select(*columns))
+    rows, id_ = numbered(docs), number_of(docs, id_col)
+    own = _identified(rows, number_of(docs, text_col))
+    known = _grouped(_items(own, id_))
+    tops = known.filter((F.col("item") == F.col("top")) & (F.col("item2") == F.col("top2")) & ~F.col("wordless")).select("item", "item2", "least")
+    # by the id, too: copies of one text don't meet in one task
+    kept = own.join(tops, (F.col(_ITEM) == F.col("item")) & (F.col(_ITEM2) == F.col("item2")) & F.col(id_).eqNullSafe(F.col("least"))).dropDuplicates([_ITEM, _ITEM2])
+    wordless = own.filter(~F.col(_TEXT).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(rows.columns).unionByName(wordless.select(rows.columns)).toDF(*docs.columns)
