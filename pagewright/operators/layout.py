@@ -81,11 +81,11 @@ def ink_coverage(histogram: DataFrame, key: str) -> DataFrame:
     return paper.groupBy(key).agg(dark.alias("dark"), F.max("__total").alias("total"))
 
 
-def split_runs(words: DataFrame, key: str, order: str, parts: int) -> DataFrame:
-    """words: key, order, word. Adds bucket: ``parts`` runs of about the same length, in order."""
-    size = F.length("word") + 1
-    done = F.coalesce(F.sum(size).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return words.withColumn("bucket", F.least(F.lit(parts - 1), F.floor(done * parts / F.sum(size).over(W.partitionBy(key)))).cast("int"))
+def split_runs(words: DataFrame, keys: list[str], order: str, parts: Column) -> DataFrame:
+    """words: keys, order, word. Adds bucket: ``parts`` runs of about the same length, in order."""
+    size, of_key = F.length("word") + 1, W.partitionBy(*keys)
+    done = F.coalesce(F.sum(size).over(of_key.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return words.withColumn("bucket", F.least(parts - 1, F.floor(done * parts / F.sum(size).over(of_key))).cast("int"))
 
 
 def vote_winners(votes: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.operators import layout
-from pagewright.operators.alignment import assign_rows
-from pagewright.operators.merge import merge_rows
+from pagewright.operators.alignment import assign_words
+from pagewright.operators.merge import merge_lines
 from pagewright.plans.registry import query
 from pagewright.session import table
 
@@ -107,8 +107,7 @@ def ink_from_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TURN_WORDS}, s AS (SELECT conv_id, turn, i, coalesce(sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, sum(length(word) + 1) OVER (PARTITION BY conv_id, turn) AS total FROM tw) SELECT conv_id, turn, i, least(3, done * 4 // total)::INT AS bucket FROM s")
 def bucket_split_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _turn_words(spark, sf_dir).withColumn("k", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return layout.split_runs(words, "k", "i", 4).select("conv_id", "turn", "i", "bucket")
+    return layout.split_runs(_turn_words(spark, sf_dir), ["conv_id", "turn"], "i", F.lit(4)).select("conv_id", "turn", "i", "bucket")
 
 
 _VOTES = "v AS (SELECT l_orderkey AS page, l_suppkey % 5 AS word, l_partkey % 3 AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS place FROM lineitem)"
@@ -145,21 +144,30 @@ def cumulative_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.within_limit(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size", 400).select("p_partkey", "fits")
 
 
-def _two_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand and size are lines of a block; the other reading has some letters and words changed."""
+def _two_readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, words of the other reading, blocks). Parts of a brand and size are lines of a block, 30 apart; the other reading has some letters changed, some words added, and lines
+    of its own where the first has a gap."""
     rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("block"), F.col("p_partkey").alias("line_no"), F.col("p_name").alias("line"))
-    other = F.when(F.col("line_no") % 4 == 0, F.translate("line", "ae", "oo")).when(F.col("line_no") % 7 == 0, F.concat("line", F.lit(" added words"))).otherwise(F.col("line"))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", other.alias("t"))).over(W.partitionBy("block"))), lambda x: x["t"]), " ")
-    return rows.withColumn("words", words)
+    in_block = W.partitionBy("block").orderBy("line_no")
+    missed = F.col("line_no") % 5 == 0
+    top = F.sum(F.when(missed, 90).otherwise(30)).over(in_block).cast("double")
+    width = F.col("line_no") % 200
+    lines = rows.withColumns({"left": F.lit(100.0), "top": top - F.when(missed, 90).otherwise(30), "right": (width + 400).cast("double")}).withColumn("bottom", F.col("top") + 20)
+    other = F.when(F.col("line_no") % 4 == 0, F.translate("line", "ae", "oo")).when(F.col("line_no") % 7 == 0, F.concat("line", F.lit(" added words"))).when(missed, F.concat("line", F.lit(" quick brown jumps over lazy dogs"))).otherwise(F.col("line"))
+    each = rows.select("block", "line_no", F.posexplode(F.split(other, " ")).alias("i", "word"))
+    words = each.withColumn("word_no", F.row_number().over(W.partitionBy("block").orderBy("line_no", "i")) - 1).select("block", "word_no", "word")
+    blocks = lines.groupBy("block").agg(F.lit(90.0).alias("left"), F.min("top").alias("top"), F.lit(700.0).alias("right"), (F.max("bottom") + 40).alias("bottom"))
+    return lines, words, blocks
 
 
 @query()
 def assign_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of one reading dealt to the lines of another."""
-    return assign_rows(_two_readings(spark, sf_dir), "block", "line_no")
+    lines, words, _ = _two_readings(spark, sf_dir)
+    return words.join(assign_words(lines, words, "block"), ["block", "word_no"])
 
 
 @query()
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line as read, replaced or added, where two readings of a block differ."""
-    return merge_rows(_two_readings(spark, sf_dir), "block", "line_no")
+    """Each line as read, replaced or added, with its box, where two readings of a block differ."""
+    return merge_lines(*_two_readings(spark, sf_dir), "block")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.operators import layout, records
-from pagewright.operators.merge import merge_rows
+from pagewright.operators import layout, merge, records
 from pagewright.plans.layout_queries import BLOCKS, WORDS, _blocks, _two_readings, _words
 from pagewright.plans.page_queries import LINES
 from pagewright.plans.record_queries import _stacks
@@ -101,8 +100,7 @@ def folder_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines were kept, replaced and added, per block."""
-    merged = merge_rows(_two_readings(spark, sf_dir), "block", "line_no")
-    return merged.groupBy("block").agg(*(F.count_if(F.col("state") == s).alias(f"lines_{s}") for s in ("kept", "replaced", "added")))
+    return merge.merge_stats(merge.merge_lines(*_two_readings(spark, sf_dir), "block"), "block")
 
 
 @query(f"WITH {WORDS} SELECT page, bool_and(greatest(\"right\", bottom) <= 1100) AS small FROM words GROUP BY page")

@@ -1,8 +1,6 @@
 from pyspark.sql import functions as F
 
 from pagewright.operators import layout, records
-from pagewright.operators.alignment import assign_words, nearest_count
-from pagewright.operators.merge import even_runs, merge_lines
 
 
 def test_layouts_by_division(spark):
@@ -49,31 +47,3 @@ def test_pitch_and_ink(spark):
     assert {r.k: r.pitch for r in layout.line_pitch(boxes, "k").collect()} == {1: 12.0, 2: 16.0}
     hist = spark.createDataFrame([(1, 255, 90), (1, 20, 10), (2, 30, 80), (2, 250, 20), (3, 200, 6), (3, 170, 2), (3, 100, 2)], "k int, value int, n int")
     assert {r.k: (r.dark, r.total) for r in layout.ink_coverage(hist, "k").collect()} == {1: (10, 100), 2: (80, 100), 3: (2, 10)}
-
-
-def test_words_go_to_the_lines_that_read_them():
-    lines = ["Zutaten: Mehl und Zucker", "Butter schaumig ruehren", "dann backen lassen"]
-    words = "Zutaten: Mehl und Zucker Butter schaumig rühren dann backen lassen".split()
-    assert [line for line, _ in assign_words(lines, words)] == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
-
-
-def test_missed_line_has_no_place():
-    given = assign_words(["First line of text", "third line of words"], "First line of text second completely missed third line of words".split())
-    assert given == [(0, True)] * 4 + [(0, False)] * 3 + [(1, True)] * 4
-
-
-def test_no_word_is_lost():
-    for lines, words in ((["abc"], ["x", "y"]), ([""], ["word"]), (["hello there", "zzzz"], ["hallo", "there", "more", "at", "end"]), (["", ""], ["a"])):
-        assert len(assign_words(lines, words)) == len(words)
-
-
-def test_counts_and_runs():
-    assert nearest_count([3, 3, 3], 5) == 2 and nearest_count([3, 3], 0) == 0 and nearest_count([], 4) == 0
-    assert even_runs(["aa", "bb", "cc", "dd"], 2) == [["aa", "bb"], ["cc", "dd"]] and even_runs([], 3) == []
-
-
-def test_merge():
-    got = merge_lines(["Zutaten Mehl", "Buttcr weich"], "Zutaten Mehl Butter weich".split())
-    assert got == [(0, 0, "Zutaten Mehl", "kept"), (1, 0, "Butter weich", "replaced")]
-    got = merge_lines(["First line of text", "third line of words"], "First line of text second completely missed third line of words".split())
-    assert got == [(0, 0, "First line of text", "kept"), (0, 1, "second completely missed", "added"), (1, 0, "third line of words", "kept")]
