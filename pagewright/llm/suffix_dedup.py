@@ -5,13 +5,14 @@ judged on the input and never cross documents.
 
 1. Every LENGTH-byte window names one anchor in it: the KEY-byte string of least hash, leftmost among equals. Equal windows name
    equal anchors at the same place in them, so only windows whose anchors occur twice need a look. Windows of one anchor are neighbours;
-   they and what they cover are a snippet, counted by its hash.
+   they and what they cover are a snippet. A snippet is known by its anchor's hash and 64 bits of a cryptographic digest (BLAKE2b) of its bytes.
 2. Snippets of one anchor string are put one after another, and their suffix array (lyndon.py, the linear grouping construction) brings
    windows that start alike together; neighbours with LENGTH bytes in common that occur at least twice are repeats. Snippets that are all equal
-   need no order: their number decides.
+   are one string, whose suffixes have nothing to be ordered among: their number decides.
 3. An anchor string with more than MOST_SNIPPETS different snippets (a passage that very many documents share) isn't gathered in one task. Its
-   windows are dealt out anew, by CLASS_WINDOWS neighbours and the bytes that those have in common; step 2 then holds for the parts. What is still
-   too large (where very many texts part from a passage) has its windows counted by a 128-bit hash, with partial sums.
+   snippets are split into classes of CLASS_WINDOWS neighbouring windows, by the bytes that those have in common; step 2 then holds for each class.
+   A class that still has too many (where very many texts part from a passage) is split into its windows: these are classes of one string each, counted
+   under 128 bits of the digest, with partial sums.
 4. Repeats go back to the occurrences and to the documents, where bytes are cut.
 
 Defined results: a null or empty text has no bytes, and its digest is that of no bytes. Texts under LENGTH bytes stay. All copies
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import hidden, let_workers_import, shuffle_partitions
+from pagewright.llm.common import hidden, let_workers_import, number_of, numbered, shuffle_partitions
 from pagewright.llm.lyndon import suffix_arrays
 from pagewright.llm.pieces import mixed, powers, prefix_hashes, range_hashes, slices, text_buffer
 from pagewright.llm.tiles import groups_of
@@ -38,7 +39,8 @@ from pagewright.llm.tiles import groups_of
 LENGTH = 200
 KEY = 64
 WINDOWS = LENGTH - KEY + 1
-MOST_SNIPPETS = 16
+#: Different snippets of one anchor that one task orders at most.
+MOST_SNIPPETS = 64
 #: About the root of the windows of a usual snippet: with parts of this many windows, and single windows of the parts that stay
 #: large, a hot anchor gives the fewest rows.
 CLASS_WINDOWS = 8
@@ -49,8 +51,14 @@ _CLASS, _CHECK, _TEXT, _MARKS, _REP = (hidden(x) for x in ("class", "check", "te
 _CHECK_BITS = (1 << 23) - 1
 
 
+def digests_of(whole: bytes, start: np.ndarray, end: np.ndarray, size: int = 8) -> np.ndarray:
+    """Digests of the bytes from start to end, as rows of longs."""
+    made = b"".join(hashlib.blake2b(whole[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(made, "<i8").reshape(-1, size // 8)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash of the anchor, hash of the snippet, its text's number, its offset there, its number of windows) of all snippets."""
+    """(hash of the anchor, digest of the snippet, its text's number, its offset there, its number of windows) of all snippets."""
     n = int(offsets[-1])
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -76,7 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     count = np.diff(np.append(first, len(at)))
     begin = starts[first]
-    snippet = range_hashes(prefix, begin, begin + count - 1 + LENGTH)
+    snippet = digests_of(data[:n].tobytes(), begin, begin + count - 1 + LENGTH)[:, 0].view(np.uint64)
     return keys[at[first]], snippet, text[begin], begin - offsets[:-1][text[begin]], count
 
 
@@ -150,22 +158,22 @@ def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             k, kind, last, low, high, s, c, b = (np.array(x, np.int64) for x in zip(*rows, strict=True))
             common = range_hashes(prefix, last, last - CLASS_WINDOWS + 1 + LENGTH)
             key2 = mixed(common ^ (k.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            snip2 = range_hashes(prefix, low, high + LENGTH)
+            snip2 = digests_of(text, low, high + LENGTH)[:, 0]
             parts = [text[x:y] for x, y in zip(low.tolist(), (high + LENGTH).tolist(), strict=True)]
             rows = []
-            yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(snip2.view(np.int64)), pa.array(c), pa.array(parts, pa.binary()), pa.array(k), pa.array(s), pa.array(low - b), pa.array(high - low + 1)], names=["key2", "snip2", "copies", "bytes", "key", "snip", "low", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key2.view(np.int64)), pa.array(snip2), pa.array(c), pa.array(parts, pa.binary()), pa.array(k), pa.array(s), pa.array(low - b), pa.array(high - low + 1)], names=["key2", "snip2", "copies", "bytes", "key", "snip", "low", "n"])
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, snip, copies, bytes -> a row for each window: two hashes, key, snip, offset, copies."""
+    """key, snip, copies, bytes -> a row for each window: its digest, key, snip, offset, copies."""
     for batch in batches:
-        data = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+        whole = b"".join(batch.column(3).to_pylist())
         sizes = pc.binary_length(batch.column(3)).to_numpy()
         count = sizes - LENGTH + 1
         rows = np.repeat(np.arange(len(sizes)), count)
         offset = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
         start = (np.cumsum(sizes) - sizes)[rows] + offset
-        one, two = (range_hashes(prefix_hashes(x), start, start + LENGTH).view(np.int64) for x in (data, data ^ 0x5A))
+        one, two = (np.ascontiguousarray(x) for x in digests_of(whole, start, start + LENGTH, 16).T)
         key, snip, copies = (batch.column(i).to_numpy()[rows] for i in range(3))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, key, snip, offset, copies)], names=["w1", "w2", "key", "snip", "off", "copies"])
 
@@ -202,13 +210,18 @@ def repeated_windows(groups: list[list[bytes]], copies: list[list[int]]) -> list
 
 
 def _order_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, snip, copies, bytes, sorted by key -> key, snip, run (first window * 256 + the one behind the last)."""
-    held, size = [], 0
+    """key, snip, copies, bytes, with the rows of a key together -> key, snip, run (first window * 256 + the one behind the last).
 
-    def done():
-        made = repeated_windows([[*g[2]] for g in held], [[*g[3]] for g in held])
+    Strings of about the same length are ordered side by side: the longest one decides how many steps that takes."""
+    held: dict[int, list[tuple]] = {}
+    sizes: dict[int, int] = {}
+
+    def done(kind: int) -> pa.RecordBatch:
+        groups = held.pop(kind)
+        sizes.pop(kind)
+        made = repeated_windows([g[2] for g in groups], [g[3] for g in groups])
         rows = []
-        for (key, snips, _, _), found in zip(held, made, strict=True):
+        for (key, snips, _, _), found in zip(groups, made, strict=True):
             for snip, mask in zip(snips, found, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
                 rows += [(key, snip, a * 256 + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
@@ -217,13 +230,14 @@ def _order_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for table in groups_of(batches, 1):
         own = {s: (b, c) for s, c, b in zip(*(table.column(i).to_pylist() for i in (1, 2, 3)), strict=True)}  # a row whose id repeats gives a snippet again
-        held.append((table.column(0)[0].as_py(), [*own], [b for b, _ in own.values()], [c for _, c in own.values()]))
-        size += sum(len(b) for b, _ in own.values())
-        if size >= _SIDE_BY_SIDE:
-            yield done()
-            held, size = [], 0
-    if held:
-        yield done()
+        size = sum(len(b) for b, _ in own.values())
+        kind = size.bit_length()
+        held.setdefault(kind, []).append((table.column(0)[0].as_py(), [*own], [b for b, _ in own.values()], [c for _, c in own.values()]))
+        sizes[kind] = sizes.get(kind, 0) + size
+        if sum(sizes.values()) >= _SIDE_BY_SIDE:
+            yield done(max(sizes, key=sizes.__getitem__))
+    for kind in sorted(held):
+        yield done(kind)
 
 
 def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
@@ -241,9 +255,11 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     every = every.filter(F.col("key").isNotNull() & F.col("snip").isNotNull() & F.col(_CLASS).isNotNull() & F.col("at").isNotNull())
     twice = every.groupBy("key").agg(F.sum(times).alias("n")).filter("n > 1").select("key")
     seen = every.join(twice.hint("shuffle_hash"), "key")
-    # Any occurrence can stand for its snippet; both columns come from the same row. The filter keeps all rows: with it, every use of
+    # The least occurrence stands for its snippet: the same one in every use, whatever is computed again. The filter keeps all rows: with it, every use of
     # the snippets reads all columns, so that Spark makes the anchors' exchange once and reuses it.
-    snippets = seen.groupBy("key", "snip").agg(F.sum(times).alias("copies"), F.first(_CLASS).alias(_CLASS), F.first("at").alias("at")).filter(F.col(_CLASS).isNotNull() & F.col("at").isNotNull() & (F.col("copies") > 0))
+    least = F.min(F.struct(_CLASS, "at")).alias("least")
+    snippets = seen.groupBy("key", "snip").agg(F.sum(times).alias("copies"), least).select("key", "snip", "copies", F.col(f"least.{_CLASS}").alias(_CLASS), F.col("least.at").alias("at"))
+    snippets = snippets.filter(F.col(_CLASS).isNotNull() & F.col("at").isNotNull() & (F.col("copies") > 0))
     kinds = snippets.groupBy("key").agg(F.count("*").alias("kinds"))
     sorted_out = snippets.join(kinds.hint("shuffle_hash"), "key")
     all_equal = sorted_out.filter("kinds = 1").select("key", "snip", F.lit(WINDOWS).cast("long").alias("run"))
@@ -255,8 +271,11 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
         joined = base.join(wanted.join(reps, _CLASS).hint("shuffle_hash"), _CLASS)
         return joined.select("doc_id", _TEXT, _CHECK, _REP, "wanted").mapInArrow(make, schema)
 
+    def ordered_runs(rows: DataFrame) -> DataFrame:
+        return rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_order_batches, "key long, snip long, run long")
+
     few = from_texts((F.col("kinds") > 1) & (F.col("kinds") <= MOST_SNIPPETS), _snippet_batches, "key long, snip long, copies long, bytes binary")
-    ordered = few.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_order_batches, "key long, snip long, run long")
+    ordered = ordered_runs(few)
 
     # The hot anchors' windows by parts. A row whose id repeats gives its parts again, but then their copies are two already.
     parts = from_texts(F.col("kinds") > MOST_SNIPPETS, _part_batches, "key2 long, snip2 long, copies long, bytes binary, key long, snip long, low long, n long")
@@ -265,7 +284,7 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     known = counted.join(part_kinds.hint("shuffle_hash"), "key")
     equal_parts = known.filter("kinds = 1").select("key", "snip", F.lit(WINDOWS).cast("long").alias("run"))
     part_rows = known.filter((F.col("kinds") > 1) & (F.col("kinds") <= MOST_SNIPPETS)).select("key", "snip", "copies", "bytes")
-    ordered_parts = part_rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_order_batches, "key long, snip long, run long")
+    ordered_parts = ordered_runs(part_rows)
     many = known.filter(F.col("kinds") > MOST_SNIPPETS).select("key", "snip", "copies", "bytes").mapInArrow(_window_batches, "w1 long, w2 long, key long, snip long, off long, copies long")
     repeated = many.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
     places = many.join(repeated.hint("shuffle_hash"), ["w1", "w2"]).groupBy("key", "snip").agg(F.array_sort(F.collect_set("off")).alias("offs"))
@@ -330,11 +349,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their columns, repeats cut from the text. Bytes of a character that a cut has split go too. A null text becomes empty."""
+    """The documents with their columns, whatever their names, repeats cut from the text. Bytes of a character that a cut has split go too. A null text becomes empty."""
     let_workers_import(docs.sparkSession)
-    own = _with_class(docs, text_col)
-    joined = own.join(_marks(own, id_col).hint("shuffle_hash"), _CLASS, "left")
-    rest = [c for c in docs.columns if c != text_col]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), f"{_TEXT} string"])
-    cut = joined.select(*(F.col(f"`{c}`") for c in rest), _TEXT, _CHECK, _MARKS).mapInArrow(_text_batches, schema)
-    return cut.select(*(F.col(_TEXT).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    rows, text = numbered(docs), number_of(docs, text_col)
+    own = _with_class(rows, text)
+    joined = own.join(_marks(own, number_of(docs, id_col)).hint("shuffle_hash"), _CLASS, "left")
+    rest = [c for c in rows.columns if c != text]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest), f"{_TEXT} string"])
+    cut = joined.select(*rest, _TEXT, _CHECK, _MARKS).mapInArrow(_text_batches, schema)
+    return cut.select(*(F.col(_TEXT if c == text else c) for c in rows.columns)).toDF(*docs.columns)

@@ -109,3 +109,28 @@ def test_shingles_of_each_text_stand_apart():
     hashes, bounds = jaccard.shingles(*text_buffer(pa.array(texts)))
     assert np.diff(bounds).tolist() == [2, 0, 1, 1, 1]
     assert hashes[0] == hashes[bounds[3]] and len(set(hashes.tolist())) == 4
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long, 5, "p", 9), (2, long + " end", 6, "q", 8), (3, "x" * 200_000, 7, "r", 7), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __pw_item int, c0 string, copies int")
+    out = jaccard.one_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(r) for i, r in enumerate(rows) if i != 1)
+
+
+def test_a_chain_is_compared_by_buckets(spark):
+    """Each text shares most words with the next, none is near enough: what is compared grows with the buckets, not with the chain's square."""
+    from pyspark.sql import functions as F
+
+    from pagewright.llm.tiles import members
+
+    n, every = 3000, [f"w{i}" for i in range(3000 * 8 + 60)]
+    frame = spark.createDataFrame([(i, " ".join(every[8 * i : 8 * i + 40])) for i in range(n)], "doc_id long, text string")  # 28 of 44 shingles in common
+    assert jaccard.links(frame).filter("n_links > 0").count() == 0
+    text = frame.select("text", F.xxhash64("text").alias("item"), F.xxhash64(F.lit(1), "text").alias("item2"), "doc_id")
+    signed = text.mapInArrow(jaccard._signature_batches, "item long, item2 long, doc_id long, size int, values binary")
+    keys = signed.select("item", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(jaccard.BANDS - 1)), lambda j: F.xxhash64(j, F.substr("values", j * 10 + 1, F.lit(10))))).alias("band", "key"))
+    sizes = members(keys).groupBy("key", "low", "high").count()
+    assert sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 40 * n * 30

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import suffix_dedup
 from pagewright.llm.suffix_dedup import LENGTH
@@ -79,3 +80,29 @@ def test_texts_keep_columns(spark):
         if want[i][1] == 0:
             assert got[i] == (t or "")
         assert len(got[i].encode()) <= want[i][0] - want[i][1]
+
+
+def test_same_digests_however_rows_are_dealt(spark):
+    texts = make_texts()
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = brute(texts)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, dealt in ((1, frame.coalesce(1)), (7, frame.repartition(5)), (3, frame.orderBy(F.desc("doc_id")))):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(dealt).collect()}
+            assert [got[i] for i in range(len(texts))] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(120_000))
+    rows = [(1, "a", long, 3, -1, None), (2, "b", "x" + long[60_000:60_400] + "y", 4, -2, 7), (3, "c", "z" * 150_000, 5, -3, 8), (None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, __pw_class string, text string, __pw_marks int, c0 int, key int")
+    out = suffix_dedup.without_repeats(frame)
+    assert out.columns == frame.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == long[:60_000] + long[60_400:] and got[2].text == "xy" and got[3].text == "" and got[None].text == ""
+    assert [tuple(got[i])[1::2] for i in (1, 2, 3)] == [("a", 3, None), ("b", 4, 7), ("c", 5, 8)] and [got[i].c0 for i in (1, 2, 3)] == [-1, -2, -3]
