@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, jaccard, mixing, quality, suffix_dedup
-from pagewright.llm.common import scratch_path, table
+from pagewright.llm.common import remove, remove_at_exit, scratch_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over ``documents``, each result written to the shared folder before the next stage reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES over ``documents``, each result written to the shared folder before the next stage reads it.
+
+    A stage's input is deleted once its result is written; the last result goes when the session ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        remove_at_exit(spark, path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
