@@ -43,49 +43,50 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @cache
 def _draws(seed: int, length: int, k: int, width: float, tables: int) -> tuple[np.ndarray, ...]:
-    """Projections, shifts, factors and marks of the tables for vectors of a length."""
+    """Projections, shifts and factors of the tables for vectors of a length."""
     rng = np.random.default_rng([seed, length])
     normals, shifts = rng.standard_normal((length, tables * k)), rng.uniform(0, width, tables * k)
-    return normals, shifts, rng.integers(1, 2**62, (tables, k)) * 2 + 1, rng.integers(0, 2**63, tables).astype(np.uint64)
+    return normals, shifts, rng.integers(1, 2**62, (tables, k)) * 2 + 1
 
 
-def table_keys(x: np.ndarray, labels: np.ndarray, seed: int, k: int, width: float, tables: int) -> np.ndarray:
-    """rows x tables, int64; all draws come from the seed and the vectors' length."""
-    normals, shifts, odd, marks = _draws(seed, x.shape[1], k, width, tables)
+def table_keys(x: np.ndarray, seed: int, k: int, width: float, tables: int) -> np.ndarray:
+    """rows x tables, int32; all draws come from the seed and the vectors' length."""
+    normals, shifts, odd = _draws(seed, x.shape[1], k, width, tables)
     steps = np.floor((_unit(x) @ normals + shifts) / width).astype(np.int64).reshape(len(x), tables, k)
-    mixed = (steps * odd).sum(axis=2).astype(np.uint64) ^ (labels.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ marks
-    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB), (32, 1)):
+    mixed = (steps * odd).sum(axis=2).astype(np.uint64)
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    return mixed.astype(np.int64)
+    return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _key_batches(seed: int, k: int, width: float, tables: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item, label, vector -> item, keys"""
+    """Adds the keys to rows with a vector as the first column."""
     for batch in batches:
-        lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        lengths = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
         for length in np.unique(lengths):
             part = batch.take(pa.array(np.flatnonzero(lengths == length)))
             for at in range(0, part.num_rows, 2048):
                 some = part.slice(at, 2048)
-                keys = table_keys(_matrix(some.column(2)), some.column(1).to_numpy(), seed, k, width, tables)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))], names=["item", "keys"])
+                keys = table_keys(_matrix(some.column(0)).astype(np.float64), seed, k, width, tables)
+                lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*some.schema.names, "keys"])
 
 
 def cosine_linker(cosine: float):
     """Payload: copies, label, vector, keys."""
 
     def link(tile: pa.Table, band: int, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        labels, vectors, keys = tile.column("label").to_numpy(), tile.column("vector").combine_chunks(), _matrix(tile.column("keys"))
+        tile = tile.combine_chunks()
+        labels, vectors, keys = tile.column(8).to_numpy(), tile.column(9).chunk(0), _matrix(tile.column(10).chunk(0))
         lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for length in np.unique(lengths):
+        for length in set(lengths.tolist()):
+            own = np.flatnonzero(lengths == length)
+            unit = np.zeros((len(lengths), length))
+            unit[own] = _unit(_matrix(vectors if len(own) == len(lengths) else vectors.take(pa.array(own))).astype(np.float64))
             a = first[lengths[first] == length]
             b = a if second is None else second[lengths[second] == length]
-            if not len(a) or not len(b):
-                continue
-            x = _unit(_matrix(vectors.take(pa.array(a))).astype(np.float64))
-            y = x if second is None else _unit(_matrix(vectors.take(pa.array(b))).astype(np.float64))
-            near = (x @ y.T >= cosine) & (labels[a][:, None] == labels[b])
+            near = (unit[a] @ unit[b].T >= cosine) & (labels[a][:, None] == labels[b])
             i, j = np.nonzero(np.triu(near, 1) if second is None else near)
             i, j = a[i], b[j]
             new = keys[i, band] == keys[j, band]
@@ -109,11 +110,12 @@ def links(rows: DataFrame, cosine: float = COSINE, k: int = K, width: float = WI
     # adding 0 makes -0 and 0 the same vector
     good = marked.filter("usable").withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))
     named = good.withColumns({"item": F.xxhash64("label", "vector"), "item2": F.xxhash64(F.lit("second"), "label", "vector")})
-    items = named.groupBy("item", "item2", "label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    # the keys are made once: what a pair has met in is read from them, not made again
-    keyed = cut(items.select("item", "label", "vector").mapInArrow(lambda batches: _key_batches(seed, k, width, tables, batches), "item long, keys array<long>"), "keys")
-    keys = keyed.select("item", F.lit(1).alias("size"), F.posexplode("keys").alias("band", "key"))
-    rows = members(keys).join(items.drop("least"), "item").join(keyed, "item")
+    items = named.groupBy("vector", "item", "item2", "label").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    # written once: what a pair has met in is read from the keys, not made again
+    items = cut(items.mapInArrow(lambda batches: _key_batches(seed, k, width, tables, batches), f"{schema}, keys array<int>"), "items")
+    keys = items.select("item", "label", F.lit(1).alias("size"), F.posexplode("keys").alias("band", "step")).select("item", "size", "band", F.xxhash64("band", "label", "step").alias("key"))
+    rows = members(keys).join(items.drop("least"), "item")
     found = link_rows(rows, ["label", "vector", "keys"], cosine_linker(cosine))
     whole = items.select("item", "item2", "copies", "least").join(found, ["item", "item2"], "left")
     rooted = whole.select("item", "item2", "least", F.coalesce("root", "item").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

@@ -88,9 +88,11 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _once(tile: pa.Table) -> pa.Table:
     """Without rows that repeat an item."""
-    ids = np.column_stack([tile.column(i).to_numpy() for i in (5, 6)])
-    first = np.unique(ids, axis=0, return_index=True)[1] if len(ids) > 1 else np.arange(len(ids))
-    return tile if len(first) == len(ids) else tile.take(pa.array(np.sort(first)))
+    items = tile.column(5).to_pylist()
+    if len(set(items)) == len(items):
+        return tile
+    first = {ids: i for i, ids in reversed([*enumerate(zip(items, tile.column(6).to_pylist(), strict=True))])}
+    return tile if len(first) == len(items) else tile.take(pa.array(sorted(first.values())))
 
 
 def _linked(link: Linker, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
