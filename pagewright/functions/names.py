@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pagewright.functions.text import WHITE, strip
+from pagewright.operators.folds import fold
 
 # Limits and names that file systems reserve.
 MAX_STEM = 150
@@ -62,25 +63,32 @@ def build_stem(pattern: str, title: Column, date: Column, no_date: str, compose:
 def unique_names(rows: DataFrame, folder: str, stem: str, order: str, suffix: str = ".pdf", existing: DataFrame | None = None) -> DataFrame:
     """Adds ``name``: the stem, then "stem (2)", ... as each folder's rows come in order and ``existing`` (folder, name) has them not.
 
-    The next free name depends on all names given before, so a folder is a fold over its rows; folders run in parallel."""
-    taken = existing.groupBy("folder").agg(F.collect_set("name").alias("__taken")) if existing is not None else None
-    base = rows.withColumn("__taken", F.array().cast("array<string>")) if taken is None else rows.join(taken.withColumnRenamed("folder", folder), folder, "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "name string"])
-
-    def give(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        first = part["__taken"].iloc[0]
-        seen, next_of, names = set(first if first is not None else []), {}, []
-        for own in part[stem]:
-            number = next_of.get(own, 1)
-            while (name := f"{own}{suffix}" if number == 1 else f"{own} ({number}){suffix}") in seen:
-                number += 1
-            next_of[own] = number + 1
-            seen.add(name)
-            names.append(name)
-        return part.drop(columns="__taken").assign(name=names)
-
-    return base.groupBy(folder).applyInPandas(give, schema)
+    The next free name depends on the names given before, but only on those of the same stem or of the stem with numbers behind it. So a fold runs over the rows of a
+    folder and of a stem without such numbers, the names that exist first."""
+    base = lambda c: F.regexp_replace(c, r"( \([0-9]+\))+$", "")
+    own = rows.withColumns({"__base": base(F.col(stem)), "__there": F.lit(None).cast("string")})
+    if existing is not None:
+        kind = rows.schema[folder].dataType
+        there = existing.filter(F.endswith("name", F.lit(suffix))).select(F.col("folder").cast(kind).alias(folder), F.col("name").alias("__there"))
+        there = there.withColumn("__base", base(F.expr(f"left(__there, length(__there) - {len(suffix)})")))
+        own = own.unionByName(there, allowMissingColumns=True)
+
+    def give(state: tuple[set[str], dict[str, int]] | None, row: tuple) -> tuple[tuple[set[str], dict[str, int]], tuple]:
+        title, there = row
+        seen, next_of = state or (set(), {})
+        if there is not None:
+            seen.add(there)
+            return (seen, next_of), (None,)
+        number = next_of.get(title, 1)
+        while (name := f"{title}{suffix}" if number == 1 else f"{title} ({number}){suffix}") in seen:
+            number += 1
+        next_of[title] = number + 1
+        seen.add(name)
+        return (seen, next_of), (name,)
+
+    own = own.withColumn("__own", F.col("__there").isNull())  # false sorts first
+    made = fold(own, [folder, "__base"], ["__own", order], [stem, "__there"], None, give, {"name": "string"})
+    return made.filter("__own").select(*rows.columns, "name")
 
 
 def normalize_date(value: Column) -> Column:

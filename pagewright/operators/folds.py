@@ -1,33 +1,43 @@
 """Folds over the rows of a key in order, where each result depends on all rows before.
 
-Rows are dealt out by key, sorted within partitions, and run through once: a key of any size takes one pass and the memory of its state."""
+Rows are dealt out by key, sorted within partitions, and run through once as Arrow batches: a key of any size takes one pass and the memory of its
+state. Null keys are a key like any other, and numbers keep their type."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: (state, value of the row) -> (state after, result)
-Step = Callable[[Any, Any], tuple[Any, Any]]
+#: (state, values of the row) -> (state after, results)
+Step = Callable[[Any, tuple], tuple[Any, tuple]]
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def fold(rows: DataFrame, key: str, order: list[str], value: str | list[str], start: Any, step: Step, name: str, kind: str) -> DataFrame:
-    """Adds a column with step's results; the state begins anew with each key."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{name}` {kind}"])
+def _alike(a: tuple, b: tuple) -> bool:
+    """Equal, where null equals null and NaN equals NaN."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state, begun = None, start, False
-        for part in parts:
-            values = part[value].itertuples(index=False, name=None) if isinstance(value, list) else part[value]
+
+def fold(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: Any, step: Step, results: Mapping[str, str]) -> DataFrame:
+    """Adds columns with step's results, by name and type; the state begins anew with each key."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{n}` {t}" for n, t in results.items())])
+    places = [[rows.columns.index(c) for c in some] for some in (keys, values)]
+    names, kinds = list(results), [_KINDS[t] for t in results.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start
+        for batch in batches:
+            of_key, of_row = ([*zip(*(batch.column(i).to_pylist() for i in some), strict=True)] for some in places)
             out = []
-            for k, v in zip(part[key], values, strict=True):
-                if not begun or k != last:
-                    last, state, begun = k, start, True
-                state, result = step(state, v)
-                out.append(result)
-            yield part.assign(**{name: out})
-
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+            for key, row in zip(of_key, of_row, strict=True):
+                if last is None or not _alike(key, last):
+                    last, state = key, start
+                state, made = step(state, row)
+                out.append(made)
+            made = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

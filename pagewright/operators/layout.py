@@ -111,6 +111,6 @@ def union_boxes(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.groupBy(key).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
 
 
-def within_limit(rows: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
+def within_limit(rows: DataFrame, keys: list[str], order: str, size: str, most: int) -> DataFrame:
     """Adds fits: whether the sizes up to here stay within the limit."""
-    return rows.withColumn("fits", F.sum(size).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) <= most)
+    return rows.withColumn("fits", F.sum(size).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) <= most)

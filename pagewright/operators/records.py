@@ -45,26 +45,25 @@ def complete_layouts(stacks: DataFrame, cached: DataFrame, default: int) -> Data
 def next_fit(rows: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:
     """Adds batch: rows of a key in order, a new batch wherever the next would take a batch that has rows beyond ``most``."""
 
-    def step(state: tuple[int, int, bool], own: int) -> tuple[tuple[int, int, bool], int]:
+    def step(state: tuple[int, int, bool], row: tuple) -> tuple[tuple[int, int, bool], tuple]:
         batch, filled, any_rows = state
+        own = row[0] or 0
         if any_rows and filled + own > most:
             batch, filled = batch + 1, 0
-        return (batch, filled + own, True), batch
+        return (batch, filled + own, True), (batch,)
 
-    return fold(rows.select(key, order, size), key, [order], size, (0, 0, False), step, "batch", "int")
+    return fold(rows.select(key, order, size), [key], [order], [size], (0, 0, False), step, {"batch": "int"})
 
 
 def heartbeats(rows: DataFrame, key: str, time: str, state: str, seconds: int) -> DataFrame:
     """Rows of a key at which a report is due: its state changed since the last report, or ``seconds`` have passed since then."""
 
-    def step(last: tuple | None, own: tuple) -> tuple[tuple | None, bool]:
-        at, now = own
-        due = last is None or now != last[1] or at - last[0] >= seconds
-        return (own if due else last), due
+    def step(last: tuple | None, own: tuple) -> tuple[tuple | None, tuple]:
+        due = last is None or own[1] != last[1] or own[0] - last[0] >= seconds
+        return (own if due else last), (due,)
 
-    # a null state is a state like any other: the empty mark keeps it apart from texts
-    marked = rows.select(key, time, state, F.coalesce(F.concat(F.lit("="), F.col(state)), F.lit("")).alias("__state"))
-    return fold(marked, key, [time, state], [time, "__state"], None, step, "__due", "boolean").filter("__due").select(key, time, state)
+    due = fold(rows.select(key, time, state), [key], [time, state], [time, state], None, step, {"__due": "boolean"})
+    return due.filter("__due").select(key, time, state)
 
 
 def queue_snapshot(counts: DataFrame) -> DataFrame:

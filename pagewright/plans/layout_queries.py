@@ -139,9 +139,9 @@ def union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.union_boxes(_words(spark, sf_dir), "page").select("page", F.col("left").cast("long").alias("l"), F.col("top").cast("long").alias("t"), F.col("right").cast("long").alias("r"), F.col("bottom").cast("long").alias("b"))
 
 
-@query("SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 400 AS fits FROM part")
+@query("SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) <= 400 AS fits FROM part")
 def cumulative_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.within_limit(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size", 400).select("p_partkey", "fits")
+    return layout.within_limit(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_partkey", "p_size", 400).select("p_partkey", "fits")
 
 
 def _two_readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

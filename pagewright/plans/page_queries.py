@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.backends import describe
+from pagewright.config import Settings
 from pagewright.functions import names, ranges, text
 from pagewright.operators import segmentation as seg
 from pagewright.plans.registry import query
@@ -214,15 +215,16 @@ def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.coalesce("text", F.lit(""))).alias("excerpt"))
 
 
+_MOST = Settings.metadata_max_chars
 _PARTS = f"list_filter([header, regexp_replace(markdown, '{_IMG}', '', 'g'), footer], lambda x: {_STRIP('x')} <> '')"
 
 
 @query(f"""WITH {SEGMENTS}, t AS (SELECT stack_id, seg, string_agg('--- page ' || (index + 1) || ' ---' || chr(10) || {_STRIP(f"array_to_string({_PARTS}, chr(10))")}, chr(10) || chr(10) ORDER BY index) AS x FROM sg GROUP BY stack_id, seg)
-SELECT stack_id, seg::BIGINT AS seg, CASE WHEN length(x) <= 1000 THEN x ELSE left(x, 750) || chr(10) || chr(10) || '[... middle omitted ...]' || chr(10) || chr(10) || right(x, 250) END AS text FROM t""")
+SELECT stack_id, seg::BIGINT AS seg, CASE WHEN length(x) <= {_MOST} THEN x ELSE left(x, {_MOST * 3 // 4}) || chr(10) || chr(10) || '[... middle omitted ...]' || chr(10) || chr(10) || right(x, {_MOST - _MOST * 3 // 4}) END AS text FROM t""")
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     piece = text.page_chunk(F.col("index") + 1, F.col("header"), F.col("markdown"), F.col("footer"))
     whole = seg.document_texts(seg.with_segments(_marked_lines(spark, sf_dir)), ["stack_id", "seg"], piece, "\n\n")
-    return whole.select("stack_id", "seg", text.clipped_text(F.col("text"), 1000).alias("text"))
+    return whole.select("stack_id", "seg", text.clipped_text(F.col("text"), _MOST).alias("text"))
 
 
 _CPARTS = f"list_filter([{_STRIP('header')}, {_STRIP(f'''regexp_replace(markdown, '{_IMG}', '', 'g')''')}, {_STRIP('footer')}], lambda x: x <> '')"

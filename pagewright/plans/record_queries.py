@@ -155,7 +155,7 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("p", before).filter(~F.col("event_type").eqNullSafe(F.col("p"))).select("user_id", "event_id", "event_type")
 
 
-_BEATS = "SELECT user_id % 50 AS grp, floor(epoch(ts))::BIGINT AS seen, min(event_type) AS state FROM events GROUP BY 1, 2"
+_BEATS = "SELECT user_id AS grp, floor(epoch(ts))::BIGINT AS seen, min(event_type) AS state FROM events GROUP BY 1, 2"
 
 
 @query(f"""WITH RECURSIVE e AS ({_BEATS}), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY seen) AS i FROM e),
@@ -164,7 +164,7 @@ f AS (SELECT grp, i, seen, state, seen AS sent, state AS last, true AS due FROM
 SELECT grp, seen, state FROM f WHERE due""")
 def heartbeat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports that are due: on a change, or a day after the last one."""
-    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("grp"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seen")).agg(F.min("event_type").alias("state"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("grp"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seen")).agg(F.min("event_type").alias("state"))
     return records.heartbeats(rows, "grp", "seen", "state", 86_400)
 
 
@@ -181,8 +181,8 @@ def _expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "review").when(F.col("event_type") == "click", "plan").otherwise("page")
     files = events.select(F.col("user_id").alias("folder"), kind.alias("kind"), F.col("ts").alias("mtime"), (F.col("event_id") % 1000).alias("size"))
     active = events.filter("user_id % 7 = 0").select(F.col("user_id").alias("folder")).distinct()
-    newest = events.agg(F.max("ts").alias("now"))  # one row
-    return records.expired_folders(files, active, F.lit(newest.first()["now"]) - F.expr("INTERVAL 2 DAYS"))
+    newest = events.agg(F.max("ts")).scalar()  # a subquery: no job while the plan is built
+    return records.expired_folders(files, active, newest - F.expr("INTERVAL 2 DAYS"))
 
 
 @query(f"WITH f AS ({_FILES}), g AS (SELECT folder, max(mtime) FILTER (WHERE kind <> 'page') AS lc, sum(size) AS bytes FROM f GROUP BY folder HAVING bool_or(kind = 'review') AND bool_or(kind = 'plan')) SELECT count(*) AS folders, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM g WHERE folder % 7 <> 0 AND lc <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
@@ -206,19 +206,19 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS job, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderstatus = 'F' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 24 HOUR AS expired FROM orders")
 def job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    now = F.lit(orders.agg(F.max("o_orderdate")).first()[0])
+    now = orders.agg(F.max("o_orderdate")).scalar()
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
     return orders.select(F.col("o_orderkey").alias("job"), status.alias("status"), ((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < now - F.expr("INTERVAL 24 HOURS"))).alias("expired"))
 
 
-@query(f"""WITH {LINES}, rec AS (SELECT stack_id, index, length(markdown) % 4 AS replaced, length(markdown) % 3 AS added FROM lines WHERE index % 2 = 0), rd AS (SELECT stack_id, index, left(markdown, 20) AS reading FROM lines WHERE index % 3 = 0)
+@query(f"""WITH {LINES}, rec AS (SELECT stack_id, index, length(markdown) % 4 AS replaced, length(markdown) % 3 AS added FROM lines WHERE index % 2 = 0), rd AS (SELECT stack_id, index, markdown AS reading FROM lines WHERE index % 3 = 0)
 SELECT l.stack_id, l.index + 1 AS page, coalesce(replaced, 0) + coalesce(added, 0) AS changed_lines, coalesce(reading, '') AS reading FROM lines l LEFT JOIN rec USING (stack_id, index) LEFT JOIN rd USING (stack_id, index)""")
 def job_results_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job's pages, with what the merge recorded and what was read, where there is something."""
     pages = line_pages(spark, sf_dir)
     size = F.length("markdown")
     record = pages.filter("index % 2 = 0").select("stack_id", "index", (size % 4).alias("replaced"), (size % 3).alias("added"))
-    reading = pages.filter("index % 3 = 0").select("stack_id", "index", F.left("markdown", F.lit(20)).alias("reading"))
+    reading = pages.filter("index % 3 = 0").select("stack_id", "index", F.col("markdown").alias("reading"))
     joined = pages.join(record, ["stack_id", "index"], "left").join(reading, ["stack_id", "index"], "left")
     return joined.select("stack_id", (F.col("index") + 1).alias("page"), (F.coalesce("replaced", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("changed_lines"), F.coalesce("reading", F.lit("")).alias("reading"))
 
@@ -252,10 +252,11 @@ def waiting_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("event_type = 'view'").select("user_id").intersect(e.filter("event_type = 'purchase'").select("user_id"))
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'view' AND event_id % 3 = 0 EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 19 = 0")
+@query("SELECT user_id, ts::DATE AS day FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, ts::DATE FROM events WHERE event_type = 'error'")
 def viewers_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.filter("event_type = 'view' and event_id % 3 = 0").select("user_id").subtract(e.filter("event_type = 'error' and event_id % 19 = 0").select("user_id"))
+    """Days on which a user viewed without an error."""
+    days = table(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    return days.filter("event_type = 'view'").drop("event_type").subtract(days.filter("event_type = 'error'").drop("event_type"))
 
 
 _LANGS = "CASE user_id % 4 WHEN 0 THEN 'deu+eng' WHEN 1 THEN 'fra+deu+fra' WHEN 2 THEN 'spa' ELSE 'eng+ita+deu' END"

@@ -48,15 +48,22 @@ def pages_to_write(docs: DataFrame, count: Column) -> DataFrame:
     return good.select("folder", "name", "number", F.posexplode("indices").alias("place", "index"))
 
 
-def once_each(send: Callable[[DataFrame, int], None], ledger: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: sends a batch once, even if the stream restarts in between; the ledger is a folder with a marker per batch."""
+def once_each(send: Callable[[DataFrame, int], None], ledger: str, arrived: Callable[[int], bool] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: sends each batch, also if the stream restarts in between. The ledger is a folder with two marks per batch: claimed before it is sent, finished behind it.
+
+    A batch that was claimed and not finished may have arrived or not, as no mark can be written together with what a service does. ``arrived`` tells, by the batch's number, which
+    ``send`` hands to the service as the idempotence key; without it the batch is sent again under the same number, and the service has to drop the second one."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{number}")
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
+        claimed, finished = (spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{number}.{mark}") for mark in ("claimed", "finished"))
+        files = claimed.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(finished):
+            return
+        known = files.exists(claimed) and arrived is not None and arrived(number)
+        if not known:
+            files.create(claimed, True).close()
             send(batch, number)
-            files.create(path, True).close()
+        files.create(finished, True).close()
 
     return step

@@ -4,36 +4,28 @@ Steps of a key in the order of time: "try" asks to start a file, "limit" reports
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-OUTPUT = "key string, at double, step string, allowed boolean, paused boolean"
+from pagewright.operators.folds import fold
 
+#: paused, probing, time of the next probe
+Gate = tuple[bool, bool, float]
+OPEN: Gate = (False, False, 0.0)
 
-def play(steps: list[tuple[float, str]], retry: float) -> list[tuple[bool, bool]]:
-    """(allowed, paused afterwards) of each step."""
-    paused, probing, next_probe, out = False, False, 0.0, []
-    for at, step in steps:
-        allowed = True
-        if step == "try":
-            allowed = not paused or (not probing and at >= next_probe)
-            probing = probing or (paused and allowed)
-        elif step == "limit":
-            paused, probing, next_probe = True, False, at + retry
-        elif step == "skip":
-            probing = False
-        else:
-            paused = probing = False
-        out.append((allowed, paused))
-    return out
 
+def advance(state: Gate, at: float, step: str, retry: float) -> tuple[Gate, tuple[bool, bool]]:
+    """(state after, (allowed, paused afterwards)) of one step."""
+    paused, probing, next_probe = state
+    if step == "limit":
+        return (True, False, at + retry), (True, True)
+    if step == "done":
+        return (False, False, next_probe), (True, False)
+    if step != "try":
+        return (paused, False, next_probe), (True, paused)
+    allowed = not paused or (not probing and at >= next_probe)
+    return (paused, probing or (paused and allowed), next_probe), (allowed, paused)
 
-def gate(steps: DataFrame, retry: float) -> DataFrame:
-    """steps: key, at (seconds), n (order of equals), step."""
-
-    def each(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", "n"], kind="stable")
-        made = play(list(zip(part["at"], part["step"], strict=True)), retry)
-        return pd.DataFrame({"key": part["key"], "at": part["at"], "step": part["step"], "allowed": [a for a, _ in made], "paused": [p for _, p in made]})
 
-    return steps.groupBy("key").applyInPandas(each, OUTPUT)
+def gate(steps: DataFrame, retry: float) -> DataFrame:
+    """steps: key, at (seconds), n (order of equals), step. Adds allowed and paused."""
+    return fold(steps.select("key", "at", "n", "step"), ["key"], ["at", "n"], ["at", "step"], OPEN, lambda state, row: advance(state, *row, retry), {"allowed": "boolean", "paused": "boolean"}).drop("n")

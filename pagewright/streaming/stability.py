@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pagewright.operators.folds import fold
+
 #: Fixed value: seconds after which an empty or incomplete file is let through, to fail.
 GRACE = 600
 STATE = "size long, mtime long, since double, first double, warned boolean"
@@ -18,40 +20,31 @@ OUTPUT = "path string, at double, ready boolean, waiting_long boolean"
 Remembered = tuple[int, int, float, float, bool]
 
 
-def observe(seen: Remembered | None, rows: list[tuple[float, int, int, bool]], stable: float) -> tuple[Remembered | None, list[tuple[float, bool, bool]]]:
-    """(state after, [(time, ready, warned for the first time)])"""
-    out, grace = [], max(GRACE, stable)
-    for at, size, mtime, complete in rows:
-        same = seen is not None and (seen[0], seen[1]) == (size, mtime)
-        since = seen[2] if same else at
-        first, warned = (seen[3], seen[4]) if seen is not None else (at, False)
-        quiet = at - since
-        if not same:
-            ready = stable == 0 and size > 0 and complete
-        elif size == 0:
-            ready = quiet >= grace
-        else:
-            ready = quiet >= stable and (complete or quiet >= grace)
-        settling = same and size > 0 and quiet < stable
-        warn = not ready and not settling and not warned and at - first >= GRACE
-        seen = (size, mtime, since, first, warned or warn)
-        out.append((at, ready, warn))
-    return seen, out
-
-
-def _rows(part: pd.DataFrame) -> list[tuple[float, int, int, bool]]:
-    part = part.sort_values("at", kind="stable")
-    return [(float(a), int(s), int(m), bool(c)) for a, s, m, c in zip(part["at"], part["size"], part["mtime"], part["complete"], strict=True)]
+def observe(seen: Remembered | None, row: tuple[float, int, int, bool], stable: float) -> tuple[Remembered, tuple[bool, bool]]:
+    """One observation (time, size, mtime, complete): (state after, (ready, to be warned of for the first time))."""
+    at, size, mtime, complete = row
+    same = seen is not None and (seen[0], seen[1]) == (size, mtime)
+    since = seen[2] if same else at
+    first, warned = (seen[3], seen[4]) if seen is not None else (at, False)
+    quiet, grace = at - since, max(GRACE, stable)
+    if not same:
+        ready = stable == 0 and size > 0 and complete
+    elif size == 0:
+        ready = quiet >= grace
+    else:
+        ready = quiet >= stable and (complete or quiet >= grace)
+    settling = same and size > 0 and quiet < stable
+    warn = not ready and not settling and not warned and at - first >= GRACE
+    return (size, mtime, since, first, warned or warn), (ready, warn)
 
 
 def readiness(observations: DataFrame, stable: float) -> DataFrame:
-    """observations: path, at (seconds), size, mtime, complete. For each, whether the path is ready then, and whether it is to be warned of."""
-
-    def each(part: pd.DataFrame) -> pd.DataFrame:
-        _, found = observe(None, _rows(part), stable)
-        return pd.DataFrame({"path": part["path"].iloc[0], "at": [x[0] for x in found], "ready": [x[1] for x in found], "waiting_long": [x[2] for x in found]})
+    """observations: path, at (seconds), size, mtime, complete. For each, whether the path is ready then, and whether it is to be warned of.
 
-    return observations.groupBy("path").applyInPandas(each, OUTPUT)
+    Observations of one time come in the order of size, mtime and completeness."""
+    order = ["at", "size", "mtime", "complete"]
+    rows = fold(observations.select("path", *order), ["path"], order, order, None, lambda seen, row: observe(seen, row, stable), {"ready": "boolean", "waiting_long": "boolean"})
+    return rows.select("path", "at", "ready", "waiting_long")
 
 
 def readiness_stream(observations: DataFrame, stable: float, forget_after_ms: int | None = None) -> DataFrame:
@@ -61,9 +54,13 @@ def readiness_stream(observations: DataFrame, stable: float, forget_after_ms: in
         if state.hasTimedOut:
             state.remove()
             return
-        rows = [r for p in parts for r in _rows(p)]
-        seen, found = observe(tuple(state.get) if state.exists else None, sorted(rows), stable)
-        state.update(seen)
+        rows = sorted((float(a), int(s), int(m), bool(c)) for p in parts for a, s, m, c in zip(p["at"], p["size"], p["mtime"], p["complete"], strict=True))  # a path's rows of one batch
+        seen, found = tuple(state.get) if state.exists else None, []
+        for row in rows:
+            seen, made = observe(seen, row, stable)
+            found.append((row[0], *made))
+        if seen is not None:
+            state.update(seen)
         if forget_after_ms:
             state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame({"path": key[0], "at": [x[0] for x in found], "ready": [x[1] for x in found], "waiting_long": [x[2] for x in found]})

@@ -1,7 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from pagewright.functions import names
+from pagewright.operators import records
 from pagewright.sinks import plans
 from pagewright.sources import files
 from pagewright.sources.paged import PagedSource
@@ -9,14 +12,29 @@ from pagewright.streaming import gate, queue, stability
 
 
 def pages_of(number):
-    """What the paged source's test service gives."""
-    return [{"id": number * 10 + i, "name": f"n{i}"} for i in range(number)]
+    """What the paged source's test services give: lists ..."""
+    return [{"id": number * 10 + i, "name": f"n{i}"} for i in range(number)] if number <= 4 else []
+
+
+def linked_pages(number):
+    """... pages with a link to the next one ..."""
+    return {"results": [{"id": number}], "next": f"?page={number + 1}" if number < 6 else None}
+
+
+def counted_pages(number):
+    """... and with the number of results, which is one too low."""
+    return {"results": [{"id": number * 10}, {"id": number * 10 + 1}], "next": "more" if number < 4 else None, "count": 6}
 
 
 def test_paged_source(spark):
     spark.dataSource.register(PagedSource)
-    rows = spark.read.format("paged").option("fetch", "tests.test_flow:pages_of").option("pages", "3").load().collect()
-    assert sorted((r.page, json.loads(r.value)["id"]) for r in rows) == [(1, 10), (2, 20), (2, 21), (3, 30), (3, 31), (3, 32)]
+    read = lambda name, **options: sorted((r.page, json.loads(r.value)["id"]) for r in spark.read.format("paged").options(fetch=f"tests.test_flow:{name}", **options).load().collect())
+    assert read("pages_of") == [(n, n * 10 + i) for n in range(1, 5) for i in range(n)]
+    assert read("linked_pages") == [(n, n) for n in range(1, 7)]
+    assert read("counted_pages") == [(n, n * 10 + i) for n in range(1, 5) for i in range(2)]
+    assert read("pages_of", pages="4") == read("pages_of")
+    with pytest.raises(Exception, match="more than 3 pages"):
+        read("pages_of", pages="3")
 
 
 def test_inbox(spark, tmp_path):
@@ -63,7 +81,7 @@ def test_plans(spark):
     assert [(r.number, r.pages, r.title, r.date, r.confidence, r.needs_review, r.review_reason) for r in back] == [(1, "1-2", "A", "2026-09-30", 1.0, False, ""), (2, "3", "B", None, 1.0, False, "")]
 
 
-def test_sink_writes_each_batch_once(spark, tmp_path):
+def test_sink_sends_each_batch_once(spark, tmp_path):
     sent = []
     step = plans.once_each(lambda batch, n: sent.append((n, batch.count())), str(tmp_path / "ledger"))
     for n in (0, 1, 1, 0, 2):
@@ -71,6 +89,46 @@ def test_sink_writes_each_batch_once(spark, tmp_path):
     assert sent == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_sink_asks_after_a_crash(spark, tmp_path):
+    sent, crash = [], []
+
+    def send(batch, number):
+        sent.append(number)
+        if crash:
+            raise RuntimeError(crash.pop())
+
+    ledger = str(tmp_path / "ledger")
+    asking = plans.once_each(send, ledger, arrived=lambda n: n in sent)
+    crash.append("behind the service")
+    with pytest.raises(RuntimeError):
+        asking(spark.range(1), 7)
+    asking(spark.range(1), 7)  # it had arrived
+    asking(spark.range(1), 7)
+    assert sent == [7]
+    crash.append("again")
+    plain = plans.once_each(send, ledger)
+    with pytest.raises(RuntimeError):
+        plain(spark.range(1), 8)
+    plain(spark.range(1), 8)  # under the same number
+    plain(spark.range(1), 8)
+    assert sent == [7, 8, 8]
+
+
+def test_folds_of_null_keys_and_large_numbers(spark):
+    big = 2**53 + 1
+    rows = [(None, 1, 60), (None, 2, 60), (None, 3, 60), (big, 1, 60), (big, 2, 60), (big - 1, 1, None), (big - 1, 2, 100), (big - 1, 3, 1)]
+    got = {(r.k, r.n): r.batch for r in records.next_fit(spark.createDataFrame(rows, "k long, n int, size int"), "k", "n", "size", 100).collect()}
+    assert got == {(None, 1): 0, (None, 2): 1, (None, 3): 2, (big, 1): 0, (big, 2): 1, (big - 1, 1): 0, (big - 1, 2): 0, (big - 1, 3): 1}
+
+
+def test_free_names(spark):
+    rows = [("f", "A", 1), ("f", "A (2)", 2), ("f", "A", 3), ("f", "A", 4), ("g", "A", 1), ("f", "B", 5), ("f", "A (2)", 6), (None, "A", 7), (None, "A", 8)]
+    there = spark.createDataFrame([("f", "A (3).pdf"), ("f", "B.txt"), ("g", "A.pdf"), ("h", "C.pdf")], "folder string, name string")
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "folder string, stem string, n int, other string")
+    got = {(r.folder, r.n): r.name for r in names.unique_names(frame, "folder", "stem", "n", existing=there).collect()}
+    assert got == {("f", 1): "A.pdf", ("f", 2): "A (2).pdf", ("f", 3): "A (4).pdf", ("f", 4): "A (5).pdf", ("g", 1): "A (2).pdf", ("f", 5): "B.pdf", ("f", 6): "A (2) (2).pdf", (None, 7): "A.pdf", (None, 8): "A (2).pdf"}
+
+
 OBSERVED = [("a", 0.0, 10, 1, True), ("a", 30.0, 10, 1, True), ("a", 70.0, 10, 1, True), ("b", 0.0, 0, 1, False), ("b", 599.0, 0, 1, False), ("b", 600.0, 0, 1, False), ("c", 0.0, 5, 1, False), ("c", 100.0, 5, 1, False), ("c", 650.0, 6, 2, False), ("c", 1300.0, 6, 2, False)]
 
 
@@ -94,10 +152,11 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
 
 def test_gate(spark):
     steps = [(0, "try"), (1, "limit"), (2, "try"), (11, "try"), (12, "try"), (13, "limit"), (23, "try"), (24, "skip"), (25, "try"), (26, "done"), (27, "try")]
-    assert [a for a, _ in gate.play([(float(t), s) for t, s in steps], 10.0)] == [True, True, False, True, False, True, True, True, True, True, True]
-    frame = spark.createDataFrame([("k", float(t), i, s) for i, (t, s) in enumerate(steps)], "key string, at double, n int, step string")
-    got = [(r.allowed, r.paused) for r in gate.gate(frame, 10.0).orderBy("at").collect()]
-    assert got == gate.play([(float(t), s) for t, s in steps], 10.0)
+    frame = spark.createDataFrame([(k, float(t), i, s) for k in ("k", None) for i, (t, s) in enumerate(steps)], "key string, at double, n int, step string")
+    for key in ("k", None):
+        got = gate.gate(frame, 10.0).filter(F.col("key").eqNullSafe(key)).orderBy("at").collect()
+        assert [r.allowed for r in got] == [True, True, False, True, False, True, True, True, True, True, True]
+        assert [r.paused for r in got] == [False, True, True, True, True, True, True, True, True, False, False]
 
 
 def test_reports_on_change_or_heartbeat(spark):
