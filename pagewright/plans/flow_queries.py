@@ -43,15 +43,15 @@ def pages_to_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.pages_to_write(docs, F.lit(1_000_000))
 
 
-_SEEN = "SELECT user_id::VARCHAR AS path, floor(epoch(ts))::DOUBLE AS at, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 10 ELSE 20 END AS size, event_type <> 'click' AS complete FROM events"
-_READY = "CASE WHEN r.size <> f.size THEN false WHEN r.size = 0 THEN r.at - f.since >= 600 ELSE r.at - f.since >= 300 AND (r.complete OR r.at - f.since >= 600) END"
-_WARN = f"NOT ({_READY}) AND NOT (r.size = f.size AND r.size > 0 AND r.at - f.since < 300) AND NOT f.warned AND r.at - f.began >= 600"
+_SEEN = "SELECT user_id::VARCHAR AS path, floor(epoch(ts))::DOUBLE AS t, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 10 ELSE 20 END AS size, event_type <> 'click' AS complete FROM events"
+_READY = "CASE WHEN r.size <> f.size THEN false WHEN r.size = 0 THEN r.t - f.since >= 600 ELSE r.t - f.since >= 300 AND (r.complete OR r.t - f.since >= 600) END"
+_WARN = f"NOT ({_READY}) AND NOT (r.size = f.size AND r.size > 0 AND r.t - f.since < 300) AND NOT f.warned AND r.t - f.began >= 600"
 
 
-@query(f"""WITH RECURSIVE o AS ({_SEEN}), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY at, size, complete) AS i FROM o),
-f AS (SELECT path, i, at, size, at AS since, at AS began, false AS warned, false AS ready, false AS waiting_long FROM r WHERE i = 1
-  UNION ALL SELECT r.path, r.i, r.at, r.size, CASE WHEN r.size = f.size THEN f.since ELSE r.at END, f.began, f.warned OR ({_WARN}), {_READY}, {_WARN} FROM f JOIN r ON r.path = f.path AND r.i = f.i + 1)
-SELECT path, at, ready, waiting_long FROM f""")
+@query(f"""WITH RECURSIVE o AS ({_SEEN}), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY t, size, complete) AS i FROM o),
+f AS (SELECT path, i, t, size, t AS since, t AS began, false AS warned, false AS ready, false AS waiting_long FROM r WHERE i = 1
+  UNION ALL SELECT r.path, r.i, r.t, r.size, CASE WHEN r.size = f.size THEN f.since ELSE r.t END, f.began, f.warned OR ({_WARN}), {_READY}, {_WARN} FROM f JOIN r ON r.path = f.path AND r.i = f.i + 1)
+SELECT path, t AS at, ready, waiting_long FROM f""")
 def stability_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observations of files: when each is ready."""
     at = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
@@ -62,15 +62,15 @@ def stability_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.readiness(rows, 300.0)
 
 
-_STEPS = "SELECT user_id::VARCHAR AS key, floor(epoch(ts))::DOUBLE AS at, event_id AS n, CASE event_type WHEN 'error' THEN 'limit' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'skip' ELSE 'try' END AS step FROM events"
-_ALLOWED = "(r.step <> 'try' OR NOT f.paused OR (NOT f.probing AND r.at >= f.next_probe))"
+_STEPS = "SELECT user_id::VARCHAR AS key, floor(epoch(ts))::DOUBLE AS t, event_id AS n, CASE event_type WHEN 'error' THEN 'limit' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'skip' ELSE 'try' END AS step FROM events"
+_ALLOWED = "(r.step <> 'try' OR NOT f.paused OR (NOT f.probing AND r.t >= f.next_probe))"
 
 
-@query(f"""WITH RECURSIVE s AS ({_STEPS}), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at, n) AS i FROM s),
-f AS (SELECT key, i, at, step, true AS allowed, step = 'limit' AS paused, false AS probing, CASE WHEN step = 'limit' THEN at + 86400 ELSE 0 END AS next_probe FROM r WHERE i = 1
-  UNION ALL SELECT r.key, r.i, r.at, r.step, {_ALLOWED}, CASE r.step WHEN 'limit' THEN true WHEN 'done' THEN false ELSE f.paused END,
-    r.step = 'try' AND (f.probing OR (f.paused AND {_ALLOWED})), CASE WHEN r.step = 'limit' THEN r.at + 86400 ELSE f.next_probe END FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1)
-SELECT key, at, step, allowed, paused FROM f""")
+@query(f"""WITH RECURSIVE s AS ({_STEPS}), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, n) AS i FROM s),
+f AS (SELECT key, i, t, step, true AS allowed, step = 'limit' AS paused, false AS probing, CASE WHEN step = 'limit' THEN t + 86400 ELSE 0 END AS next_probe FROM r WHERE i = 1
+  UNION ALL SELECT r.key, r.i, r.t, r.step, {_ALLOWED}, CASE r.step WHEN 'limit' THEN true WHEN 'done' THEN false ELSE f.paused END,
+    r.step = 'try' AND (f.probing OR (f.paused AND {_ALLOWED})), CASE WHEN r.step = 'limit' THEN r.t + 86400 ELSE f.next_probe END FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1)
+SELECT key, t AS at, step, allowed, paused FROM f""")
 def pause_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as steps of accounts: which files may start while an account is refused, with a probe a day."""
     kind = F.col("event_type")

@@ -252,10 +252,10 @@ def waiting_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("event_type = 'view'").select("user_id").intersect(e.filter("event_type = 'purchase'").select("user_id"))
 
 
-@query("SELECT user_id, ts::DATE AS day FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, ts::DATE FROM events WHERE event_type = 'error'")
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, strftime(ts, '%Y-%m-%d') FROM events WHERE event_type = 'error'")
 def viewers_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which a user viewed without an error."""
-    days = table(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    days = table(spark, sf_dir, "events").select("event_type", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return days.filter("event_type = 'view'").drop("event_type").subtract(days.filter("event_type = 'error'").drop("event_type"))
 
 
