@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 # Memory in GB that one page and each further page at a time take.
 _BASE_GB, _PAGE_GB = 1.0, 0.75
@@ -37,3 +38,50 @@ class Settings:
     drop_blank_pages: bool = True
     metadata_max_chars: int = 24_000
     ocr_chunk_pages: int = 50
+    split: bool = True
+    naming: bool = True
+    upload: bool = False
+    text_source: str = "service"
+
+    @property
+    def single_documents_first(self) -> bool:
+        """Files that someone is waiting for go ahead of stacks."""
+        return not self.split
+
+    @property
+    def asks_a_model(self) -> bool:
+        """Whether files of this input depend on the account of a service, and so on its pause gate."""
+        return self.text_source == "service" if self.upload else self.naming
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str], prefix: str = "") -> Settings:
+        """Settings by the names of their fields in upper case behind prefix; blank ones keep their default, others are checked."""
+        found = {}
+        for field in fields(cls):
+            raw = env.get(f"{prefix}{field.name}".upper().replace("-", "_"), "").strip()
+            if raw:
+                found[field.name] = _parsed(field.name, raw, type(field.default))
+        made = cls(**found)
+        if made.step > made.window:
+            raise ValueError("STEP must not be larger than WINDOW: pages between windows would not be seen")
+        if "{title}" not in made.filename_pattern:
+            raise ValueError("FILENAME_PATTERN must hold {title}")
+        return made
+
+
+#: The least that whole-number settings may be.
+_LEAST = {"window": 2, "step": 1, "ocr_chunk_pages": 1, "metadata_max_chars": 1000}
+
+
+def _parsed(name: str, raw: str, kind: type) -> object:
+    try:
+        if kind is bool:
+            return {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}[raw.lower()]
+        value = kind(raw)
+    except (ValueError, KeyError):
+        raise ValueError(f"{name.upper()} must be a {'yes or no' if kind is bool else 'number'}, got {raw!r}") from None
+    if kind is float and not math.isfinite(value):
+        raise ValueError(f"{name.upper()} must be a finite number, got {raw!r}")
+    if kind in (int, float) and value < _LEAST.get(name, 0):
+        raise ValueError(f"{name.upper()} must be at least {_LEAST.get(name, 0)}, got {raw}")
+    return value

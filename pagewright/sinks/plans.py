@@ -21,6 +21,13 @@ def to_plan(docs: DataFrame, key: str, order: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(F.transform("x", lambda r: r["d"]).alias("documents"))).alias("plan"))
 
 
+def to_decisions(pages: DataFrame, key: str) -> DataFrame:
+    """pages: key, index, starts_new, confidence, reason. The verdicts on a stack's pages, in order, as JSON text; pages count from 1."""
+    row = F.struct((F.col("index") + 1).alias("page"), "starts_new", F.col("confidence").cast("double").alias("confidence"), "reason")
+    rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("index").alias("o"), row.alias("d")))).alias("x"))
+    return rows.select(key, F.to_json(F.transform("x", lambda r: r["d"])).alias("decisions"))
+
+
 def from_plan(plans: DataFrame, key: str, json: str = "plan") -> DataFrame:
     """One row per document of each plan, with number from 1; fields that are missing get their defaults."""
     read = plans.select(key, F.from_json(json, PLAN).alias("p")).select(key, F.posexplode("p.documents").alias("n", "d"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +55,44 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter("_bad is null and id is not null").drop("_bad").orderBy("created_at", "id")
 
 
+def count_candidates(files: DataFrame, root: str, exclude: str | None = None) -> DataFrame:
+    """How many PDF files wait below root, as one row; 0 for a folder that isn't there, whose listing is empty."""
+    return pdf_candidates(files, root, exclude).agg(F.count("*").alias("n"))
+
+
 def leftovers(files: DataFrame, known: DataFrame, root: str, older_than: Column) -> DataFrame:
-    """Folders below root that no known job (id) owns and whose files are all older."""
-    folder = F.split(relative(F.col("path"), root), "/")
-    own = files.select(F.get(folder, 0).alias("id"), "modificationTime").groupBy("id").agg(F.max("modificationTime").alias("newest"))
-    return own.join(known.select("id"), "id", "left_anti").filter(F.col("newest") < older_than)
+    """What a crash left half made right below root, if nothing in it is newer: uploads (".upload-" and what follows), and folders that no known job (id) owns."""
+    parts = F.split(relative(F.col("path"), root), "/")
+    own = files.select(F.get(parts, 0).alias("id"), (F.size(parts) > 1).alias("inside"), "modificationTime").groupBy("id").agg(F.max("modificationTime").alias("newest"), F.bool_or("inside").alias("folder"))
+    half = own.filter("newest IS NOT NULL").filter(F.col("newest") < older_than).filter(F.startswith("id", F.lit(".upload-")) | F.col("folder"))
+    return half.join(known.select("id").filter(~F.startswith("id", F.lit(".upload-"))), "id", "left_anti").select("id", "newest")
+
+
+class Tokens:
+    """A token file on the driver, read again when its size or time changes; while it can't be read, the last good list stands."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.seen, self.known, self.broken = Path(path), None, [], False
+
+    def rows(self) -> list[tuple[str, str]]:
+        """(name, sha256) of each token."""
+        try:
+            state = self.path.stat()
+        except FileNotFoundError:
+            self.seen, self.known, self.broken = None, [], False
+            return []
+        if (now := (state.st_mtime_ns, state.st_size)) != self.seen:
+            self.seen = now
+            try:
+                self.known, self.broken = [(str(t["name"]), str(t["sha256"])) for t in json.loads(self.path.read_text()).get("tokens", [])], False
+            except (OSError, ValueError, KeyError, TypeError, AttributeError):
+                self.broken = True
+        if self.broken and not self.known:
+            raise ValueError(f"{self.path.name} can't be read")
+        return self.known
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows(), "name string, sha256 string")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
