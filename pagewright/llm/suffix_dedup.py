@@ -58,11 +58,11 @@ def digests_of(whole: bytes, start: np.ndarray, end: np.ndarray, size: int = 8)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash of the anchor, digest of the snippet, its text's number, its offset there, its number of windows) of all snippets."""
+    """(hash of the anchor, first byte, number of windows, its text's number) of all snippets."""
     n = int(offsets[-1])
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none
     prefix, (_, down) = prefix_hashes(data[:n]), powers(n + 1)
     keys = mixed((prefix[KEY:] - prefix[:-KEY]) * down[: n - KEY + 1])
     # a hash with its place below: the least is the leftmost of equal hashes
@@ -79,13 +79,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(sizes)), sizes)[:windows]
     starts = np.flatnonzero(np.arange(windows) + LENGTH <= offsets[1:][text])
     if not len(starts):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none
     at = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     count = np.diff(np.append(first, len(at)))
     begin = starts[first]
-    snippet = digests_of(data[:n].tobytes(), begin, begin + count - 1 + LENGTH)[:, 0].view(np.uint64)
-    return keys[at[first]], snippet, text[begin], begin - offsets[:-1][text[begin]], count
+    return keys[at[first]], begin, count, text[begin]
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> key, n: how many snippets of a part of the texts have an anchor."""
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            key, n = np.unique(anchors(*text_buffer(part))[0].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +102,12 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         done = 0
         for part in slices(batch.column(0)):
-            key, snippet, text, begin, count = anchors(*text_buffer(part))
+            data, offsets = text_buffer(part)
+            key, begin, count, text = anchors(data, offsets)
+            snippet = digests_of(data.tobytes(), begin, begin + count - 1 + LENGTH)[:, 0].view(np.uint64)
             own, check = (batch.column(i).slice(done, len(part)).to_numpy()[text] for i in (1, 2))
             done += len(part)
-            at = check << 40 | begin << 8 | count
+            at = check << 40 | (begin - offsets[:-1][text]) << 8 | count
             order = np.argsort(mixed(key + snippet * np.uint64(3) + text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), kind="stable")
             key, snippet, text, own, at = (x[order] for x in (key, snippet, text, own, at))
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (snippet[1:] != snippet[:-1]) | (text[1:] != text[:-1]))[: len(key)])
@@ -253,12 +262,13 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
     times = F.lit(1).cast("long") + F.coalesce(F.size("more"), F.lit(0))
     # no value is null; saying so here keeps joins from adding their own filters, which would make the exchanges differ
     every = every.filter(F.col("key").isNotNull() & F.col("snip").isNotNull() & F.col(_CLASS).isNotNull() & F.col("at").isNotNull())
-    twice = every.groupBy("key").agg(F.sum(times).alias("n")).filter("n > 1").select("key")
+    counted = base.filter(F.octet_length(_TEXT) >= LENGTH).select(_TEXT).mapInArrow(_count_batches, "key long, n long").filter("key IS NOT NULL")
+    twice = counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
     seen = every.join(twice.hint("shuffle_hash"), "key")
     # The least occurrence stands for its snippet: the same one in every use, whatever is computed again. The filter keeps all rows: with it, every use of
     # the snippets reads all columns, so that Spark makes the anchors' exchange once and reuses it.
-    least = F.min(F.struct(_CLASS, "at")).alias("least")
-    snippets = seen.groupBy("key", "snip").agg(F.sum(times).alias("copies"), least).select("key", "snip", "copies", F.col(f"least.{_CLASS}").alias(_CLASS), F.col("least.at").alias("at"))
+    # (Longs, and not a struct of them, so that a hash aggregate holds them.)
+    snippets = seen.groupBy("key", "snip").agg(F.sum(times).alias("copies"), F.min(_CLASS).alias(_CLASS), F.min_by("at", _CLASS).alias("at"))
     snippets = snippets.filter(F.col(_CLASS).isNotNull() & F.col("at").isNotNull() & (F.col("copies") > 0))
     kinds = snippets.groupBy("key").agg(F.count("*").alias("kinds"))
     sorted_out = snippets.join(kinds.hint("shuffle_hash"), "key")
