@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from pagewright.functions.text import WHITE, strip
+from pagewright.functions.text import WHITE, once, strip
 from pagewright.operators.folds import fold
 
 # Limits and names that file systems reserve.
@@ -28,11 +26,6 @@ def nfc(text: Column) -> Column:
     return F.pandas_udf(_composed, StringType())(text)
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value evaluated once however often it is used (and a Python function kept out of inner lambdas)."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def clip(text: Column) -> Column:
     """The longest beginning of at most MAX_STEM characters and MAX_STEM_BYTES bytes."""
 
@@ -40,7 +33,7 @@ def clip(text: Column) -> Column:
         fits = F.filter(F.sequence(F.lit(0), F.lit(MAX_STEM)), lambda i: F.octet_length(F.left(t, i)) <= MAX_STEM_BYTES)
         return F.when(F.octet_length(t) <= MAX_STEM, t).otherwise(F.left(t, F.array_max(fits)))
 
-    return _once(text, longest)
+    return once(text, longest)
 
 
 def sanitize(text: Column, compose: bool = True) -> Column:
@@ -48,7 +41,7 @@ def sanitize(text: Column, compose: bool = True) -> Column:
     clean = F.regexp_replace(nfc(text) if compose else text, r"\p{Cf}", "")
     clean = F.regexp_replace(clean, r'[<>:"/\\|?*\x00-\x1f]', " ")
     clean = F.btrim(F.regexp_replace(clean, rf"[{WHITE}]+", " "), F.lit(" ."))
-    named = _once(clean, lambda t: F.when(F.upper(t).isin(*RESERVED), F.concat(F.lit("_"), t)).otherwise(t))
+    named = once(clean, lambda t: F.when(F.upper(t).isin(*RESERVED), F.concat(F.lit("_"), t)).otherwise(t))
     return F.rtrim(clip(named), F.lit(" ."))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import messages, names, text
 from pagewright.operators import records
 from pagewright.operators.alignment import agreement
-from pagewright.plans.page_queries import LINES
+from pagewright.plans.page_queries import _WS, LINES
 from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.sources.tables import line_pages
@@ -36,6 +36,18 @@ def sanitize_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", names.sanitize(F.expr(_TITLES), compose=False).alias("name"))
 
 
+_LONG = "CASE doc_id % 4 WHEN 0 THEN 'cafe\u0301 ' || left(t, 160) WHEN 1 THEN '\u200d' || left(t, 170) WHEN 2 THEN repeat('\u00e4', 120) || '/' || left(t, 60) ELSE left(t, 190) END"
+_TIDY = rf"trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(x), '\p{{Cf}}', '', 'g'), '[<>:\"/\\|?*\x00-\x1f]', ' ', 'g'), '[{_WS}]+', ' ', 'g'), ' .')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_LONG} AS x FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), c AS (SELECT doc_id, {_TIDY} AS c FROM r)
+SELECT doc_id, rtrim(left(c, list_max(list_filter(range(0, 151), lambda i: octet_length(encode(left(c, i))) <= 200))), ' .') AS name FROM c""")
+def sanitize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names out of any text: composed, without marks of format, cut at a whole character."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return rows.select("doc_id", names.sanitize(F.expr(_LONG)).alias("name"))
+
+
 @query(f"""WITH r AS (SELECT p_partkey, {_TITLES} AS t, CASE WHEN p_partkey % 4 = 0 THEN '2026-09-30' END AS d FROM part),
 s AS (SELECT p_partkey, replace(replace('{{title}} {{date}}', '{{title}}', CASE WHEN trim(t) = '' THEN 'Document' ELSE trim(t) END), '{{date}}', coalesce(d, 'undated')) AS x FROM r)
 SELECT p_partkey, CASE WHEN {_SANE('x')} = '' THEN 'Document' ELSE {_SANE('x')} END AS stem FROM s""")
@@ -326,7 +338,7 @@ def image_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(messages.page_resolution(d, px)).cast("int").alias("dpi"))
 
 
-_HEADS = "CASE p_partkey % 7 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '89504E470D0A1A0A00' WHEN 3 THEN '49492A00' WHEN 4 THEN '4D4D002A' WHEN 5 THEN '524946460000000057454250' ELSE '00' END"
+_HEADS = "CASE p_partkey % 9 WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 0 THEN '255044462D312E37' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '89504E470D0A1A0A00' WHEN 3 THEN '49492A00' WHEN 4 THEN '4D4D002A' WHEN 5 THEN '524946460000000057454250' ELSE '00' END"
 
 
 @query(f"WITH r AS (SELECT p_partkey, {_HEADS} AS h FROM part) SELECT p_partkey, CASE WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'webp' WHEN starts_with(h, '255044462D') THEN 'pdf' WHEN starts_with(h, 'FFD8FF') THEN 'jpg' WHEN starts_with(h, '89504E470D0A1A0A') THEN 'png' WHEN starts_with(h, '49492A00') OR starts_with(h, '4D4D002A') THEN 'tif' END AS kind FROM r")
@@ -334,10 +346,10 @@ def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", messages.sniff(F.unhex(F.expr(_HEADS))).alias("kind"))
 
 
-_PDF = "CASE doc_id % 4 WHEN 0 THEN t || '%%EOF' WHEN 1 THEN '%%EOF' || t ELSE t END"
+_PDF = "CASE doc_id % 6 WHEN 0 THEN t || '%%EOF' WHEN 1 THEN '%%EOF' || t WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN '%%EOF' ELSE t END"
 
 
-@query(f"WITH r AS (SELECT doc_id, {_PDF} AS t FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), h AS (SELECT doc_id, hex(encode(t)) AS h FROM r) SELECT doc_id, contains(right(h, 4096), '2525454F46') AS complete FROM h")
+@query(f"WITH r AS (SELECT doc_id, {_PDF} AS t FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), h AS (SELECT doc_id, hex(encode(t)) AS h FROM r) SELECT doc_id, coalesce(contains(right(h, 4096), '2525454F46'), false) AS complete FROM h")
 def pdf_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.encode(F.expr(_PDF), "UTF-8").alias("content"))
-    return rows.select("doc_id", messages.looks_complete(F.col("content")).alias("complete"))
+    return rows.select("doc_id", F.coalesce(messages.looks_complete(F.col("content")), F.lit(False)).alias("complete"))
