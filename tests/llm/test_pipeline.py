@@ -1,12 +1,18 @@
+import base64
+import hashlib
 import os
+from collections import Counter
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import quality
+from pagewright.llm import mixing, quality
 from pagewright.llm import queries as llm
 from tests.llm.test_jaccard import brute as groups_of
+from tests.llm.test_mixing import poisson, uniform
 from tests.llm.test_quality import brute as counts_of
 from tests.llm.test_suffix_dedup import brute as rest_of
 
@@ -35,10 +41,56 @@ def test_stages_match_brute_force(spark):
             assert after[r.doc_id] == r
         else:
             assert len(after[r.doc_id].text.encode()) <= want[r.doc_id][0] - want[r.doc_id][1] and after[r.doc_id].n_chars == len(after[r.doc_id].text)
-    mixed = stages["mix_sources"](spark, cut, SF)
-    assert mixed.columns == columns and mixed.join(cut, columns, "left_anti").count() == 0
+    mixed = stages["mix_sources"](spark, cut, SF).cache()
+    assert mixed.columns == columns
+    chars = Counter()
+    for r in after.values():
+        chars[r.source if r.source in mixing.WEIGHTS else "*"] += len(r.text)
+    total, shares = sum(chars.values()), sum(mixing.WEIGHTS.values())
+    rate = {x: mixing.WEIGHTS[x] / shares * total / chars[x] for x in chars if chars[x]}
+    want = Counter({r: poisson(rate.get(r.source if r.source in mixing.WEIGHTS else "*", 0.0), uniform(17, r.doc_id)) for r in after.values()})
+    assert Counter(mixed.collect()) == +want
     last = stages["byte_bpe"](spark, mixed, SF)
-    assert last.count() == mixed.count() and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(last.columns)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def digest(r):
+        ids = library.encode_ordinary(r.text)
+        return r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()
+
+    assert Counter(map(tuple, last.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == Counter(digest(r) for r in mixed.collect())
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, copy int, __pw_text string, key string, c0 double"
+
+
+def odd_documents(spark):
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    texts = [None, "", "  ", words, words, words + " end", "é " * 400, words[::-1], "x" * 5000]
+    rows = [(i % 7, t, None if i % 2 else "en", None if i % 3 == 0 else "src0", None, 7, "own", None, 0.5) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, words[::-1], None, None, None, None, None, None, None), (None,) * 9], DOCUMENTS)
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "byte_bpe":
+            assert out.columns == docs.columns, name
+            known = {r[5:] for r in docs.collect()}
+            assert {tuple(r)[5:] for r in out.collect()} <= known, name  # the extra columns keep their values
+        out.count()
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = spark.createDataFrame([], DOCUMENTS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_run_over_odd_documents(spark, tmp_path):
+    odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
 
 
 def test_run_gives_the_last_stage(spark):
