@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import let_workers_import, text_or_empty
+from pagewright.llm.common import give_back, let_workers_import, text_or_empty
 from pagewright.llm.pieces import PieceStore, Ragged, cut, slices, text_buffer
 
 #: Widths of the buckets, in bytes. Longer pieces take the heap.
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
-#: Distinct pieces that a worker remembers at most; then it starts anew. A piece takes about 250 bytes.
-MOST_PIECES = 400_000
+#: Distinct pieces that a worker remembers at most; then it starts anew. A piece takes about 150 bytes.
+MOST_PIECES = 200_000
+#: Pieces whose print is put together at a time.
+_PIECES_AT_A_TIME = 100_000
 _NONE = np.int32(2**31 - 1)
 _ROWS = 1 << 16
 
@@ -182,15 +184,13 @@ class _Known:
         self.store = PieceStore(self.learn, self.forget, MOST_PIECES)
 
     def forget(self) -> None:
-        self.ids = Ragged("<i4")
-        self.printed: list[bytes] = []
-        self.decoded: list[bytes] = []
+        self.ids, self.printed, self.decoded = Ragged("<i4"), Ragged("u1"), Ragged("u1")
 
     def learn(self, pieces: list[bytes]) -> None:
         ids = self.coder.encode_pieces(pieces)
         self.ids.extend(np.array([i for x in ids for i in x]), np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.printed += [",".join(map(str, x)).encode() for x in ids]
-        self.decoded += map(self.coder.decode, ids)
+        for room, made in ((self.printed, ["".join(f"{i}," for i in x).encode() for x in ids]), (self.decoded, [*map(self.coder.decode, ids)])):
+            room.extend(np.frombuffer(b"".join(made), np.uint8), np.fromiter(map(len, made), np.int64, len(made)))
 
 
 _coders: dict[str, ByteBpe] = {}
@@ -213,6 +213,23 @@ def _known(path: str) -> _Known:
 _DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def _hashes(room: Ragged, numbers: np.ndarray, bounds: np.ndarray, behind: int) -> list[str]:
+    """sha256 of what the pieces of each text are, put together, without so many bytes at the end of a text that has pieces."""
+    out, held, text = [], hashlib.sha256(), 0
+    for at in range(0, max(1, len(numbers)), _PIECES_AT_A_TIME):
+        flat, ends = room.take(numbers[at : at + _PIECES_AT_A_TIME])
+        last = at + len(ends) - 1
+        begin = 0
+        while text < len(bounds) - 1 and bounds[text + 1] <= last:
+            end = int(ends[bounds[text + 1] - at])
+            held.update(flat[begin : max(begin, end - (behind if bounds[text + 1] > bounds[text] else 0))])
+            out.append(held.hexdigest())
+            held, text, begin = hashlib.sha256(), text + 1, end
+        if text < len(bounds) - 1:
+            held.update(flat[begin:])
+    return out
+
+
 def _digest_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _known(path)
     for batch in batches:
@@ -221,12 +238,10 @@ def _digest_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             numbers, bounds = known.store.numbers(part)
             before = np.concatenate([[0], np.cumsum(known.ids.counts[numbers])])
             counts += np.diff(before[bounds]).tolist()
-            each, bounds = numbers.tolist(), bounds.tolist()
-            for a, b in zip(bounds, bounds[1:]):
-                own = each[a:b]
-                ids.append(hashlib.sha256(b",".join(map(known.printed.__getitem__, own))).hexdigest())
-                texts.append(hashlib.sha256(b"".join(map(known.decoded.__getitem__, own))).hexdigest())
+            ids += _hashes(known.printed, numbers, bounds, 1)
+            texts += _hashes(known.decoded, numbers, bounds, 0)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t.type) for x, t in zip((counts, ids, texts), _DIGESTS, strict=True))], names=["doc_id", *_DIGESTS.names])
+    give_back()
 
 
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, hidden, let_workers_import, number_of, numbered
+from pagewright.llm.common import cut, give_back, hidden, let_workers_import, number_of, numbered
 from pagewright.llm.pieces import mixed, slices, text_buffer, word_hashes
 from pagewright.llm.tiles import TILE, all_pairs, candidates, link_rows, members
 
@@ -94,6 +94,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             done += len(part)
             sizes = np.minimum(np.diff(offsets), 2**31 - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*named, pa.array(sizes), pa.array(signed, pa.binary())], names=["item", "item2", "doc_id", "size", "values"])
+    give_back()
 
 
 @cache

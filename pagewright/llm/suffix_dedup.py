@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import hidden, let_workers_import, number_of, numbered, shuffle_partitions
+from pagewright.llm.common import give_back, hidden, let_workers_import, number_of, numbered, shuffle_partitions
 from pagewright.llm.lyndon import suffix_arrays
 from pagewright.llm.pieces import mixed, powers, prefix_hashes, range_hashes, slices, text_buffer
 from pagewright.llm.tiles import groups_of
@@ -93,6 +93,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for part in slices(batch.column(0)):
             key, n = np.unique(anchors(*text_buffer(part))[0].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+    give_back()
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +119,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for i in np.flatnonzero(ends - first > 1).tolist():
                 more[i] = at[first[i] + 1 : ends[i]]
             yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (key.view(np.int64), snippet.view(np.int64), own, at)), pa.array(more, pa.list_(pa.int64()))], names=["key", "snip", _CLASS, "at", "more"])
+    give_back()
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +249,7 @@ def _order_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield done(max(sizes, key=sizes.__getitem__))
     for kind in sorted(held):
         yield done(kind)
+    give_back()
 
 
 def _with_class(docs: DataFrame, text_col: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, let_workers_import, shuffle_partitions
+from pagewright.llm.common import cut, give_back, let_workers_import, shuffle_partitions
 from pagewright.llm.components import components
 
 #: (payloads of the rows, the band, rows of the first block, rows of the second; None within one block) -> arrays of linked row numbers. It gives only pairs that
@@ -105,6 +105,7 @@ def _linked(link: Linker, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[p
         left, right = link(tile, band, first, None if low == high else np.flatnonzero(blk == high))
         if len(left):
             yield tile, left, right
+    give_back()
 
 
 def _tiles(link: Linker, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import let_workers_import, shuffle_partitions
+from pagewright.llm.common import give_back, let_workers_import, shuffle_partitions
 from pagewright.llm.pieces import slices, text_buffer
 
 MOST_LABELLED = 20_000
@@ -257,6 +257,8 @@ def _score_batches(table: dict[str, float], weights: list[float], model: np.ndar
         tops = np.array([scorer.top_two(x.as_py()) for x in batch.column(1)]).reshape(-1, 2)
         scores = 1 / (1 + np.exp(-(weights[0] + _logit(tops) @ np.array(weights[1:])))) if weights else np.zeros(len(tops))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+    del scorer
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], list[float]]:

@@ -74,6 +74,17 @@ def test_a_store_is_bounded_by_bytes():
     assert anew
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 7])
+def test_digests_of_any_part_of_pieces(library, monkeypatch, most):
+    monkeypatch.setattr(bpe, "_PIECES_AT_A_TIME", most)
+    texts = ["", "one two three four", "", "", "five", "six seven", "eight nine ten eleven twelve", ""]
+    rows = next(bpe._digest_batches(PATH, iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})]))).to_pylist()
+    for row, text in zip(rows, texts, strict=True):
+        ids = library.encode_ordinary(text)
+        assert tuple(row.values())[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert next(bpe._digest_batches(PATH, iter([pa.RecordBatch.from_pydict({"doc_id": [], "text": pa.array([], pa.string())})]))).num_rows == 0
+
+
 def test_very_long_texts(library):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdeföß ") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
