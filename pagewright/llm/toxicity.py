@@ -175,6 +175,8 @@ class Scorer:
     def __init__(self, table: dict[str, float], model: np.ndarray, most: int = 1_000_000, most_chars: int = 32 << 20) -> None:
         self.table, self.model, self.most, self.most_chars, self.known, self.chars = table, model, most, most_chars, {}, 0
         self.longest = max(map(len, table), default=0)
+        #: How words that the table may know begin.
+        self.heads = {x[: BEGINNINGS[0]] for feature in table for x in (feature, feature.removesuffix("~"))}
 
     def token(self, token: str) -> tuple[float, str]:
         got = self.known.get(token)
@@ -184,7 +186,8 @@ class Scorer:
                 self.known.clear()
                 self.chars = len(token)
             table, words = self.table, readings(token, self.model)
-            score = max((table.get(x, 0.0) for x in features(words)), default=0.0)
+            words = [w for w in words if w[: BEGINNINGS[0]] in self.heads]
+            score = max((table.get(x, 0.0) for x in features(words)), default=0.0) if words else 0.0
             got = self.known[token] = (score, words[-1]) if score else _NOTHING
         return got
 
