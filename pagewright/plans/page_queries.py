@@ -174,8 +174,9 @@ def _review_sql(segs: str, pages: str) -> str:
 
 @query(f"WITH {SEGMENTS} {_review_sql('segs', 'lines')}")
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _marked_lines(spark, sf_dir)
-    return seg.with_first_page(seg.segments(pages), pages).select("stack_id", "seg", seg.review_reason().alias("review_reason"))
+    segs = seg.segments(_marked_lines(spark, sf_dir), head=F.min(F.struct("index", "header", "markdown", "footer")))
+    opened = segs.withColumns({f"first_{c}": F.col(f"head.{c}") for c in ("header", "markdown", "footer")})
+    return opened.select("stack_id", "seg", seg.review_reason().alias("review_reason"))
 
 
 @query(f"WITH {LINES}, b AS (SELECT * FROM lines WHERE NOT {_blank()}) SELECT stack_id, pages FROM {_pages_sql('b', 'stack_id', 'index', 'pages')}")
