@@ -102,12 +102,14 @@ def _shown(content: bytes) -> str:
     return re.sub(r"\n{2,}", "\n", "".join(out)).strip("\n")
 
 
-def read(data: bytes) -> Pdf:
-    """A file's pages in order. What isn't a PDF has none; a page whose content can't be read has an empty text."""
-    objects = _objects(data or b"")
-    root = next((b for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), b"")
+def _root(objects: dict[int, bytes]) -> bytes:
+    return next((b for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), b"")
+
+
+def _page_numbers(objects: dict[int, bytes]) -> list[int]:
+    """The objects that are pages, in order."""
     pages: list[int] = []
-    stack, seen = _references(root, b"/Pages"), set()
+    stack, seen = _references(_root(objects), b"/Pages"), set()
     while stack:
         number = stack.pop(0)
         body = objects.get(number, b"")
@@ -118,7 +120,14 @@ def read(data: bytes) -> Pdf:
             stack = _references(body, b"/Kids") + stack
         else:
             pages.append(number)
-    texts = ["\n".join(filter(None, (_shown(_inflated(objects.get(n, b""))) for n in _references(objects[p], b"/Contents")))) for p in pages]
+    return pages
+
+
+def read(data: bytes) -> Pdf:
+    """A file's pages in order. What isn't a PDF has none; a page whose content can't be read has an empty text."""
+    objects = _objects(data or b"")
+    root = _root(objects)
+    texts = ["\n".join(filter(None, (_shown(_inflated(objects.get(n, b""))) for n in _references(objects[p], b"/Contents")))) for p in _page_numbers(objects)]
     marked = re.search(rb"/Marked\s+true\b", root + b" ".join(objects.get(n, b"") for n in _references(root, b"/MarkInfo")))
     return Pdf(texts, bool(marked) or b"/StructTreeRoot" in root)
 
@@ -145,3 +154,72 @@ def summaries(files: DataFrame, reader: Callable[[bytes], Pdf] = read) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.pages for x in found], pa.int32()), pa.array([x.tagged for x in found], pa.bool_())], names=["path", "page_count", "tagged"])
 
     return files.select("path", "content").mapInArrow(rows, "path string, page_count int, tagged boolean")
+
+
+_INHERITED = (b"/Resources", b"/MediaBox", b"/CropBox", b"/Rotate")
+
+
+def _value(body: bytes, name: bytes) -> bytes:
+    """The value of an entry of a dictionary as it stands there; empty if there is none."""
+    found = re.search(re.escape(name) + rb"(?![A-Za-z])\s*", body)
+    if not found:
+        return b""
+    at, depth = found.end(), 0
+    if body[at : at + 2] != b"<<" and body[at : at + 1] != b"[":
+        simple = re.compile(rb"\d+\s+\d+\s+R|[^\s/<>\[\]]+|/[^\s/<>\[\]]+").match(body, at)
+        return simple.group() if simple else b""
+    for m in re.compile(rb"<<|>>|\[|\]").finditer(body, at):
+        depth += 1 if m.group() in (b"<<", b"[") else -1
+        if not depth:
+            return body[at : m.end()]
+    return b""
+
+
+def _text(value: str) -> bytes:
+    return b"<" + ("\ufeff" + value).encode("utf-16-be").hex().upper().encode() + b">"
+
+
+def select(data: bytes, indices: list[int], title: str = "", subject: str = "") -> bytes:
+    """A file of some pages of another, in the order given, each as often as it is named; raises IndexError for a page that isn't there."""
+    objects = _objects(data or b"")
+    pages = _page_numbers(objects)
+    if any(not 0 <= i < len(pages) for i in indices):
+        raise IndexError("no such page")
+    wanted = [pages[i] for i in indices]
+    tree, root, info = (max(objects, default=0) + k for k in (1, 2, 3))
+    out: dict[int, bytes] = {}
+    kids, free = [], info + 1
+    for number in wanted:
+        body, above, held = objects[number], objects.get(_parent(objects[number]), b""), b""
+        for name in _INHERITED:
+            node, seen = above, 0
+            while node and not _value(body, name) and seen < 50:
+                if value := _value(node, name):
+                    held += name + b" " + value + b" "
+                    break
+                node, seen = objects.get(_parent(node), b""), seen + 1
+        alone = re.sub(rb"/Parent\s+\d+\s+\d+\s+R", b"", body)
+        own, free = (number, free) if number not in out else (free, free + 1)
+        out[own] = alone.replace(b"<<", b"<< /Parent %d 0 R " % tree + held, 1)
+        kids.append(own)
+    todo = [int(m.group(1)) for n in kids for m in _REFERENCE.finditer(out[n])]
+    while todo:  # what the pages refer to; other pages stay behind
+        number = todo.pop()
+        if number in objects and number not in out and number not in pages:
+            out[number] = objects[number]
+            todo += [int(m.group(1)) for m in _REFERENCE.finditer(_STREAM.sub(b"", objects[number]))]
+    out[tree] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % n for n in kids))
+    out[root] = b"<< /Type /Catalog /Pages %d 0 R >>" % tree
+    out[info] = b"<< /Title " + _text(title) + b" /Subject " + _text(subject) + b" >>"
+    made, places = bytearray(b"%PDF-1.7\n"), {}
+    for number, body in sorted(out.items()):
+        places[number] = len(made)
+        made += b"%d 0 obj\n" % number + body.strip(b"\r\n ") + b"\nendobj\n"
+    start = len(made)
+    made += b"xref\n0 1\n0000000000 65535 f \n" + b"".join(b"%d 1\n%010d 00000 n \n" % x for x in sorted(places.items()))
+    return bytes(made + b"trailer\n<< /Size %d /Root %d 0 R /Info %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (max(out) + 1, root, info, start))
+
+
+def _parent(body: bytes) -> int:
+    found = _references(body, b"/Parent")
+    return found[0] if found else 0

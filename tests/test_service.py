@@ -1,5 +1,6 @@
 """Sources, hooks and sinks around services, without any service."""
 
+import hashlib
 import json
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pagewright import backends
 from pagewright.config import Settings
 from pagewright.operators import layout, service
-from pagewright.sinks import delivery
+from pagewright.sinks import delivery, documents, plans
 from pagewright.sources import files, pdf, raster
 from pagewright.streaming import watch
 
@@ -56,6 +57,39 @@ def test_pdf_pages_texts_and_tags(spark, tmp_path):
     assert pdf.read(hexed).texts == ["Al bc"]
 
 
+def test_pages_cut_out_of_a_pdf():
+    texts = [f"page {i}\nof a stack" for i in range(5)]
+    for packed in (False, True):
+        stack = make_pdf(texts, packed=packed).replace(b"/Type /Pages /Kids", b"/MediaBox [0 0 9 9] /Resources << /Font << /F1 << /Type /Font >> >> >> /Type /Pages /Kids")
+        made = pdf.select(stack, [3, 0, 3], "T\xeftle", "S")
+        assert pdf.read(made).texts == [texts[3], texts[0], texts[3]]
+        assert b"page 1" not in made and made.endswith(b"%%EOF\n") and "T\xeftle".encode("utf-16-be").hex().upper().encode() in made
+        assert packed or made.count(b"/MediaBox [0 0 9 9]") == 3
+        start = int(made.split(b"startxref\n")[1].split()[0])
+        assert made[start : start + 4] == b"xref"
+        assert pdf.read(pdf.select(made, [1])).texts == [texts[0]]
+    for bad in ([5], [-1]):
+        with pytest.raises(IndexError):
+            pdf.select(stack, bad)
+
+
+def test_documents_are_cut_and_written(spark, tmp_path):
+    texts = ["alpha", "beta", "", "gamma"]
+    docs = spark.createDataFrame([("f/x", "Report", 1, "1-2"), ("f/x", "Report", 2, "4"), ("g", "Report", 1, "2, 1")], "folder string, stem string, number int, pages string")
+    sources = spark.createDataFrame([("f/x", make_pdf(texts)), ("g", make_pdf(texts[:2], packed=True))], "folder string, content binary")
+    pages = plans.pages_to_write(docs, F.lit(4))
+    titles = pages.select("folder", "name").distinct().withColumns({"title": F.lit("T"), "subject": F.lit(None).cast("string")})
+    cut = documents.cut_documents(pages, titles, sources)
+    for _ in range(2):  # a second run leaves the same files
+        written = {(r.folder, r["name"]): r.sha256 for r in documents.write_documents(cut, str(tmp_path)).collect()}
+    assert set(written) == {("f/x", "Report.pdf"), ("f/x", "Report (2).pdf"), ("g", "Report.pdf")}
+    got = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert {k: pdf.read(v).texts for k, v in got.items()} == {"f/x/Report.pdf": ["alpha", "beta"], "f/x/Report (2).pdf": ["gamma"], "g/Report.pdf": ["beta", "alpha"]}
+    assert all(hashlib.sha256(got["/".join(k)]).hexdigest() == v for k, v in written.items())
+    with pytest.raises(Exception, match="outside"):
+        documents.write_documents(cut.withColumn("folder", F.lit("../..")), str(tmp_path)).collect()
+
+
 def plain_median(image):
     height, width = image.shape
     at = lambda y, x: image[min(max(y, 0), height - 1), min(max(x, 0), width - 1)]
