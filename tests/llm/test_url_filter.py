@@ -8,7 +8,7 @@ from pagewright.llm import url_filter
 
 URLS = [
     "https://www.Example.com/en/1?x=/en/", "http://a.example.com/en/", "http://example.com/en", "http://EXAMPLE.com/de/2#t", "https://x.net/es/5", "https://net/es/5", "https://x.net/fr/", "https://x.net/en/fr/", "https://notexample.com/en/1",
-    "ftp://com", "https://shop.com?x", "mailto:x", "", None, "http://www.casino-jackpot.org/free-bonus/win", "http://library.org/articles/page", "://h/p", "http://ÄB.com/x", "https://a.b://c/d", "http://evilnet/es/1", "http://x.org\n/y", "https://user@x.com:80/en/",
+    "ftp://com", "https://shop.com?x", "mailto:x", "", None, "http://www.casino-jackpot.org/free-bonus/win", "http://library.org/articles/page", "://h/p", "http://ÄB.com/x", "https://a.b://c/d", "http://evilnet/es/1", "http://x.org\n/y", "https://user@x.com:80/en/", "https://" + "ab." * 2000 + "net/fr/" + "x/" * 3000, "q" * 9000,
 ]
 
 
