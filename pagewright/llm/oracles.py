@@ -44,3 +44,44 @@ f AS (SELECT rid, rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY le
       FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f ON p.rid = f.rid AND f.n = 1
 """
+
+#: Counts every window of 200 bytes, as hexadecimal digits, under its md5.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, length(h) // 2 - 199)) AS u(i)),
+m AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS begins FROM m),
+e AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(begins) OVER (PARTITION BY rid ORDER BY i) AS island FROM s) GROUP BY rid, island),
+g AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM e),
+k AS (SELECT rid, d.doc_id, any_value(h) AS h, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM g JOIN d USING (rid) GROUP BY rid, d.doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN d.h ELSE kept || substr(d.h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN k ON k.rid = d.rid
+"""
+
+#: Every pair that shares a shingle, by its exact similarity.
+NGRAM_JACCARD = r"""
+WITH RECURSIVE x AS (SELECT coalesce(text, '') AS t, count(*) AS copies, min(doc_id) AS least, row_number() OVER () AS i FROM documents GROUP BY 1),
+w AS (SELECT i, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws FROM x),
+s AS (SELECT DISTINCT i, array_to_string(ws[k : k + 4], ' ') AS g FROM w, unnest(range(1, CASE WHEN len(ws) >= 5 THEN len(ws) - 3 WHEN len(ws) > 0 THEN 2 ELSE 1 END)) AS u(k)),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+p AS (SELECT a.i AS a, b.i AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.i < b.i GROUP BY a.i, b.i),
+o AS (SELECT a, b FROM p JOIN n x ON x.i = p.a JOIN n y ON y.i = p.b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+c AS (SELECT i, i AS root FROM n UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.i),
+m AS (SELECT c.i, min(x.least) AS group_id FROM c JOIN x ON x.i = c.root GROUP BY c.i),
+k AS (SELECT l.a AS i, sum(x.copies) AS links FROM l JOIN x ON x.i = l.b GROUP BY l.a),
+f AS (SELECT x.t, m.i IS NOT NULL AS worded, group_id, coalesce(links, 0) + copies - 1 AS links FROM x LEFT JOIN m USING (i) LEFT JOIN k USING (i))
+SELECT doc_id, CASE WHEN worded THEN links ELSE 0 END::BIGINT AS n_links, CASE WHEN worded THEN group_id ELSE doc_id END AS group_id, (CASE WHEN worded THEN group_id ELSE doc_id END) IS NOT DISTINCT FROM doc_id AS kept
+FROM documents JOIN f ON f.t = coalesce(text, '')
+"""
+
+#: Every pair of one label by its cosine.
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT i, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.i AS a, b.i AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.i <> b.i WHERE list_dot_product(a.e, b.e) >= 0.98 * a.n * b.n),
+c AS (SELECT i, i AS root FROM v UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.i),
+m AS (SELECT c.i, min(v.vec_id) AS component_id FROM c JOIN v ON v.i = c.root GROUP BY c.i),
+k AS (SELECT a AS i, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m USING (i) LEFT JOIN k USING (i)
+"""

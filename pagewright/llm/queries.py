@@ -55,4 +55,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": oracles.MIX_SOURCES, "op2_quality_rules": oracles.QUALITY_RULES}
+    return {
+        "op1_mix_sources": oracles.MIX_SOURCES,
+        "op2_quality_rules": oracles.QUALITY_RULES,
+        "op3_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+        "op9_embedding_dedup": oracles.EMBEDDING_DEDUP,
+    }
