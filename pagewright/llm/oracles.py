@@ -48,7 +48,8 @@ SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f ON p.rid = f.rid AN
 #: Counts every window of 200 bytes, as hexadecimal digits, under its md5.
 SUFFIX_DEDUP = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, length(h) // 2 - 199)) AS u(i)),
+x AS (SELECT rid, list_transform(range(0, length(h) // 2 - 199), lambda i: md5_number(substr(h, 2 * i + 1, 400))) AS ks FROM d),
+w AS (SELECT rid, unnest(ks) AS k, unnest(range(0, len(ks))) AS i FROM x),
 m AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
 s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS begins FROM m),
 e AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(begins) OVER (PARTITION BY rid ORDER BY i) AS island FROM s) GROUP BY rid, island),
