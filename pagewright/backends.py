@@ -17,6 +17,7 @@ from pagewright.functions.text import strip
 from pagewright.operators.records import chunk_starts
 from pagewright.operators.service import answered, request_key
 from pagewright.sources.recognition import decode_chunks
+from pagewright.workers import let_workers_import
 
 #: (system prompt, what the user says, schema, name of the request) -> an object that JSON can hold
 Chat = Callable[[str, str, str, str], dict]
@@ -35,6 +36,7 @@ def chat(requests: DataFrame, cache: DataFrame, model: str, ask: Chat) -> tuple[
 
         return missing.select("key", "system", "user", "schema", "name").mapInArrow(run, "key string, answer string")
 
+    let_workers_import(requests.sparkSession)
     keyed = requests.withColumn("key", request_key(F.lit(model), *(F.col(c) for c in ("name", "system", "user", "schema"))))
     return answered(keyed, cache, call)
 
@@ -44,6 +46,7 @@ def recognise(files: DataFrame, stacks: DataFrame, cached: DataFrame, size: int,
 
     (pages, what is new in the cache). Chunks come from the cache, then from the batch, and only the rest is read directly. A chunk with another number of pages than it should have
     gives no pages but a row with a problem."""
+    let_workers_import(stacks.sparkSession)
     starts = chunk_starts(stacks, size)
     known = cached.select("stack_id", "start", "answer")
     if batched is not None:

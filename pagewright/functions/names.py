@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from pagewright.functions.text import WHITE, once, strip
 from pagewright.operators.folds import fold
+from pagewright.workers import let_workers_import
 
 # Limits and names that file systems reserve.
 MAX_STEM = 150
@@ -23,6 +24,7 @@ def _composed(text: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no function for it."""
+    let_workers_import()
     return F.pandas_udf(_composed, StringType())(text)
 
 

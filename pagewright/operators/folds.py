@@ -11,6 +11,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pagewright.workers import let_workers_import
+
 #: (state, values of the row) -> (state after, results)
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -23,6 +25,7 @@ def _alike(a: tuple, b: tuple) -> bool:
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], values: list[str], start: Any, step: Step, results: Mapping[str, str]) -> DataFrame:
     """Adds columns with step's results, by name and type; the state begins anew with each key."""
+    let_workers_import(rows.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{n}` {t}" for n, t in results.items())])
     places = [[rows.columns.index(c) for c in some] for some in (keys, values)]
     names, kinds = list(results), [_KINDS[t] for t in results.values()]

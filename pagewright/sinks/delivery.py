@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.workers import let_workers_import
+
 #: Fixed value: seconds between the attempts at a callback.
 CALLBACK_DELAYS = (2.0, 5.0)
 #: (url, body) -> status of the answer; raises OSError if there is none
@@ -37,6 +39,7 @@ def deliver(rows: DataFrame, post: Post, delays: Sequence[float] = CALLBACK_DELA
                 reasons.append(reason)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(1).type), pa.array(sent, pa.bool_()), pa.array(attempts, pa.int32()), pa.array(reasons, pa.string())], names=["id", "sent", "attempts", "reason"])
 
+    let_workers_import(rows.sparkSession)
     return rows.select("url", "id", "body").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sent boolean, attempts int, reason string")
 
 

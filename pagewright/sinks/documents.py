@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.sources import pdf
+from pagewright.workers import let_workers_import
 
 #: (content of the stack, indices of pages, title, subject) -> content of the document
 Cut = Callable[[bytes, list[int], str, str], bytes]
@@ -36,6 +37,7 @@ def cut_documents(pages: DataFrame, titles: DataFrame, sources: DataFrame, cut:
             made = [cut(content, own, title or "", subject or "") for own, title, subject, content in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in made])], names=["folder", "name", "content", "sha256"])
 
+    let_workers_import(pages.sparkSession)
     return wanted.select("folder", "name", "indices", "title", "subject", "content").mapInArrow(run, "folder string, name string, content binary, sha256 string")
 
 
@@ -52,4 +54,5 @@ def write_documents(documents: DataFrame, root: str) -> DataFrame:
                 write_whole(path, content)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3)], names=["folder", "name", "sha256"])
 
+    let_workers_import(documents.sparkSession)
     return documents.select("folder", "name", "content", "sha256").mapInArrow(run, "folder string, name string, sha256 string")

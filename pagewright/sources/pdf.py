@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pagewright.workers import let_workers_import
+
 _OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R")
@@ -142,6 +144,7 @@ def page_rows(files: DataFrame, reader: Callable[[bytes], Pdf] = read) -> DataFr
                 n = found.pages
                 yield pa.RecordBatch.from_pydict({"path": [path] * n, "index": pa.array(range(n), pa.int32()), "text": pa.array(found.texts, pa.string()), "page_count": pa.array([n] * n, pa.int32()), "tagged": [found.tagged] * n})
 
+    let_workers_import(files.sparkSession)
     return files.select("path", "content").mapInArrow(rows, "path string, index int, text string, page_count int, tagged boolean")
 
 
@@ -153,6 +156,7 @@ def summaries(files: DataFrame, reader: Callable[[bytes], Pdf] = read) -> DataFr
             found = [reader(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.pages for x in found], pa.int32()), pa.array([x.tagged for x in found], pa.bool_())], names=["path", "page_count", "tagged"])
 
+    let_workers_import(files.sparkSession)
     return files.select("path", "content").mapInArrow(rows, "path string, page_count int, tagged boolean")
 
 

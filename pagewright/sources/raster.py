@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.workers import let_workers_import
+
 #: Fixed value: the share of each side that scanner edges darken, one part in so many.
 _MARGIN = 20
 
@@ -49,5 +51,6 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def histograms(rasters: DataFrame, key: str) -> DataFrame:
     """rasters: key, content (8-bit grey, row by row), width, height. (key, value, n), as ``layout.ink_coverage`` takes it; what holds too few bytes has none."""
+    let_workers_import(rasters.sparkSession)
     rows = rasters.select(key, "content", "width", "height")
     return rows.mapInArrow(_batches, f"`{key}` {rows.schema[key].dataType.simpleString()}, value int, n long")

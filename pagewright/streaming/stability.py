@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.operators.folds import fold
+from pagewright.workers import let_workers_import
 
 #: Fixed value: seconds after which an empty or incomplete file is let through, to fail.
 GRACE = 600
@@ -65,5 +66,6 @@ def readiness_stream(observations: DataFrame, stable: float, forget_after_ms: in
             state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame({"path": key[0], "at": [x[0] for x in found], "ready": [x[1] for x in found], "waiting_long": [x[2] for x in found]})
 
+    let_workers_import(observations.sparkSession)
     timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
     return observations.groupBy("path").applyInPandasWithState(each, OUTPUT, STATE, "append", timeout)
