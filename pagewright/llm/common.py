@@ -1,20 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, worker imports, and frame helpers."""
+"""What the operators of this subpackage share: the shared folder, workers' imports and memory, and frame helpers."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from pagewright.workers import let_workers_import
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,32 +63,6 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-_shipped: set[str] = set()
-
-
-def let_workers_import(spark: SparkSession) -> None:
-    """Python workers find this package: in local mode at the driver's path, on a cluster in an archive that goes to all executors by way of the shared folder."""
-    context = spark.sparkContext
-    if context.master == "local" or context.master.startswith("local["):
-        paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
-        if _PACKAGE_ROOT not in paths:
-            context.environment["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])
-    elif context.applicationId not in _shipped:
-        package = os.path.join(_PACKAGE_ROOT, __name__.partition(".")[0])
-        room = io.BytesIO()
-        with zipfile.ZipFile(room, "w", zipfile.ZIP_DEFLATED) as archive:
-            for folder, _, files in os.walk(package):
-                for file in sorted(x for x in files if x.endswith(".py")):
-                    archive.write(os.path.join(folder, file), os.path.relpath(os.path.join(folder, file), _PACKAGE_ROOT))
-        path = f"{scratch_path(spark, 'package')}.zip"
-        out = _file_system(spark, path).create(spark._jvm.org.apache.hadoop.fs.Path(path))
-        out.write(bytearray(room.getvalue()))
-        out.close()
-        remove_at_exit(spark, path)
-        context.addPyFile(path)
-        _shipped.add(context.applicationId)
-
-
 def give_back() -> None:
     """At the end of a task, hands free memory of a Python worker back to the system: Spark keeps workers for later tasks, and what they held would count on."""
     pa.default_memory_pool().release_unused()

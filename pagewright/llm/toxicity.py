@@ -18,7 +18,6 @@ labels. A null id is not held out. Without labels of both kinds every score is 0
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
