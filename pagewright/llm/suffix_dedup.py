@@ -44,8 +44,9 @@ MOST_SNIPPETS = 64
 #: About the root of the windows of a usual snippet: with parts of this many windows, and single windows of the parts that stay
 #: large, a hot anchor gives the fewest rows.
 CLASS_WINDOWS = 8
-#: Bytes of snippets whose suffix arrays are made side by side.
-_SIDE_BY_SIDE = 3_000_000
+#: Bytes of snippets whose suffix arrays are made side by side, and of texts whose anchors are: a byte takes about 100 in a worker.
+_SIDE_BY_SIDE = 1_200_000
+_TEXTS_AT_A_TIME = 1 << 19
 _CLASS, _CHECK, _TEXT, _MARKS, _REP = (hidden(x) for x in ("class", "check", "text", "marks", "rep"))
 #: A document's check bits, an offset and a number of windows in one long: 23, 32 and 8 bits.
 _CHECK_BITS = (1 << 23) - 1
@@ -90,7 +91,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text -> key, n: how many snippets of a part of the texts have an anchor."""
     for batch in batches:
-        for part in slices(batch.column(0)):
+        for part in slices(batch.column(0), _TEXTS_AT_A_TIME):
             key, n = np.unique(anchors(*text_buffer(part))[0].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
     give_back()
@@ -102,7 +103,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     A snippet that a text repeats (a line or word over and over) is one row: where it stands first, and where else."""
     for batch in batches:
         done = 0
-        for part in slices(batch.column(0)):
+        for part in slices(batch.column(0), _TEXTS_AT_A_TIME):
             data, offsets = text_buffer(part)
             key, begin, count, text = anchors(data, offsets)
             snippet = digests_of(data.tobytes(), begin, begin + count - 1 + LENGTH)[:, 0].view(np.uint64)
