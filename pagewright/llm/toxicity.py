@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import give_back, let_workers_import, shuffle_partitions
+from pagewright.llm.common import give_back, let_workers_import
 from pagewright.llm.pieces import slices, text_buffer
 
 MOST_LABELLED = 20_000
@@ -269,14 +269,18 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MOST_LABELLED)
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # the sample has MOST_LABELLED rows of two numbers at most
-    joined = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"]).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
-    # ids may repeat in docs: the sample's bound holds for texts, too
-    known = joined.orderBy(F.xxhash64("text"), "text", "toxic").limit(MOST_LABELLED).repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("text")).persist()
+    joined = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"]).select("text", "toxic", F.xxhash64("text").alias("hash"))
+    drawn = joined.withColumn("half", F.pmod("hash", F.lit(2)).cast("int")).persist()
     try:
+        known = drawn
+        if drawn.count() > MOST_LABELLED:  # ids may repeat in docs: the sample's bound holds for texts, too
+            last = drawn.select("hash").orderBy("hash").limit(MOST_LABELLED).agg(F.max("hash")).first()[0]
+            known = drawn.filter(F.col("hash") <= last)
         n, positive = known.agg(F.count("*"), F.sum("toxic")).first()
         if not n or positive in (0, n):
             return {}, []
         prior = positive / n
+        known = known.select("text", "toxic", "half")
         each = known.mapInArrow(lambda batches: _feature_batches(model, batches), "feature string, toxic int, half int")
         sums = [F.sum(F.when(F.col("half") == h, v).otherwise(0)).alias(f"{k}{h}") for h in (0, 1) for k, v in (("t", F.col("toxic")), ("n", F.lit(1)))]
         summed = each.groupBy("feature").agg(*sums)
@@ -299,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
 
         pairs = np.array(known.mapInArrow(tops, "a double, b double, toxic int").collect(), float)  # a row for each labelled text of the sample
     finally:
-        known.unpersist()
+        drawn.unpersist()
     weights = fit_logistic(_logit(pairs[:, :2]), pairs[:, 2])
     return tables[2], weights.tolist()
 
