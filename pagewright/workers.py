@@ -1,4 +1,5 @@
-"""Python workers find this package: in local mode at the driver's path, on a cluster in an archive that goes to all executors by way of the shared folder."""
+"""Python workers find this package: in local mode at the driver's path, on a cluster in an archive that goes to all executors by way of the shared folder.
+And what they get at a time is bounded by bytes, unless the session says otherwise: ten thousand rows, Spark's own bound, are as large as their texts."""
 
 from __future__ import annotations
 
@@ -11,6 +12,9 @@ from pyspark.sql import SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def let_workers_import(spark: SparkSession | None = None) -> None:
@@ -19,6 +23,8 @@ def let_workers_import(spark: SparkSession | None = None) -> None:
     if session is None:
         return
     context = session.sparkContext
+    if _BATCH not in session.conf.getAll:
+        session.conf.set(_BATCH, str(BATCH_BYTES))
     if context.master == "local" or context.master.startswith("local["):
         paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
         if _ROOT not in paths:
