@@ -73,18 +73,18 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), NON_LETTERS, "")
 
 
-# Markup that is taken off, in this order, with what is left of it; and a sign without which the pattern can't match, where there is one.
+# Markup that is taken off, in this order, with what is left of it.
+_EMPHASIS = r"[*_`~]+"
 MARKUP = (
-    (IMAGE_REF, "", "!["),
-    (r"\[([^\]]*)\]\([^)]*\)", "$1", "]("),
-    (rf"(?m)^[{WHITE}]{{0,3}}#{{1,6}}[{WHITE}]*", "", "#"),
-    (rf"(?m)^[{WHITE}]*>[{WHITE}]?", "", ">"),
-    (rf"(?m)^[{WHITE}]*(?:[-*+]|\d+[.)])[{WHITE}]+", "", None),
-    (r"\$+([^$]*)\$+", "$1", "$"),
-    (r"[*_`~]+", "", None),
-    (r"<[^>\n]+>", "", "<"),
+    (IMAGE_REF, ""),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (rf"(?m)^[{WHITE}]{{0,3}}#{{1,6}}[{WHITE}]*", ""),
+    (rf"(?m)^[{WHITE}]*>[{WHITE}]?", ""),
+    (rf"(?m)^[{WHITE}]*(?:[-*+]|\d+[.)])[{WHITE}]+", ""),
+    (r"\$+([^$]*)\$+", "$1"),
+    (_EMPHASIS, ""),
+    (r"<[^>\n]+>", ""),
 )
-_WHITE_SIGNS = "".join(c for c in _EDGES if c != " ")
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -92,25 +92,11 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-def _without(text: Column, pattern: str, rest: str, sign: str | None) -> Column:
-    if pattern == r"[*_`~]+":
-        return F.translate(text, "*_`~", "")
-    if sign is None:
-        return F.regexp_replace(text, pattern, rest)
-    return once(text, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, rest)).otherwise(t))
-
-
-def _tidy(line: Column) -> Column:
-    """White space collapsed; most lines have single spaces only."""
-    own = F.translate(line, "|", " ")
-    odd = F.contains(own, F.lit("  ")) | (F.length(F.translate(own, _WHITE_SIGNS, "")) != F.length(own))
-    return strip(F.when(odd, F.regexp_replace(own, rf"[{WHITE}]+", " ")).otherwise(own))
-
-
 def plain_lines(markdown: Column) -> Column:
     """The lines without markup that aren't empty, white space collapsed."""
     text = markdown
-    for pattern, rest, sign in MARKUP:
-        text = _without(text, pattern, rest, sign)
+    for pattern, rest in MARKUP:  # single signs need no pattern
+        text = F.translate(text, "*_`~", "") if pattern == _EMPHASIS else F.regexp_replace(text, pattern, rest)
     lines = F.split(text, r"\r\n|[\n\r\x0b\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]")
-    return F.filter(F.transform(lines, _tidy), lambda x: x != "")
+    tidy = F.transform(lines, lambda x: strip(F.regexp_replace(F.translate(x, "|", " "), rf"[{WHITE}]+", " ")))
+    return F.filter(tidy, lambda x: x != "")
