@@ -86,3 +86,58 @@ m AS (SELECT c.i, min(v.vec_id) AS component_id FROM c JOIN v ON v.i = c.root GR
 k AS (SELECT a AS i, count(*) AS links FROM l GROUP BY a)
 SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m USING (i) LEFT JOIN k USING (i)
 """
+
+#: Differences of shares in whole numbers (HUGEINT where counts are scaled).
+SOURCE_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+x AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY ALL),
+v AS (SELECT lang, term FROM x GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+t AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS terms, sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_total FROM f),
+p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (total + 5 * terms)::HUGEINT)::BIGINT AS p, (1 + (1000000000::HUGEINT * (lang_n + 5)::HUGEINT) // (lang_total + 5 * terms)::HUGEINT)::BIGINT AS q FROM t),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g JOIN g o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = o.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM e)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+#: The crc32 bit by bit, costs to go by a recursion from the last turn, and the walk by one from the first.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE o AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+z AS (SELECT k, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda b: ((ascii(substr(k, i, 1)) >> b::INTEGER) & 1)::BIGINT)))),
+      lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc FROM (SELECT DISTINCT k FROM o)),
+d AS (SELECT o.*, xor(crc, 4294967295) % 20 AS draw FROM o JOIN z USING (k)),
+e AS (SELECT g, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM d, unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY g) AS n FROM e),
+f AS (SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM n),
+t AS (SELECT *, coalesce(fault, '') IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM f),
+b AS (SELECT DISTINCT g, n AS i, 0::BIGINT AS c0, 6::BIGINT AS c1, 3::BIGINT AS c2, 0::BIGINT AS c3 FROM n
+      UNION ALL SELECT g, i, least(b0, 3 + b2, 6 + b3), least(b1, 3 + b2, 6 + b3), least(b2, 3 + b3), least(b3, 3 + b2) FROM (
+        SELECT b.g, b.i - 1 AS i,
+          CASE WHEN goes THEN 4 + c0 ELSE least(4 + c0, 3 + more + c2, CASE r WHEN 's' THEN more + c1 WHEN 'u' THEN more + c2 END) END AS b0,
+          CASE WHEN goes THEN 4 + c1 ELSE least(4 + c1, 3 + more + c2, CASE r WHEN 'u' THEN more + c2 END) END AS b1,
+          CASE WHEN goes THEN 4 + c2 ELSE least(4 + c2, 3 + more + c3, CASE r WHEN 'a' THEN more + c3 END) END AS b2,
+          CASE WHEN goes THEN 4 + c3 ELSE least(4 + c3, 3 + more + c2, CASE r WHEN 'u' THEN more + c2 END) END AS b3
+        FROM b JOIN t ON t.g = b.g AND t.i = b.i)),
+j AS (SELECT g, i, unnest([0, 1, 2, 3]) AS s, unnest([c0, c1, c2, c3]) AS c FROM b),
+v AS (SELECT j.g, j.i, j.s, j.c, x.c AS behind, CASE WHEN j.s = 2 THEN j3.c3 ELSE j3.c2 END AS inserted, y.c0 AS y0, y.c1 AS y1, y.c2 AS y2, y.c3 AS y3, t.role, t.text, t.r, t.goes, t.more
+      FROM j JOIN b j3 ON j3.g = j.g AND j3.i = j.i LEFT JOIN j x ON x.g = j.g AND x.i = j.i + 1 AND x.s = j.s LEFT JOIN b y ON y.g = j.g AND y.i = j.i + 1 LEFT JOIN t ON t.g = j.g AND t.i = j.i + 1),
+a AS (SELECT *, CASE WHEN behind IS NOT NULL AND 4 + behind = c THEN 'D' WHEN 3 + inserted = c THEN 'I' WHEN behind IS NULL THEN NULL
+      WHEN NOT goes AND more + CASE WHEN s = 0 AND r = 's' THEN y1 WHEN s <> 2 AND r = 'u' THEN y2 WHEN s = 2 AND r = 'a' THEN y3 END = c THEN 'K' ELSE 'R' END AS edit FROM v),
+w AS (SELECT DISTINCT g, 0::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS lines FROM n
+      UNION ALL SELECT w.g, w.i + CASE edit WHEN 'I' THEN 0 ELSE 1 END, CASE WHEN edit = 'D' THEN w.s WHEN edit = 'K' AND r = 's' THEN 1 WHEN w.s = 2 THEN 3 ELSE 2 END, audit || edit,
+        CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, CASE WHEN w.s = 2 THEN 'assistant:' ELSE 'user:' END || CASE edit WHEN 'R' THEN text ELSE '' END) END
+      FROM w JOIN a ON a.g = w.g AND a.i = w.i AND a.s = w.s WHERE edit IS NOT NULL),
+h AS (SELECT w.g, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM w JOIN a ON a.g = w.g AND a.i = w.i AND a.s = w.s WHERE edit IS NULL),
+m AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(r) OVER (PARTITION BY g ORDER BY i) AS p FROM t) GROUP BY g),
+q AS (SELECT DISTINCT g, conv_id FROM o)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(c0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM q LEFT JOIN m USING (g) LEFT JOIN h USING (g) LEFT JOIN b ON b.g = q.g AND b.i = 0
+"""
