@@ -141,3 +141,10 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
   coalesce(c0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
 FROM q LEFT JOIN m USING (g) LEFT JOIN h USING (g) LEFT JOIN b ON b.g = q.g AND b.i = 0
 """
+
+#: Of pages with equal payloads, the one with the least page_id.
+PACKAGED_PAGES = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+n AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest, min(page_id) OVER (PARTITION BY payload) AS least, row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS nth FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN least END AS refers_to FROM n
+"""
