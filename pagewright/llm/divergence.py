@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import cut, shuffle_partitions, text_or_empty
 
-#: Letters of ASCII and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms: all of ASCII but its letters. Terms are the longest runs of other characters.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
 TOP_TERMS = 50
 _PRIOR = 5
@@ -37,11 +37,12 @@ def lower_ascii(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), n_docs (documents with it); a null term where a group's document has none."""
-    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.regexp_extract_all(lower_ascii(text_or_empty()), F.lit(TERM), F.lit(0)).alias("terms"))
+    """lang, source, term, n (occurrences), n_docs (documents with it), and rows with a null term that keep groups whose documents have none."""
+    # the matches of the pattern by what lies between them: Spark copies the whole text for each match that regexp_extract_all gives
+    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.split(lower_ascii(text_or_empty()), BETWEEN).alias("terms"))
     # a document's terms, once with and once without repeats, so that one count serves both
     both = rows.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    each = both.select("lang", "source", "once", F.explode_outer("terms").alias("term"))
+    each = both.select("lang", "source", "once", F.explode("terms").alias("term")).withColumn("term", F.nullif("term", F.lit("")))
     return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("once") == 0).alias("n"), F.count_if(F.col("once") == 1).alias("n_docs"))
 
 

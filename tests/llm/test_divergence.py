@@ -3,9 +3,11 @@ import re
 
 from pagewright.llm import divergence
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def brute(rows, min_docs, top):
-    terms = [(lang or "", source or "", re.findall(divergence.TERM, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))) for lang, source, text in rows]
+    terms = [(lang or "", source or "", re.findall(TERM, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))) for lang, source, text in rows]
     out = []
     for lang in {x[0] for x in terms}:
         own = [x for x in terms if x[0] == lang]
