@@ -8,7 +8,7 @@ import pytest
 from pagewright.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "conversations")
+TABLES = ("customer", "orders", "lineitem", "part", "events", "documents", "pages", "conversations", "labels", "embeddings")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
