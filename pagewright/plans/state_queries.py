@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.shared import scratch_path
+from pagewright.sinks.committed import records, write_committed
 from pagewright.sinks.ledger import UPLOADS, Ledger, archived, uploaded
 
 
@@ -28,3 +29,18 @@ def ledger_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     archived(ledger, files.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"))
     last = uploaded(ledger, first(files))
     return ledger.read(last.number).withColumn("version", F.lit(last.number))
+
+
+@query("""WITH d AS (SELECT lang, source, text, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents)
+SELECT lang AS folder, source || CASE WHEN r = 1 THEN '' ELSE ' (' || r || ')' END || '.txt' AS name, sha256(coalesce(text, '')) AS sha256, sha256(coalesce(text, '')) AS recorded FROM d""")
+def committed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of a language's folder under free names, as the folder and the records have them."""
+    root = scratch_path(spark, "documents")
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat_ws("/", "lang", "source").alias("plan"), F.col("doc_id").alias("number"), F.col("lang").alias("folder"), F.col("source").alias("stem"), F.lit(".txt").alias("suffix"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    write_committed(rows, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    parts = F.split("path", "/")
+    there = files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    named = records(spark, root).select(F.substring_index("name", "/", 1).alias("folder"), F.substring_index("name", "/", -1).alias("name"), F.col("sha256").alias("recorded"))
+    return there.join(named, ["folder", "name"], "full")
