@@ -10,6 +10,7 @@ from pagewright.session import table
 from pagewright.shared import scratch_path
 from pagewright.sinks.committed import records, write_committed
 from pagewright.sinks.ledger import UPLOADS, Ledger, archived, uploaded
+from pagewright.streaming import timers
 
 
 @query("""WITH f AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha, lang || '/' || source AS file, lang FROM documents),
@@ -44,3 +45,20 @@ def committed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.sha2("content", 256).alias("sha256"))
     named = records(spark, root).select(F.substring_index("name", "/", 1).alias("folder"), F.substring_index("name", "/", -1).alias("name"), F.col("sha256").alias("recorded"))
     return there.join(named, ["folder", "name"], "full")
+
+
+@query("""WITH p AS (SELECT event_type AS kind, user_id::VARCHAR AS id, date_diff('day', DATE '2024-01-01', ts::DATE) AS round, count(*)::VARCHAR AS body FROM events GROUP BY ALL),
+r AS (SELECT kind, round, row_number() OVER (PARTITION BY kind ORDER BY round) AS n FROM (SELECT DISTINCT kind, round FROM p)),
+q AS (SELECT p.*, r.n FROM p JOIN r USING (kind, round))
+SELECT q.kind, q.id, q.round, CASE WHEN b.id IS NULL THEN 'added' ELSE 'changed' END AS change, q.body FROM q LEFT JOIN q b ON b.kind = q.kind AND b.id = q.id AND b.n = q.n - 1 WHERE b.id IS NULL OR b.body <> q.body
+UNION ALL SELECT b.kind, b.id, r.round, 'gone', b.body FROM q b JOIN r ON r.kind = b.kind AND r.n = b.n + 1 LEFT JOIN q ON q.kind = b.kind AND q.id = b.id AND q.n = b.n + 1 WHERE q.id IS NULL""")
+def snapshot_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's users of a kind of event as a snapshot with their numbers of events, streamed: what was added, changed or gone since the day before."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    seen = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("id"), day.alias("round")).agg(F.count("*").cast("string").alias("body"))
+    inputs, outputs, state = (scratch_path(spark, f"differences-{x}") for x in ("in", "out", "state"))
+    rows = timers.in_buckets(seen, seen.select("kind", "round").distinct(), 8)
+    rows.write.parquet(inputs)
+    stream = timers.differences(spark.readStream.schema(rows.schema).parquet(inputs))
+    stream.writeStream.format("parquet").option("path", outputs).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(timers.CHANGE).parquet(outputs).select("kind", "id", "round", "change", "body")

@@ -13,20 +13,22 @@ from pagewright.workers import let_workers_import
 
 #: Fixed value: seconds between the attempts at a callback.
 CALLBACK_DELAYS = (2.0, 5.0)
-#: (url, body) -> status of the answer; raises OSError if there is none
-Post = Callable[[str, str], int]
+#: (url, body, idempotence key) -> status of the answer; raises OSError if there is none
+Post = Callable[[str, str, str], int]
 
 
 def deliver(rows: DataFrame, post: Post, delays: Sequence[float] = CALLBACK_DELAYS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """rows: url, id, body. (id, sent, attempts, reason): each is posted until its answer's status is below 400, with a wait between attempts; none raises."""
+    """rows: url, id, body, and a key if there is one. (id, sent, attempts, reason): each is posted until its answer's status is below 400, with a wait between attempts; none raises.
+
+    A task that is run again posts again: every attempt carries the row's key (its id, if there is no key), by which the service drops what it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sent, attempts, reasons = [], [], [], []
-            for url, own, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for url, own, body, key in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for attempt, delay in enumerate((*delays, None), 1):
                     try:
-                        status = post(url, body)
+                        status = post(url, body, key)
                         ok, reason = status < 400, "" if status < 400 else f"HTTP {status}"
                     except OSError as error:
                         ok, reason = False, type(error).__name__
@@ -40,7 +42,8 @@ def deliver(rows: DataFrame, post: Post, delays: Sequence[float] = CALLBACK_DELA
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(1).type), pa.array(sent, pa.bool_()), pa.array(attempts, pa.int32()), pa.array(reasons, pa.string())], names=["id", "sent", "attempts", "reason"])
 
     let_workers_import(rows.sparkSession)
-    return rows.select("url", "id", "body").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sent boolean, attempts int, reason string")
+    key = F.col("key") if "key" in rows.columns else F.col("id").cast("string")
+    return rows.select("url", "id", "body", key.alias("key")).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sent boolean, attempts int, reason string")
 
 
 def permission_bodies(changes: DataFrame, kind: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queue reports over a stream: a snapshot per batch, sent on a change or a heartbeat."""
+"""Queue reports over a stream: counts per profile, and reports that are due sent to a service."""
 
 from __future__ import annotations
 
@@ -7,18 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.records import queue_snapshot
+from pagewright.sinks.delivery import Post, deliver
 
 
-def reporter(send: Callable[[dict], None], now: Callable[[], float], heartbeat: float = 300.0) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over counts (profile, in_inbox, busy, failed, duplicates). A report that fails is sent again with the next batch."""
-    last: dict = {}
+def sender(url: str, post: Post) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over ``timers.queue_reports``: each report is posted, by tasks, with its queue and number as the key by which the service drops one that comes again."""
 
     def step(batch: DataFrame, number: int) -> None:  # noqa: ARG001
-        totals = {r["profile"] or "": r.asDict() for r in queue_snapshot(batch).collect()}  # a row per profile, of which there are a few
-        if totals != last.get("state") or now() - last["at"] >= heartbeat:
-            send(totals)
-            last.update(state=totals, at=now())
+        rows = batch.select(F.lit(url).alias("url"), F.col("number").alias("id"), F.col("state").alias("body"), F.concat_ws(":", "queue", "number").alias("key"))
+        failed = deliver(rows, post).where(~F.col("sent")).count()
+        if failed:
+            raise RuntimeError(f"{failed} reports could not be sent")  # the batch is tried again, under the same numbers
 
     return step
 

@@ -159,11 +159,17 @@ def test_gate(spark):
         assert [r.paused for r in got] == [False, True, True, True, True, True, True, True, True, False, False]
 
 
-def test_reports_on_change_or_heartbeat(spark):
-    sent, clock = [], [0.0]
-    step = queue.reporter(sent.append, lambda: clock[0], 10.0)
-    frame = lambda n: queue.counts(spark.createDataFrame([("p", "inbox")] * n, "profile string, kind string"))
-    for at, n in ((0, 1), (5, 1), (6, 2), (17, 2)):
-        clock[0] = float(at)
-        step(frame(n), at)
-    assert [x[""]["queued"] for x in sent] == [1, 2, 2]
+def test_reports_are_sent_with_their_number(spark, tmp_path):
+    def post(url, body, key):
+        if key == "q:3":
+            return 500
+        (tmp_path / key).write_text(f"{url} {body}")
+        return 200
+
+    step = queue.sender("http://x", post)
+    frame = lambda *numbers: spark.createDataFrame([("q", n, "{}") for n in numbers], "queue string, number long, state string")
+    step(frame(1, 2), 0)
+    step(frame(2), 0)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["q:1", "q:2"] and (tmp_path / "q:1").read_text() == "http://x {}"
+    got = queue.counts(spark.createDataFrame([("p", "inbox"), ("p", "inbox"), (None, "failed")], "profile string, kind string")).orderBy("profile").collect()
+    assert list(map(tuple, got)) == [(None, 0, 0, 1, 0), ("p", 2, 0, 0, 0)]

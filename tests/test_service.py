@@ -154,7 +154,8 @@ def test_recognition_by_cache_batch_and_service(spark):
 
 
 def test_callbacks_are_tried_again(spark, tmp_path):
-    def post(url, body):
+    def post(url, body, key):
+        assert key == {"first": "1", "third": "2", "never": "3", "down": "4"}[url]
         path = tmp_path / url
         n = len(path.read_text()) if path.exists() else 0
         path.write_text("x" * (n + 1))
