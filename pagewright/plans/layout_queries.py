@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.operators import layout
+from pagewright.operators import layout, tree
 from pagewright.operators.alignment import assign_words
 from pagewright.operators.merge import merge_lines
 from pagewright.plans.registry import query
@@ -171,3 +171,56 @@ def assign_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line as read, replaced or added, with its box, where two readings of a block differ."""
     return merge_lines(*_two_readings(spark, sf_dir), "block")
+
+
+def _page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document as a page of areas of eight lines, paragraphs of four, lines and words."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    n, top = F.col("n"), (F.col("n") * 10).cast("double")
+    area, paragraph = (F.floor(n / 8)).cast("int"), (F.floor(n / 4)).cast("int")
+    name = lambda kind, number: F.concat(F.lit(kind), number.cast("string"))
+
+    def level(rows: DataFrame, own, parent, place, kind: str, at, text=None) -> DataFrame:
+        return rows.select("page", own.alias("id"), parent.alias("parent"), place.cast("int").alias("place"), F.lit(kind).alias("kind"), at.alias("top"), (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+    words = lines.select("page", "n", F.posexplode(F.split("line", " ")).alias("i", "word"))
+    return (
+        level(lines.where("n = 0"), F.lit("p"), F.lit(None).cast("string"), F.lit(0), tree.PAGE, F.lit(0.0))
+        .unionByName(level(lines.where("n % 8 = 0"), name("a", area), F.lit("p"), area, "area", top))
+        .unionByName(level(lines.where("n % 4 = 0"), name("g", paragraph), name("a", area), paragraph, tree.PARAGRAPH, top))
+        .unionByName(level(lines, name("l", n), name("g", paragraph), n, tree.LINE, top))
+        .unionByName(level(words, F.concat_ws(".", name("w", n), F.col("i").cast("string")), name("l", n), F.col("i"), tree.WORD, top, F.col("word")))
+    )
+
+
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id AS page, (generate_subscripts(ls, 1) - 1)::INT AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+w AS (SELECT page, n, (generate_subscripts(ws, 1) - 1)::INT AS i, unnest(ws) AS word FROM (SELECT page, n, string_split(line, ' ') AS ws FROM l)),
+e AS (SELECT page, 'p' AS id, NULL::VARCHAR AS parent, 0 AS place, 'page' AS kind, 0 AS top, NULL::VARCHAR AS text FROM l WHERE n = 0
+  UNION ALL SELECT page, 'a' || (n // 8), 'p', n // 8, 'area', n * 10, NULL FROM l WHERE n % 8 = 0 UNION ALL SELECT page, 'g' || (n // 4), 'a' || (n // 8), n // 4, 'paragraph', n * 10, NULL FROM l WHERE n % 4 = 0
+  UNION ALL SELECT page, 'l' || n, 'g' || (n // 4), n, 'line', n * 10, NULL FROM l UNION ALL SELECT page, 'w' || n || '.' || i, 'l' || n, i, 'word', n * 10, word FROM w),
+up AS (SELECT page, id, parent FROM e WHERE kind = 'word' AND length(text) >= 6 UNION SELECT e.page, e.id, e.parent FROM up JOIN e ON e.page = up.page AND e.id = up.parent),
+ad AS (SELECT page, n, n // 4 AS g, n * 10 + 5 AS top, upper(string_split(line, ' ')[1]) AS text FROM l WHERE n % 8 = 1 UNION ALL SELECT page, n, n // 4, n * 10 - 15, lower(string_split(line, ' ')[1]) FROM l WHERE n % 8 = 6),
+hi AS (SELECT l.page, l.n // 4 AS g, min(l.n * 10) AS highest FROM l JOIN up ON up.page = l.page AND up.id = 'l' || l.n GROUP BY ALL),
+kept AS (SELECT w.page, w.n, string_agg(w.word, ' ' ORDER BY w.i) FILTER (w.word <> '') AS text FROM w JOIN up ON up.page = w.page AND up.id = 'w' || w.n || '.' || w.i GROUP BY ALL),
+tops AS (SELECT l.page, l.n // 8 AS area, l.n * 10 AS top FROM l WHERE l.n % 8 = 0 AND (EXISTS (SELECT 1 FROM up WHERE up.page = l.page AND up.id = 'a' || (l.n // 8)) OR EXISTS (SELECT 1 FROM ad WHERE ad.page = l.page AND ad.n // 8 = l.n // 8))),
+lo AS (SELECT doc_id AS page, 10 * len(string_split(coalesce(text, ''), chr(10))) / 2 AS top, lang || '|' || source AS text FROM documents),
+slot AS (SELECT lo.page, lo.text, coalesce(min(area) FILTER (tops.top > lo.top), max(area) + 1, 0) AS area FROM lo LEFT JOIN tops ON tops.page = lo.page GROUP BY ALL),
+o AS (SELECT page, [n // 8, 1, n // 4, 0, n] AS path, text FROM kept
+  UNION ALL SELECT ad.page, [n // 8, 1, ad.g, CASE WHEN highest < ad.top THEN 1 ELSE -1 END, n], text FROM ad LEFT JOIN hi ON hi.page = ad.page AND hi.g = ad.g
+  UNION ALL SELECT page, [area, 0, 0, 0, 0], text FROM slot)
+SELECT page, count(*) AS n_lines, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY path) || chr(10)) AS digest FROM o GROUP BY page""")
+def rebuilt_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without their short words, with a paragraph for the second and the seventh line of each area and a loose one, read in order."""
+    elements = _page_tree(spark, sf_dir)
+    drop = elements.where((F.col("kind") == tree.WORD) & (F.length("text") < 6)).select("page", "id")
+    firsts = elements.where((F.col("kind") == tree.WORD) & (F.col("place") == 0)).select("page", F.col("parent").alias("anchor"), (F.col("top") / 10).cast("int").alias("n"), "text")
+    second, seventh = F.col("n") % 8 == 1, F.col("n") % 8 == 6
+    new = firsts.where(second | seventh).select("page", "anchor", "n", F.when(second, F.upper("text")).otherwise(F.lower("text")).alias("text"), (F.col("n") * 10 + F.when(second, 5).otherwise(-15)).cast("double").alias("top"))
+    docs = table(spark, sf_dir, "documents")
+    loose = docs.select(F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("anchor"), F.lit(-1).alias("n"), F.concat_ws("|", "lang", "source").alias("text"), (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) * 5).cast("double").alias("top"))
+    both = new.unionByName(loose).withColumn("own", F.concat(F.lit("n"), F.col("n").cast("string")))
+    parts = F.array(*(F.struct(F.concat("own", F.lit(s)).alias("id"), F.concat("own", F.lit(p)).alias("parent") if p is not None else F.lit(None).cast("string").alias("parent"), F.lit(k).alias("kind"), (F.col("text") if k == tree.WORD else F.lit(None).cast("string")).alias("text")) for s, p, k in (("", None, tree.PARAGRAPH), ("l", "", tree.LINE), ("w", "l", tree.WORD))))
+    added = both.select("page", "anchor", "n", "top", F.explode(parts).alias("x")).select("page", "x.id", "x.parent", F.col("n").alias("place"), "x.kind", "top", "x.text", "anchor")
+    rebuilt = tree.rebuilt(elements, drop, added, "page")
+    counts = rebuilt.where(F.col("kind") == tree.LINE).groupBy("page").agg(F.count("*").alias("n_lines"))
+    return tree.text_of(rebuilt, "page").join(counts, "page").select("page", "n_lines", F.md5("text").alias("digest"))
