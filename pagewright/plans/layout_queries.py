@@ -199,7 +199,7 @@ e AS (SELECT page, 'p' AS id, NULL::VARCHAR AS parent, 0 AS place, 'page' AS kin
   UNION ALL SELECT page, 'a' || (n // 8), 'p', n // 8, 'area', n * 10, NULL FROM l WHERE n % 8 = 0 UNION ALL SELECT page, 'g' || (n // 4), 'a' || (n // 8), n // 4, 'paragraph', n * 10, NULL FROM l WHERE n % 4 = 0
   UNION ALL SELECT page, 'l' || n, 'g' || (n // 4), n, 'line', n * 10, NULL FROM l UNION ALL SELECT page, 'w' || n || '.' || i, 'l' || n, i, 'word', n * 10, word FROM w),
 up AS (SELECT page, id, parent FROM e WHERE kind = 'word' AND length(text) >= 6 UNION SELECT e.page, e.id, e.parent FROM up JOIN e ON e.page = up.page AND e.id = up.parent),
-ad AS (SELECT page, n, n // 4 AS g, n * 10 + 5 AS top, upper(string_split(line, ' ')[1]) AS text FROM l WHERE n % 8 = 1 UNION ALL SELECT page, n, n // 4, n * 10 - 15, lower(string_split(line, ' ')[1]) FROM l WHERE n % 8 = 6),
+ad AS (SELECT page, n, n // 4 AS g, n * 10 + 5 AS top, '>' || string_split(line, ' ')[1] AS text FROM l WHERE n % 8 = 1 UNION ALL SELECT page, n, n // 4, n * 10 - 15, '<' || string_split(line, ' ')[1] FROM l WHERE n % 8 = 6),
 hi AS (SELECT l.page, l.n // 4 AS g, min(l.n * 10) AS highest FROM l JOIN up ON up.page = l.page AND up.id = 'l' || l.n GROUP BY ALL),
 kept AS (SELECT w.page, w.n, string_agg(w.word, ' ' ORDER BY w.i) FILTER (w.word <> '') AS text FROM w JOIN up ON up.page = w.page AND up.id = 'w' || w.n || '.' || w.i GROUP BY ALL),
 tops AS (SELECT l.page, l.n // 8 AS area, l.n * 10 AS top FROM l WHERE l.n % 8 = 0 AND (EXISTS (SELECT 1 FROM up WHERE up.page = l.page AND up.id = 'a' || (l.n // 8)) OR EXISTS (SELECT 1 FROM ad WHERE ad.page = l.page AND ad.n // 8 = l.n // 8))),
@@ -215,7 +215,7 @@ def rebuilt_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop = elements.where((F.col("kind") == tree.WORD) & (F.length("text") < 6)).select("page", "id")
     firsts = elements.where((F.col("kind") == tree.WORD) & (F.col("place") == 0)).select("page", F.col("parent").alias("anchor"), (F.col("top") / 10).cast("int").alias("n"), "text")
     second, seventh = F.col("n") % 8 == 1, F.col("n") % 8 == 6
-    new = firsts.where(second | seventh).select("page", "anchor", "n", F.when(second, F.upper("text")).otherwise(F.lower("text")).alias("text"), (F.col("n") * 10 + F.when(second, 5).otherwise(-15)).cast("double").alias("top"))
+    new = firsts.where(second | seventh).select("page", "anchor", "n", F.concat(F.when(second, ">").otherwise("<"), "text").alias("text"), (F.col("n") * 10 + F.when(second, 5).otherwise(-15)).cast("double").alias("top"))
     docs = table(spark, sf_dir, "documents")
     loose = docs.select(F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("anchor"), F.lit(-1).alias("n"), F.concat_ws("|", "lang", "source").alias("text"), (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) * 5).cast("double").alias("top"))
     both = new.unionByName(loose).withColumn("own", F.concat(F.lit("n"), F.col("n").cast("string")))
