@@ -28,6 +28,26 @@ def nfc(text: Column) -> Column:
     return F.pandas_udf(_composed, StringType())(text)
 
 
+def _casefolded(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.casefold())
+
+
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.casefold().strip())
+
+
+def casefolded(text: Column) -> Column:
+    """Full case folding, which neither lower nor upper case is."""
+    let_workers_import()
+    return F.pandas_udf(_casefolded, "string")(text)
+
+
+def folded(text: Column) -> Column:
+    """A name as names are compared: case folded, without white space around it."""
+    let_workers_import()
+    return F.pandas_udf(_folded, "string")(text)
+
+
 def clip(text: Column) -> Column:
     """The longest beginning of at most MAX_STEM characters and MAX_STEM_BYTES bytes."""
 

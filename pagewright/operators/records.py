@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.functions.names import casefolded, folded
 from pagewright.operators.folds import fold
 
 
@@ -97,7 +98,34 @@ def first_error(pages: DataFrame, key: str) -> DataFrame:
 
 
 def name_conflicts(owned: DataFrame, shared: DataFrame) -> DataFrame:
-    """owned, shared: id, name. Owned objects whose name (in lower case, stripped) an object without owner has; of several the one with the greatest id."""
-    norm = lambda c: F.lower(F.trim(c))
-    top = shared.groupBy(norm(F.col("name")).alias("__n")).agg(F.max("id").alias("shared_id"))
-    return owned.withColumn("__n", norm(F.col("name"))).join(top, "__n", "left").drop("__n")
+    """owned, shared: id, name. Owned objects whose name (case folded, stripped) an object without owner has; of several the one with the greatest id."""
+    top = shared.groupBy(folded(F.col("name")).alias("__n")).agg(F.max("id").alias("shared_id"))
+    return owned.withColumn("__n", folded(F.col("name"))).join(top, "__n", "left").drop("__n")
+
+
+def shares_in_turn(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """objects: keys (a kind), id, place (in the service's list), name, owner, refused (whether the service won't take it for a reason of its own). Owned objects are shared one after another: what comes of one depends on those before.
+
+    (keys, id, shared, same_name_as): an object is shared unless the service refuses it or one of exactly its name has no owner by then. One that isn't shared names the last object of its folded name that is
+    without owner. Only objects of one folded name depend on each other, so a fold runs over those of each name, the ownerless ones first. A null name equals no other's."""
+
+    def step(state: tuple[frozenset[str], int | None], row: tuple) -> tuple[tuple[frozenset[str], int | None], tuple]:
+        (taken, last), (own, name, owned, refused) = state, row
+        if not owned:
+            return (taken | {name}, own), (None, None)
+        if refused or (name is not None and name in taken):
+            return state, (False, last)
+        return (taken | {name}, own), (True, None)
+
+    rows = objects.withColumns({"__name": folded(F.col("name")), "__owned": F.col("owner").isNotNull(), "__refused": F.coalesce("refused", F.lit(False))})
+    rows = rows.withColumn("__alone", F.when(F.col("__name").isNull(), F.col("id")))  # so that null names don't meet
+    rows = rows.select(*keys, "id", "place", "name", "__name", "__alone", "__owned", "__refused")
+    done = fold(rows, [*keys, "__name", "__alone"], ["__owned", "place", "id"], ["id", "name", "__owned", "__refused"], (frozenset(), None), step, {"shared": "boolean", "same_name_as": "long"})
+    return done.filter("__owned").select(*keys, "id", "shared", "same_name_as")
+
+
+def share_sets(objects: DataFrame, kind: str, readonly: list[str]) -> DataFrame:
+    """objects: kind, id, name, owner. Adds part: "protected" (tags whose folded name is among readonly), "owned" (others that have an owner and are to lose it), or "ownerless"."""
+    wanted = sorted({x.casefold() for x in readonly})
+    protected = (F.col(kind) == "tags") & F.coalesce(casefolded(F.col("name")).isin(*wanted), F.lit(False)) if wanted else F.lit(False)
+    return objects.withColumn("part", F.when(protected, "protected").when(F.col("owner").isNotNull(), "owned").otherwise("ownerless"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.operators import records as bookkeeping
 from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.shared import scratch_path
@@ -62,3 +63,20 @@ def snapshot_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = timers.differences(spark.readStream.schema(rows.schema).parquet(inputs))
     stream.writeStream.format("parquet").option("path", outputs).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(timers.CHANGE).parquet(outputs).select("kind", "id", "round", "change", "body")
+
+
+_NAMED = "SELECT lang AS kind, doc_id AS id, CASE WHEN n_chars > 500 THEN ' ' ELSE '' END || CASE WHEN n_chars > 300 THEN translate(left(text, 3), 'AEIOUST', 'aeioust') ELSE left(text, 3) END AS name, CASE WHEN source NOT IN ('src0', 'src1', 'src2') THEN source END AS owner, n_chars < 150 AS refused FROM documents WHERE text <> ''"
+
+
+@query(f"""WITH RECURSIVE o AS ({_NAMED}), n AS (SELECT *, replace(lower(trim(name, ' ' || chr(9) || chr(10))), 'ß', 'ss') AS folded FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY kind, folded ORDER BY owner IS NOT NULL, id) AS i FROM n),
+f AS (SELECT kind, folded, i, id, owner, CASE WHEN owner IS NULL OR NOT refused THEN [name] ELSE [] END AS taken, CASE WHEN owner IS NULL OR NOT refused THEN id END AS last, owner IS NULL OR NOT refused AS shared, NULL::BIGINT AS same_name_as FROM r WHERE i = 1
+  UNION ALL SELECT r.kind, r.folded, r.i, r.id, r.owner, CASE WHEN (r.owner IS NULL OR NOT (r.refused OR list_contains(f.taken, r.name))) THEN list_append(f.taken, r.name) ELSE f.taken END,
+    CASE WHEN (r.owner IS NULL OR NOT (r.refused OR list_contains(f.taken, r.name))) THEN r.id ELSE f.last END, r.owner IS NULL OR NOT (r.refused OR list_contains(f.taken, r.name)),
+    CASE WHEN r.owner IS NULL OR NOT (r.refused OR list_contains(f.taken, r.name)) THEN NULL ELSE f.last END FROM f JOIN r ON r.kind = f.kind AND r.folded = f.folded AND r.i = f.i + 1)
+SELECT kind, id, shared, coalesce(same_name_as, -1) AS same_name_as FROM f WHERE owner IS NOT NULL""")
+def shares_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as objects named by their first letters, shared one after another, where each that succeeds takes its name."""
+    name = F.concat(F.when(F.col("n_chars") > 500, " ").otherwise(""), F.when(F.col("n_chars") > 300, F.translate(F.left("text", F.lit(3)), "AEIOUST", "aeioust")).otherwise(F.left("text", F.lit(3))))
+    owner = F.when(~F.col("source").isin("src0", "src1", "src2"), F.col("source"))
+    objects = table(spark, sf_dir, "documents").where("text <> ''").select(F.col("lang").alias("kind"), F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), name.alias("name"), owner.alias("owner"), (F.col("n_chars") < 150).alias("refused"))
+    return bookkeeping.shares_in_turn(objects, ["kind"]).select("kind", "id", "shared", F.coalesce("same_name_as", F.lit(-1)).alias("same_name_as"))

@@ -47,3 +47,16 @@ def test_pitch_and_ink(spark):
     assert {r.k: r.pitch for r in layout.line_pitch(boxes, "k").collect()} == {1: 12.0, 2: 16.0}
     hist = spark.createDataFrame([(1, 255, 90), (1, 20, 10), (2, 30, 80), (2, 250, 20), (3, 200, 6), (3, 170, 2), (3, 100, 2)], "k int, value int, n int")
     assert {r.k: (r.dark, r.total) for r in layout.ink_coverage(hist, "k").collect()} == {1: (10, 100), 2: (80, 100), 3: (2, 10)}
+
+
+def test_shares_depend_on_those_before(spark):
+    rows = [  # kind, id, place, name, owner, refused
+        ("tags", 1, 0, "Straße", "a", False), ("tags", 2, 1, "STRASSE", "b", False), ("tags", 3, 2, "Straße", "c", False), ("tags", 4, 3, " strasse ", "d", True), ("tags", 5, 4, "strasse", "e", None),
+        ("tags", 6, 5, "Free", None, False), ("tags", 7, 6, "free", "a", True), ("tags", 8, 7, "Free", "a", False), ("tags", 9, 8, "Free", None, False),
+        ("types", 10, 0, "Straße", "a", True), ("types", 11, 1, None, "a", False), ("types", 12, 2, None, "a", False), ("types", 13, 3, None, "b", True),
+    ]
+    objects = spark.createDataFrame(rows, "kind string, id long, place int, name string, owner string, refused boolean")
+    got = {r.id: (r.shared, r.same_name_as) for r in records.shares_in_turn(objects, ["kind"]).collect()}
+    assert got == {1: (True, None), 2: (True, None), 3: (False, 2), 4: (False, 2), 5: (True, None), 7: (False, 9), 8: (False, 9), 10: (False, None), 11: (True, None), 12: (True, None), 13: (False, None)}
+    parts = {r.id: r.part for r in records.share_sets(objects, "kind", ["STRASSE", "x"]).collect()}
+    assert [i for i, p in parts.items() if p == "protected"] == [1, 2, 3, 5] and [i for i, p in parts.items() if p == "ownerless"] == [6, 9] and parts[10] == "owned" and parts[4] == "owned"
