@@ -4,6 +4,7 @@ The model sees hashed character n-grams of host and path and is trained from a s
 documented parameter (MOST_LABELLED rows, for the weights are fitted by passes over it). Training is full-batch gradient
 descent with momentum in one job: the table's n-grams, bounded by it, become two arrays of one row (the buckets of each url, the urls of each bucket),
 over which an aggregate makes the passes. The weights, one per bucket, reach the driver and are constants in the plan that judges.
+What the model carries over to sites whose subject it hasn't seen is what unwanted sites share: words that lure, how names are put together, endings and paths.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model like
 any other (an empty url has no n-grams: the bias alone decides). Repeated rows are judged one by one; of rules of one length the first in
@@ -33,77 +34,58 @@ MOMENTUM = 0.9
 
 _HOST, _PATH, _GRAMS, _FITS = (hidden(x) for x in ("host", "path", "grams", "fits"))
 
-#: A small labelled table of urls as crawls meet them, wanted and unwanted ones with hosts and paths of many shapes.
-_GOOD = """
-https://www.citylibrary.org/catalogue/search  https://archive.regional-museum.net/exhibits/1923/photographs.html  http://news.harbourtimes.com/2021/06/14/ferry-timetable-changes
-https://en.openwiki.org/wiki/Glacier  https://docs.buildtool.dev/en/latest/getting-started.html  https://www.university.edu/physics/courses/mechanics/lecture-07.pdf
-https://blog.gardenersclub.co.uk/planting-beans-in-may/  https://kochen.example.de/rezepte/kartoffelsuppe  https://www.mairie-ville.fr/services/etat-civil
-https://forum.cyclists.net/t/which-tyres-for-gravel/20417  http://weather.service.gov/forecast/coast/tomorrow  https://m.railway.info/de/fahrplan/3391
-https://shop.bookstore.com/product/atlas-of-birds?id=8831  https://www.hospital.org/patients/visiting-hours  https://journal.chemistry.org/articles/10.1002/anie.2019
-http://people.institute.edu/~miller/teaching/algebra/notes.html  https://www.parliament.gov/debates/2018-03-02  https://github-pages.example.io/project/readme
-https://www.schule-am-park.de/klasse/3b/termine  https://es.viajes.com/guia/granada/alhambra  https://support.printers.com/drivers/windows
-https://static.school.org/handbook/2020.pdf  https://www.theatre.org/programme/autumn  http://www.farmers-market.com/opening-times
-https://recipes.kitchen.com/bread/sourdough  https://history.society.org/medieval/charters/index.html  https://www.football-club.com/fixtures/42107
-https://podcast.science.fm/episodes/118  https://www.bank.com/en/accounts/savings  https://tickets.orchestra.org/en/concerts/90311.html
-https://maps.county.gov/parcels/77120  https://www.encyclopedia.com/people/explorers  https://questions.programming.com/questions/40218/how-to-sort-a-list
-https://www.zoo.ch/fr/animaux/12940  https://blog.travels.net/es/2210  https://www.newspaper.com/de/politik/50012.html
-https://wiki.hackerspace.org/projects/laser-cutter  https://www.architecture.it/progetti/torre  https://language.school.org/en/grammar/6612/
-http://old.village.net/chronicle/page3.htm  https://data.statistics.gov/tables/population  https://www.airline.com/en/baggage
-https://m.cinema.com/films/881  https://www.choir.org/en/rehearsals/1204  https://careers.engineering.com/jobs/10233
-https://read.novels.net/chapter/17  https://www.observatory.org/images/nebula  https://law.court.gov/opinions/2017/18-114
-https://www.charity.org/donate  https://help.photoshare.com/en/albums/create  https://lists.kernel-users.org/archive/2016-August/thread.html
-https://www.vet-clinic.com/advice/dogs  https://art.gallery.net/de/sammlung/30415  https://chess.club.org/games/1998
-https://www.waterworks.com/tariffs  http://parish.church.org/news  https://www.furniture.se/tables/oak
-"""
-_BAD = """
-https://www.royal-casino-bonus.com/play/slots  http://online-poker-room.net/welcome-offer  https://bet365-mirror.example.info/odds/live
-https://xxx-tube-videos.com/watch/4421  http://hotporn.example.net/category/milf  https://cheap-viagra-pills.org/order/now
-https://escort-girls-city.com/profiles/anna  http://free-cracked-software.net/download/keygen.exe  https://torrent-warez.to/browse/games
-https://replica-watches-outlet.com/rolex  https://payday-loans-fast.com/apply  http://win-a-free-phone.info/claim-prize
-https://best-jackpot-slots.net/free-spins  https://adult-cams-live.com/rooms  https://buy-followers-cheap.com/instagram
-http://secure-login-paypa1.verify-account.info/signin.php  https://nude-celebs.xyz/gallery/77  https://sportsbook-betting-tips.com/today
-http://weightloss-miracle-pills.com/buy  https://hookup-tonight.net/join  https://crypto-double-your-coins.io/invest
-http://roulette-systems.org/winning-strategy  https://sex-stories-adult.com/story/5120  https://generic-cialis-pharmacy.com/checkout
-https://serial-keys-crack.net/windows/activator  http://free-movie-torrents.com/dl/8812  https://megaslots-casino.bet/en/bonus
-https://xxxvideos.example.com/en/20418.html  https://poker-bonus-codes.example.org/de/3310  http://pills-without-prescription.net/fr/778
-https://casino-en-ligne.fr/jeux/machines-a-sous  https://sexkontakte-heute.de/anzeigen  https://apuestas-casino.es/ruleta
-https://get-rich-quick.biz/secret-method  http://clickbait-shock.com/you-wont-believe/11  https://malware-host.ru/payload/setup.exe
-https://hot-singles-near-you.com/chat  http://spin-and-win-jackpot.com/lobby  https://fake-diploma-shop.com/degrees
-https://porno-gratis.com/videos/9931  https://bingo-slots-online.co.uk/deposit  https://escorts-vip.net/booking
-http://warez-scene.org/releases  https://luxury-replica-bags.cn/sale  https://viagra-online-canada.com/shop
-https://instant-loans-no-check.com/form  https://live-betting-odds.com/football  http://xxx-cams.tv/girls
-https://game-cheats-hack.net/unlimited-coins  https://spam-offer-deal.info/click?id=3  http://phish-bank-login.com/update/password
-https://blackjack-casino-games.com/tables  https://adultdating-site.com/signup  https://torrentz-mirror.net/search
-https://penis-enlargement-pills.com/results  https://gambling-tips.bet/jackpot  http://keygen-crackz.org/serials
-https://sexshop-xxx.com/toys  https://work-from-home-cash.biz/start  https://free-nudes.club/leaked
-"""
-
-
-#: Words of hosts; each is put into all of _HOSTS, with paths that both kinds share, so that no path gives a kind away. Wanted sites are in the majority, as in a crawl.
+#: Words of the small labelled table's hosts: what unwanted and wanted sites are about, what both kinds put beside it, and syllables, two of which make a name such as most sites have: it says nothing, and the
+#: site is wanted. Wanted sites are in the majority, as in a crawl.
+_BAD_WORDS = """casino poker betting xxx porn escort viagra pills torrent warez crack jackpot payday replica clickbait malware slots roulette gambling webcam
+hookup sexchat nudes keygen phishing cialis bingo sportsbook spyware fakeid loans lottery steroids pharmacy serialkeys bitcoin forex followers ringtones tracker popup adware spam
+dating singles diploma watches handbags weightloss enlargement blackjack baccarat tramadol xanax milf hentai doubler giveaway survey""".split()
 _GOOD_WORDS = """library archive science museum school journal wiki recipes history health research garden weather council physics courses university hospital theatre
 railway harbour forest bakery orchestra cinema village farming geology cycling chess painting language grammar atlas travel mountain pottery hiking software printer
 furniture election newspaper astronomy football knitting camera kitchen dentist insurance airport charity parliament biology mathematics carpenter fishing sailing
 novels radio""".split()
-_BAD_WORDS = """casino poker betting xxx porn escort viagra pills torrent warez crack jackpot payday replica clickbait malware slots roulette gambling adultcams
-hookup sexchat nudes keygen phishing cialis bingo sportsbook spyware fakeid bets jackpots lottery-win cash-bonus pharmacy-deals""".split()
-#: Two of these make a name such as most sites have: it says nothing, and the site is wanted.
+_LURES = "free best cheap hot win live bonus online deals vip top fast instant 24 max super real club hub zone".split()
+_PLAIN = "city national public old north open local county royal little central modern west river green family young first society institute".split()
 _SYLLABLES = "an ber co da el fen gar her in jo kel lan mar nor on per qui ran sen tor um ver win xan yel zo ther ing tion and ble ess".split()
-_HOSTS = ("www.{}.com", "{}-online.net", "m.{}.org", "my{}club.info", "{}24.de", "blog.{}world.co.uk")
-_PATHS = ("/", "", "/en/{}", "/de/{}.html", "/fr/{}/", "/index.php?id={}", "/page/{}", "/2021/{}/item", "/list/all?page={}", "/es/{}", "/about-us", "/download/{}", "/view/{}/", "/en/{}/", "/t/{}")
+#: w and v are words of one kind, a and b what stands beside them, l a lure at a wanted site. Neither hyphens nor most paths give a kind away.
+_BAD_HOSTS = (
+    "{a}-{w}.com", "{w}-{a}.net", "{w}-{a}.example.org", "{a}{w}.info", "{w}{a}.org", "{a}-{w}-{b}.xyz", "{a}-{w}.example.net", "{w}-{a}.top", "{a}-{w}.example.com", "{w}-{b}.de", "{b}{w}.com", "{w}.bet", "{w}house.com",
+    "{a}-{w}-{v}.example.net", "{v}{w}-{a}.org",
+)
+_GOOD_HOSTS = (
+    "{w}.org", "{a}-{w}.com", "{w}.example.net", "{a}{w}.org", "{w}-{a}.de", "{a}-{w}.gov", "{w}{a}.net", "{w}.example.org", "my{w}.info", "{w}.{a}.edu", "{a}-{w}.example.org", "{w}world.co.uk", "{l}-{w}.org",
+    "{w}-{v}.example.net", "{w}{l}.com",
+)
+_NAMES = ("{}.com", "{}.example.net", "{}.org", "{}.example.org", "{}.info", "{}.de", "{}.example.com", "{}24.net")
+_BEFORE = ("", "www.", "m.", "blog.")
+_PATHS = ("/", "", "/en/{}", "/de/{}.html", "/fr/{}/", "/index.php", "/page/{}", "/2021/{}/item", "/list/all", "/es/{}", "/about-us", "/download/{}", "/view/{}/", "/en/{}/", "/t/{}")
+_BAD_PATHS = ("/free-{}", "/claim/{}", "/signup?aff={}", "/order-now/{}", "/play/{}", "/join", "/bonus/{}", "/go.php?id={}", "/deals/{}")
+#: Words of a kind are dealt out to so many groups: an url's words are of one, so that groups can be left out of training.
+WORD_GROUPS = 5
+
+
+def labelled_rows() -> list[tuple[str, int, int]]:
+    """(url, label, group): a label is 1 for unwanted ones."""
+
+    def url(i: int, j: int, host: str, paths: tuple[str, ...]) -> str:
+        return f"https://{_BEFORE[(i + j) % 4]}{host}{paths[(7 * i + j) % len(paths)].format((i * 7919 + j * 10007) % 60000)}"
+
+    rows = []
+    for label, words, beside, hosts in ((1, _BAD_WORDS, _LURES, _BAD_HOSTS), (0, _GOOD_WORDS, _PLAIN, _GOOD_HOSTS)):
+        whole = len(words) - len(words) % WORD_GROUPS
+        for i, word in enumerate(words):
+            for j, host in enumerate(hosts):
+                a, b = beside[(5 * i + 7 * j) % len(beside)], beside[(3 * i + 11 * j + 1) % len(beside)]
+                named = host.format(w=word, a=a, b=b, v=words[(i + WORD_GROUPS) % whole], l=_LURES[(5 * i + 3 * j) % len(_LURES)])
+                rows.append((url(i, j, named, _BAD_PATHS if label and (i + j) % 5 < 2 else _PATHS), label, i % WORD_GROUPS))
+    n = len(_SYLLABLES)
+    names = [_SYLLABLES[i] + _SYLLABLES[(i + step) % n] for step in (1, 5, 11, 19, 27) for i in range(n)]
+    rows += [(url(i, j, _NAMES[(i + 3 * j) % len(_NAMES)].format(name), _PATHS), 0, i % WORD_GROUPS) for i, name in enumerate(names) for j in range(4)]
+    return rows
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(url, label) for label, urls in ((0, _GOOD), (1, _BAD)) for url in urls.split()]
-
-    def site(i: int, k: int, word: str) -> str:
-        return f"https://{_HOSTS[k % len(_HOSTS)].format(word)}{_PATHS[(7 * i + k) % len(_PATHS)].format((i * 7919 + k * 10007) % 60000)}"
-
-    for label, words in ((0, _GOOD_WORDS), (1, _BAD_WORDS)):
-        rows += [(site(i, k, word), label) for i, word in enumerate(words) for k in range(len(_HOSTS))]
-    n = len(_SYLLABLES)
-    names = [_SYLLABLES[i] + _SYLLABLES[(i + step) % n] for step in (1, 5, 11, 19, 27) for i in range(n)]
-    rows += [(site(i, i + k, name), 0) for i, name in enumerate(names) for k in range(4)]
-    return spark.createDataFrame(rows, "url string, label int")
+    """The small labelled table: url, label."""
+    return spark.createDataFrame([(url, label) for url, label, _ in labelled_rows()], "url string, label int")
 
 
 def host_of(url: Column) -> Column:
