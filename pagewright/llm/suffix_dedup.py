@@ -282,7 +282,9 @@ def _marks(own: DataFrame, id_col: str) -> DataFrame:
 
     def from_texts(which: Column, make, schema: str) -> DataFrame:
         wanted = sorted_out.filter(which).groupBy(_CLASS).agg(F.collect_list(F.struct("key", "snip", "at", "copies")).alias("wanted"))
-        joined = base.join(wanted.join(reps, _CLASS).hint("shuffle_hash"), _CLASS)
+        # of copies of a text, the representative's row alone leaves the join; put so that it is no key, and the texts' exchange is the one that the result reads, too
+        stands = F.coalesce(F.col("doc_id") == F.col(_REP), F.col("doc_id").isNull() & F.col(_REP).isNull())
+        joined = base.join(wanted.join(reps, _CLASS).hint("shuffle_hash"), _CLASS).filter(stands)
         return joined.select("doc_id", _TEXT, _CHECK, _REP, "wanted").mapInArrow(make, schema)
 
     def ordered_runs(rows: DataFrame) -> DataFrame:
