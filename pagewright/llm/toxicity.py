@@ -263,10 +263,24 @@ def _score_batches(table: dict[str, float], weights: list[float], model: np.ndar
     give_back()
 
 
+def least_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows by order, whose first column is a hash. A bound for the hash, from the number of rows, leaves about as many in all partitions together; only these are sorted."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = 1.1 * most / n
+    while share < 1:
+        few = rows.filter(F.col(order[0]) <= int(share * 2**64) - 2**63)
+        if few.count() >= most:
+            return few.orderBy(*order).limit(most)
+        share *= 2
+    return rows.orderBy(*order).limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], list[float]]:
     """(toxicity of features, weights of the score)."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MOST_LABELLED)
+    sample = least_rows(usable.distinct().withColumn("hash", F.xxhash64("doc_id")), ["hash", "doc_id", "toxic"], MOST_LABELLED).drop("hash")
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # the sample has MOST_LABELLED rows of two numbers at most
     joined = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"]).select("text", "toxic", F.xxhash64("text").alias("hash"))
@@ -274,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_col: str = "
     try:
         known = drawn
         if drawn.count() > MOST_LABELLED:  # ids may repeat in docs: the sample's bound holds for texts, too
-            last = drawn.select("hash").orderBy("hash").limit(MOST_LABELLED).agg(F.max("hash")).first()[0]
+            last = least_rows(drawn.select("hash"), ["hash"], MOST_LABELLED).agg(F.max("hash")).first()[0]
             known = drawn.filter(F.col("hash") <= last)
         n, positive = known.agg(F.count("*"), F.sum("toxic")).first()
         if not n or positive in (0, n):

@@ -209,3 +209,17 @@ def test_long_texts_and_tokens():
     for i in range(300):
         scorer.top_two(f"word{i}" * 20)
     assert scorer.chars <= 10_200 and time.process_time() - began < 20
+
+
+def test_the_least_rows_without_a_sort_of_all(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 30_000, 1, 40).withColumn("hash", F.xxhash64("id"))
+    for most in (1, 500, 29_999, 30_000, 40_000):
+        want = sorted((r.hash, r.id) for r in rows.collect())[:most]
+        assert sorted((r.hash, r.id) for r in toxicity.least_rows(rows, ["hash", "id"], most).collect()) == want
+    few = toxicity.least_rows(rows, ["hash", "id"], 500)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan  # what partitions send is what the bound leaves
+    same = spark.range(2000).withColumn("hash", F.lit(2**62))
+    assert toxicity.least_rows(same, ["hash", "id"], 100).agg(F.max("id")).first()[0] == 99
