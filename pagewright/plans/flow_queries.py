@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.ranges import format_indices
 from pagewright.operators import segmentation as seg
-from pagewright.plans.page_queries import SEGMENTS, _marked_lines, _pages_sql, _review_sql
+from pagewright.plans.page_queries import LINES, SEGMENTS, _blank, _marked_lines, _pages_sql, _review_sql
 from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.sinks import plans
+from pagewright.sources.tables import line_pages
 from pagewright.streaming import gate, stability
 
 
@@ -77,3 +78,12 @@ def pause_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.when(kind == "error", "limit").when(kind == "purchase", "done").when(kind == "signup", "skip").otherwise("try")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("event_id").alias("n"), step.alias("step"))
     return gate.gate(rows, 86_400.0)
+
+
+@query(f"""WITH {LINES}, b AS (SELECT stack_id, index, {_blank()} AS blank FROM lines), k AS (SELECT * FROM b WHERE NOT blank), d AS (SELECT * FROM b WHERE blank), n AS (SELECT stack_id, count(*) AS page_count FROM b GROUP BY stack_id)
+SELECT n.stack_id, n.page_count, 'file ' || n.stack_id AS title, coalesce(kp.pages, '') AS pages, coalesce(dp.pages, '') AS dropped_pages, CASE WHEN kp.pages IS NULL THEN 'every page of the scan is blank' END AS problem
+FROM n LEFT JOIN {_pages_sql('k', 'stack_id', 'index', 'pages')} kp USING (stack_id) LEFT JOIN {_pages_sql('d', 'stack_id', 'index', 'pages')} dp USING (stack_id)""")
+def keep_name_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacks that keep their name: one document of all pages that aren't blank."""
+    pages = line_pages(spark, sf_dir)
+    return plans.keep_name_plans(pages, F.concat(F.lit("file "), F.col("stack_id").cast("string")), seg.is_blank())

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import text
+from pagewright.operators import segmentation as seg
 from pagewright.operators import service
-from pagewright.plans.page_queries import LINES
+from pagewright.plans.page_queries import _IMG, _STRIP, LINES, LONG_STEP, LONG_WINDOW, _blank, _marker
 from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.sinks import plans
-from pagewright.sources import files, raster
+from pagewright.sources import answers, files, raster
 from pagewright.sources.tables import line_pages
 
 _RETRY = "CASE event_id % 5 WHEN 0 THEN '90' WHEN 1 THEN 'soon' WHEN 2 THEN ' 500 ' WHEN 3 THEN '1' END"
@@ -42,17 +44,24 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(fresh.select("key", F.lit(False).alias("old")), "key", "left").select("o_orderkey", "answer", F.coalesce("old", F.lit(True)).alias("cached"))
 
 
-_MEMBERS = "SELECT stack_id, index, markdown, header, footer, index // 4 * 4 AS start FROM lines"
+_K, _N = (_marker("header", "markdown", "footer", g) for g in (1, 2))
+_CONTENT = f"""{LINES}, ct AS (SELECT *, row_number() OVER (PARTITION BY stack_id ORDER BY index) - 1 AS pos, count(*) OVER (PARTITION BY stack_id) AS n FROM lines WHERE NOT {_blank()}),
+sw AS (SELECT stack_id, n, unnest(list_distinct(CASE WHEN n <= 12 THEN [0] ELSE list_concat(range(0, n - 11, 6), [n - 12]) END)) AS start FROM (SELECT DISTINCT stack_id, n FROM ct)),
+tx AS (SELECT *, {_STRIP(f"regexp_replace(markdown, '{_IMG}', '[image]', 'g')")} AS t FROM ct),
+pg AS (SELECT stack_id, pos, struct_pack(page := index + 1, page_marker := {_K} || ' of ' || {_N}, header := nullif(left(trim(header), 300), ''), footer := nullif(left(trim(footer), 300), ''),
+  "text" := CASE WHEN length(t) <= 1600 THEN t ELSE left(t, 1200) || chr(10) || '[...]' || chr(10) || right(t, 400) END) AS x FROM tx)"""
 
 
-@query(f"""WITH {LINES}, m AS ({_MEMBERS}), p AS (SELECT stack_id, start, index, struct_pack(page := index + 1, page_marker := CASE WHEN index % 5 = 0 THEN '1 of 2' END, header := nullif(left(trim(header), 300), ''), footer := nullif(left(trim(footer), 300), ''), "text" := left(markdown, 40)) AS x FROM m)
-SELECT stack_id, start::INT AS start, md5(to_json(list(x ORDER BY index))::VARCHAR) AS payload FROM p GROUP BY stack_id, start""")
+@query(f"""WITH {_CONTENT} SELECT sw.stack_id, start::INT AS start, count(*) AS pages, md5(to_json(list(x ORDER BY pos))::VARCHAR) AS payload FROM sw JOIN pg ON pg.stack_id = sw.stack_id AND pos BETWEEN start AND start + 11 GROUP BY ALL""")
 def window_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model is asked about each window of pages: a digest of the JSON text."""
-    pages = line_pages(spark, sf_dir).withColumn("pos", F.col("index"))
-    members = pages.select("stack_id", (F.floor(F.col("pos") / 4) * 4).cast("int").alias("start"), "pos")
-    marker = F.when(F.col("index") % 5 == 0, "1 of 2")
-    return service.window_payloads(pages, members, marker, F.left("markdown", F.lit(40))).select("stack_id", "start", F.md5("payload").alias("payload"))
+    """What a model is asked about each of the overlapping windows of content pages: their excerpts, markers, headers and footers; a digest of the JSON text."""
+    pages = seg.content_positions(line_pages(spark, sf_dir))
+    members = seg.window_members(pages.select("stack_id", "n_content").distinct(), LONG_WINDOW, LONG_STEP)
+    mark = text.page_marker(F.col("header"), F.col("markdown"), F.col("footer"))
+    marked = pages.drop("n_content").withColumn("mark", mark)
+    marker = F.concat(F.col("mark.k").cast("string"), F.lit(" of "), F.col("mark.n").cast("string"))
+    made = service.window_payloads(marked, members.select("stack_id", "start", "pos"), marker, text.excerpt(F.col("markdown")))
+    return made.select("stack_id", "start", F.json_array_length("payload").cast("long").alias("pages"), F.md5("payload").alias("payload"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS stack_id, o_custkey % 3 AS n, o_orderkey % 4 AS k FROM orders)
@@ -211,3 +220,16 @@ def decisions_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on each page with its reason, as JSON text."""
     rows = line_pages(spark, sf_dir).select("stack_id", "index", (F.col("index") % 4 == 0).alias("starts_new"), F.lit(0.5).alias("confidence"), F.concat(F.lit("r "), F.col("index").cast("string")).alias("reason"))
     return plans.to_decisions(rows, "stack_id")
+
+
+_ANSWER = """CASE event_type WHEN 'view' THEN '{"custom_id":"u' || user_id || '","response":{"status_code":200,"body":' || props || '}}' WHEN 'click' THEN '{"custom_id":"u' || user_id || '","response":{"status_code":200,"body":[' || props || ']}}'
+  WHEN 'purchase' THEN '{"custom_id":"u' || user_id || '","response":{"status_code":200,"body":null}}' WHEN 'signup' THEN '{"custom_id":"u' || user_id || '","response":{"status_code":429,"body":' || props || '}}' ELSE '{"custom_id":"u' || user_id || '","response":' || props END"""
+
+
+@query(f"""WITH l AS (SELECT event_id, {_ANSWER} AS value FROM events), v AS (SELECT event_id, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM l)
+SELECT v->>'$.custom_id' AS custom_id, arg_max((v->>'$.response.body.k')::BIGINT, event_id) AS k, true AS is_object FROM v WHERE (v->>'$.response.status_code') = '200' AND json_type(v, '$.response.body') = 'OBJECT' GROUP BY 1""")
+def variant_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch job's lines as variants: broken ones, arrays, null bodies and refusals are left out, and the last answer to each request counts."""
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("number"), F.expr(_ANSWER).alias("value"))
+    found = answers.batch_answers(lines)
+    return found.select("custom_id", answers.field(F.col("body"), "$.k", "long").alias("k"), answers.is_object(F.col("body")).alias("is_object"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.names import unique_names
-from pagewright.functions.ranges import parse_pages
+from pagewright.functions.ranges import format_indices, parse_pages
 
 DOCUMENT = "pages string, title string, date string, issuer string, summary string, confidence double, needs_review boolean, review_reason string"
 PLAN = f"source string, source_sha256 string, page_count int, folder string, documents array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in DOCUMENT.split(', ')))}>>, dropped_pages string"
@@ -38,6 +38,17 @@ def from_plan(plans: DataFrame, key: str, json: str = "plan") -> DataFrame:
     )
 
 
+def keep_name_plans(pages: DataFrame, title: Column, blank: Column, drop_blank: bool = True) -> DataFrame:
+    """pages: stack_id, index. One document per stack under the file's own name, with the pages that aren't blank (all, unless drop_blank): (stack_id, page_count, title, pages, dropped_pages, problem).
+
+    Pages are ranges from 1; a stack without content has a problem and no pages. A stack's page numbers are one row's array, as its plan is one document's text."""
+    dropped = blank if drop_blank else F.lit(False)
+    indices = lambda which: F.array_sort(F.collect_set(F.when(which, F.col("index").cast("int"))))
+    rows = pages.withColumn("__gone", dropped).groupBy("stack_id").agg(F.count("*").alias("page_count"), indices(~F.col("__gone")).alias("kept"), indices(F.col("__gone")).alias("gone"))
+    none = F.size("kept") == 0
+    return rows.select("stack_id", "page_count", title.alias("title"), format_indices(F.col("kept")).alias("pages"), format_indices(F.col("gone")).alias("dropped_pages"), F.when(none, "every page of the scan is blank").alias("problem"))
+
+
 def review_report(docs: DataFrame, key: str, order: str) -> DataFrame:
     """docs: key, order, pages, name, confidence (text), needs_review, review_reason, n_pages. One table in Markdown per key, with what is flagged."""
     flag = F.when(F.col("needs_review"), F.concat(F.lit("⚠ "), F.col("review_reason"))).otherwise("")

@@ -173,3 +173,26 @@ def test_reports_are_sent_with_their_number(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["q:1", "q:2"] and (tmp_path / "q:1").read_text() == "http://x {}"
     got = queue.counts(spark.createDataFrame([("p", "inbox"), ("p", "inbox"), (None, "failed")], "profile string, kind string")).orderBy("profile").collect()
     assert list(map(tuple, got)) == [(None, 0, 0, 1, 0), ("p", 2, 0, 0, 0)]
+
+
+def test_answers_without_a_fixed_schema(spark):
+    from pagewright.sources import answers
+
+    lines = [
+        '{"custom_id":"a","response":{"status_code":200,"body":{"n":1,"deep":{"x":[1,2]}}}}', '{"custom_id":"b","response":{"status_code":200,"body":[1]}}', '{"custom_id":"c","response":{"status_code":200,"body":null}}',
+        '{"custom_id":"d","response":{"status_code":500,"body":{}}}', '{"custom_id":"e","response":', "", None, "[1,2]", '{"response":{"status_code":200,"body":{}}}', '{"custom_id":"f"}', '{"custom_id":"a","response":{"status_code":200,"body":{"n":"two"}}}', '{"custom_id":"g","response":{"status_code":"x","body":{}}}',
+    ]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "number int, value string")
+    got = answers.batch_answers(frame)
+    assert [(r.custom_id, r.j) for r in got.select("custom_id", F.to_json("body").alias("j")).collect()] == [("a", '{"n":"two"}')]
+    every = answers.batch_answers(frame.drop("number"))
+    assert {(r.n, r.x) for r in every.select(answers.field(F.col("body"), "$.n", "int").alias("n"), answers.field(F.col("body"), "$.deep.x[1]", "int").alias("x")).collect()} == {(1, 2), (None, None)}
+    assert "deep" in spark.range(1).select(answers.schema_of(every)).first()[0]
+
+
+def test_plans_that_keep_the_name(spark):
+    rows = [(1, i, b) for i, b in ((0, False), (1, True), (2, False), (3, False), (5, True))] + [(2, 0, True)]
+    pages = spark.createDataFrame(rows, "stack_id long, index int, blank boolean")
+    got = {r.stack_id: tuple(r)[1:] for r in plans.keep_name_plans(pages, F.lit("scan"), F.col("blank")).collect()}
+    assert got == {1: (5, "scan", "1, 3-4", "2, 6", None), 2: (1, "scan", "", "1", "every page of the scan is blank")}
+    assert {r.stack_id: r.pages for r in plans.keep_name_plans(pages, F.lit("scan"), F.col("blank"), False).collect()} == {1: "1-4, 6", 2: "1"}
