@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.config import Settings
 from pagewright.functions.ranges import format_indices
 from pagewright.operators import segmentation as seg
-from pagewright.plans.page_queries import LINES, SEGMENTS, _blank, _marked_lines, _pages_sql, _review_sql
+from pagewright.plans.page_queries import _IMG, _STRIP, LINES, SEGMENTS, _blank, _marked_lines, _pages_sql, _review_sql
 from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.sinks import plans
-from pagewright.sources.tables import line_pages
+from pagewright.sources.describe import describer
+from pagewright.sources.tables import conversation_pages, line_pages
 from pagewright.streaming import gate, stability
+from pagewright.workers import let_workers_import
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,3 +90,17 @@ def keep_name_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacks that keep their name: one document of all pages that aren't blank."""
     pages = line_pages(spark, sf_dir)
     return plans.keep_name_plans(pages, F.concat(F.lit("file "), F.col("stack_id").cast("string")), seg.is_blank())
+
+
+@query(f"""WITH p AS (SELECT conv_id AS stack_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS index, coalesce(text, '') AS markdown FROM conversations),
+t AS (SELECT stack_id, bool_or(role = 'system') AS known, string_agg('--- page ' || (index + 1) || ' ---' || chr(10) || {_STRIP(f"regexp_replace(markdown, '{_IMG}', '', 'g')")}, chr(10) || chr(10) ORDER BY index) AS x FROM p GROUP BY stack_id)
+SELECT stack_id, CASE WHEN known THEN 'known ' || stack_id ELSE trim(left(regexp_replace(regexp_extract(x, '^--- page [0-9]+ ---\n([^\n]*)', 1), '[^A-Za-z0-9 ]+', '', 'g'), 40)) END AS title, NOT known AS asked FROM t""")
+def described_by_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents described by a model as a table function in SQL: pages in, a record per document out; those with a system's turn have theirs already."""
+    pages = conversation_pages(spark, sf_dir)
+    known = pages.groupBy("stack_id").agg(F.bool_or(F.col("reason") == "role system").alias("known"))
+    record = F.when(F.col("known"), F.to_json(F.struct(F.concat(F.lit("known "), F.col("stack_id").cast("string")).alias("title"))))
+    rows = pages.join(known, "stack_id").select("stack_id", "index", "header", "markdown", "footer", record.alias("cached"))
+    let_workers_import(spark)
+    spark.udtf.register("describe_documents", describer())
+    return spark.sql(f"SELECT stack_id, title, asked FROM describe_documents(TABLE({{pages}}), {Settings.metadata_max_chars})", pages=rows)
