@@ -106,6 +106,12 @@ def unique_names(rows: DataFrame, folder: str, stem: str, order: str, suffix: st
     return made.filter("__own").select(*rows.columns, "name")
 
 
+def is_inside(folder: Column) -> Column:
+    """Whether a folder's name stays inside of the tree that it is put in: no absolute path, and no ".." that climbs above the root on the way."""
+    step = lambda depth, part: F.when(depth < 0, depth).when(part == "..", depth - 1).when(part.isin("", "."), depth).otherwise(depth + 1)
+    return ~F.startswith(folder, F.lit("/")) & (F.aggregate(F.split(folder, "/"), F.lit(0), step) >= 0)
+
+
 def normalize_date(value: Column) -> Column:
     """A real calendar date in ISO form, as text; else null."""
     own = strip(value)

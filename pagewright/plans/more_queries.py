@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.functions import names
 from pagewright.operators import layout, merge, records
 from pagewright.plans.layout_queries import BLOCKS, WORDS, _blocks, _two_readings, _words
 from pagewright.plans.page_queries import LINES
@@ -47,7 +48,7 @@ def single_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's own jobs, without what is private."""
     orders = table(spark, sf_dir, "orders")
-    caller = orders.agg(F.min("o_custkey")).first()[0]  # who asks
+    caller = orders.agg(F.min("o_custkey")).scalar()  # who asks
     return orders.filter(F.col("o_custkey") == caller).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("owner"), F.col("o_orderstatus").alias("status"))
 
 
@@ -67,10 +68,13 @@ def work_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat_ws("-", F.concat(F.lit("doc"), F.col("doc_id").cast("string")), sha)).alias("work"))
 
 
-@query("SELECT page_id, left('failed: ' || replace('GET ' || url || ' timed out', url, '<url>'), 300) AS error FROM pages")
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, coalesce(html, '') AS html FROM pages), e AS (SELECT page_id, host, 'GET ' || url || ' failed: ' || html AS message FROM p)
+SELECT page_id, left(CASE WHEN host = '' THEN message ELSE replace(message, host, '<host>') END, 300) AS error, md5(CASE WHEN host = '' THEN message ELSE replace(message, host, '<host>') END) AS whole FROM e""")
 def error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors without the address, which may be a secret."""
-    return table(spark, sf_dir, "pages").select("page_id", F.left(F.concat(F.lit("failed: "), F.replace(F.concat(F.lit("GET "), "url", F.lit(" timed out")), F.col("url"), F.lit("<url>"))), F.lit(300)).alias("error"))
+    """Errors with what a service sent, without its host, which may be a secret."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.concat(F.lit("GET "), "url", F.lit(" failed: "), F.coalesce("html", F.lit(""))).alias("message"))
+    safe = rows.select("page_id", F.when(F.col("host") == "", F.col("message")).otherwise(F.replace("message", F.col("host"), F.lit("<host>"))).alias("safe"))
+    return safe.select("page_id", F.left("safe", F.lit(300)).alias("error"), F.md5("safe").alias("whole"))
 
 
 @query("SELECT l_orderkey AS page, max(greatest(l_partkey % 300 + 72, l_suppkey % 300 + 72))::INT AS dpi FROM lineitem GROUP BY 1")
@@ -87,14 +91,15 @@ def inherited_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file", recognition.only_known(F.col("problems"), ["p1", "p2", "p3"]).alias("inherited"))
 
 
-@query("SELECT o_orderkey, o_custkey % 5 NOT IN (1, 3) AS inside FROM orders")
+_FOLDER = "replace(replace(replace(replace(regexp_replace(url, '^[a-z]+://', ''), 'www.', '/'), 'm.', '../'), 'blog.', './'), '/de/', '/x/../../../')"
+
+
+@query(f"""WITH f AS (SELECT page_id, {_FOLDER} AS folder FROM pages), s AS (SELECT page_id, folder, list_transform(string_split(folder, '/'), lambda x: CASE WHEN x = '..' THEN -1 WHEN x IN ('', '.') THEN 0 ELSE 1 END) AS steps FROM f)
+SELECT page_id, folder, NOT starts_with(folder, '/') AND list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]))) >= 0 AS inside FROM s""")
 def folder_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans may not name a folder outside of the output tree: no ".." that climbs above it, no absolute path."""
-    kind = F.col("o_custkey") % 5
-    folder = F.when(kind == 1, "a/../../b").when(kind == 3, "/etc").when(kind == 2, "a/../b").otherwise("a/b")
-    step = lambda depth, part: F.when(depth < 0, depth).when(part == "..", depth - 1).when(part.isin("", "."), depth).otherwise(depth + 1)
-    depth = F.aggregate(F.split("folder", "/"), F.lit(0), step)
-    return table(spark, sf_dir, "orders").withColumn("folder", folder).select("o_orderkey", (~F.startswith("folder", F.lit("/")) & (depth >= 0)).alias("inside"))
+    """Plans may not name a folder outside of the output tree; the folders are pages' addresses, some with parts that climb."""
+    rows = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", F.expr(_FOLDER).alias("folder"))
+    return rows.withColumn("inside", names.is_inside(F.col("folder")))
 
 
 @query()

@@ -138,13 +138,15 @@ def chunk_layout_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.complete_layouts(stacks, cached.select("stack_id", "size", "start"), 5)
 
 
-@query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars * 4 // 3 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-f AS (SELECT source, doc_id, size, i, 0 AS batch, size AS filled FROM r WHERE i = 1
-  UNION ALL SELECT r.source, r.doc_id, r.size, r.i, f.batch + CASE WHEN f.filled + r.size > 20000 THEN 1 ELSE 0 END, CASE WHEN f.filled + r.size > 20000 THEN r.size ELSE f.filled + r.size END FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1)
-SELECT source, doc_id, size, batch FROM f""")
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(coalesce(text, '')) * 4 // 3 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+f AS (SELECT conv_id, turn, size, i, 0 AS batch, size AS filled FROM r WHERE i = 1
+  UNION ALL SELECT r.conv_id, r.turn, r.size, r.i, f.batch + CASE WHEN f.filled + r.size > 1000 THEN 1 ELSE 0 END, CASE WHEN f.filled + r.size > 1000 THEN r.size ELSE f.filled + r.size END FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1)
+SELECT conv_id, i::INT AS place, size, batch FROM f""")
 def batch_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.floor(F.col("n_chars") * 4 / 3).cast("long").alias("size"))
-    return records.next_fit(rows, "source", "doc_id", "size", 20_000)
+    """The turns of each conversation packed into batches by their encoded size."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", place.alias("place"), F.floor(F.length(F.coalesce("text", F.lit(""))) * 4 / 3).cast("long").alias("size"))
+    return records.next_fit(rows, "conv_id", "place", "size", 1000)
 
 
 # -- queue, jobs, retention

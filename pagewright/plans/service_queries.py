@@ -13,7 +13,7 @@ from pagewright.plans.registry import query
 from pagewright.session import table
 from pagewright.sinks import plans
 from pagewright.sources import answers, files, raster
-from pagewright.sources.tables import line_pages
+from pagewright.sources.tables import conversation_pages, line_pages
 
 _RETRY = "CASE event_id % 5 WHEN 0 THEN '90' WHEN 1 THEN 'soon' WHEN 2 THEN ' 500 ' WHEN 3 THEN '1' END"
 
@@ -34,14 +34,14 @@ def rate_limited_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.spaced_starts(rows, "user_id", ["ts", "event_id"], "arrival", 43_200.0).select("user_id", "event_id", F.col("start").cast("long").alias("start"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderpriority AS said FROM orders), k AS (SELECT DISTINCT said FROM r)
-SELECT o_orderkey, 'answer to ' || said AS answer, starts_with(said, '1') OR starts_with(said, '2') AS cached FROM r""")
+@query("""WITH l AS (SELECT DISTINCT lang, coalesce(text, '') AS said FROM documents JOIN labels USING (doc_id)) SELECT doc_id, 'answer to ' || md5(d.lang || coalesce(text, '')) AS answer, l.said IS NOT NULL AS cached FROM documents d LEFT JOIN l ON l.lang = d.lang AND l.said = coalesce(text, '')""")
 def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests against a cache of answers: equal ones are asked once, cached ones never."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("said"), service.request_key(F.lit("model"), F.col("o_orderpriority")).alias("key"))
-    cache = rows.filter(F.col("said").rlike("^[12]")).dropDuplicates(["key"]).select("key", F.concat(F.lit("answer to "), "said").alias("answer"))
-    found, fresh = service.answered(rows, cache, lambda missing: missing.select("key", F.concat(F.lit("answer to "), "said").alias("answer")))
-    return found.join(fresh.select("key", F.lit(False).alias("old")), "key", "left").select("o_orderkey", "answer", F.coalesce("old", F.lit(True)).alias("cached"))
+    """Documents as requests against a cache, which holds answers to those with a label: equal ones are asked once, cached ones never."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", service.request_key(F.lit("model"), F.col("lang"), F.coalesce("text", F.lit(""))).alias("key"), F.md5(F.concat("lang", F.coalesce("text", F.lit("")))).alias("said"))
+    answer = F.concat(F.lit("answer to "), F.min("said")).alias("answer")
+    cache = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").groupBy("key").agg(answer)
+    found, fresh = service.answered(rows, cache, lambda missing: missing.groupBy("key").agg(answer))
+    return found.join(fresh.select("key", F.lit(False).alias("old")), "key", "left").select("doc_id", "answer", F.coalesce("old", F.lit(True)).alias("cached"))
 
 
 _K, _N = (_marker("header", "markdown", "footer", g) for g in (1, 2))
@@ -64,23 +64,27 @@ def window_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("stack_id", "start", F.json_array_length("payload").cast("long").alias("pages"), F.md5("payload").alias("payload"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS stack_id, o_custkey % 3 AS n, o_orderkey % 4 AS k FROM orders)
-SELECT stack_id, 0 AS start, i::INT AS index, (i + k) % 2 = 0 AS starts_new, CASE WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence, repeat('r', 200) AS reason FROM a, unnest(range(0, n)) AS u(i)""")
+@query("""WITH p AS (SELECT conv_id AS stack_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS index, role, coalesce(text, '') AS t FROM conversations)
+SELECT stack_id, 0 AS start, index::INT AS index, role = 'user' AS starts_new, greatest(0.0, least(1.0, (length(t) % 300 - 50) / 200.0::DOUBLE))::DOUBLE AS confidence, left(t, 200) AS reason FROM p WHERE role <> 'system'""")
 def window_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts out of a model's answers: pages that weren't asked about go, numbers are kept within bounds."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stack_id"), F.lit(0).alias("start"), (F.col("o_custkey") % 3).cast("int").alias("n"), (F.col("o_orderkey") % 4).alias("k"))
-    item = lambda i: F.struct((i + 1).alias("page"), ((i + F.col("k")) % 2 == 0).alias("starts_new_document"), F.when(F.col("k") == 0, 7.5).when(F.col("k") == 1, -1.0).otherwise(0.5).alias("confidence"), F.lit("r" * 250).alias("reason"))
-    answers = rows.select("stack_id", "start", F.to_json(F.struct(F.transform(F.sequence(F.lit(0), F.lit(5)), item).alias("pages"))).alias("answer"))
-    asked = rows.filter("n > 0").select("stack_id", "start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("index"))
-    return service.window_answers(answers, asked)
+    """Verdicts out of a model's answers about a conversation's turns: what it says of a system's turn, and of a page that isn't there, goes, numbers are kept within bounds, reasons are cut."""
+    pages = conversation_pages(spark, sf_dir)
+    item = F.struct((F.col("index") + 1).alias("page"), (F.col("reason") == "role user").alias("starts_new_document"), ((F.length("markdown") % 300 - 50) / F.lit(200.0)).alias("confidence"), F.col("markdown").alias("reason"))
+    beyond = F.struct((F.count("*") + 7).cast("int").alias("page"), F.lit(True).alias("starts_new_document"), F.lit(1.0).alias("confidence"), F.lit("not there").alias("reason"))
+    listed = F.array_append(F.collect_list(item), beyond)
+    answers_ = pages.groupBy("stack_id").agg(F.to_json(F.struct(listed.alias("pages"))).alias("answer")).select("stack_id", F.lit(0).alias("start"), "answer")
+    return service.window_answers(answers_, pages.where("reason <> 'role system'").select("stack_id", F.lit(0).alias("start"), "index"))
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'queued' WHEN 'F' THEN 'done' ELSE 'queued' END AS status, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS started_at FROM orders""")
+@query("""WITH j AS (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS kind, strftime(max(ts), '%Y-%m-%d') AS day FROM events GROUP BY 1)
+SELECT id, CASE kind WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status, CASE WHEN kind IN ('purchase', 'error') THEN day END AS started_at FROM j""")
 def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs after a restart."""
-    status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "done").otherwise("queued")
-    started = F.when(F.col("o_orderstatus") != "O", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return service.recovered(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), started.alias("started_at")))
+    """Users as jobs, in the state that their last event says, after a restart: those that ran wait again."""
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"))
+    kind = F.col("x.event_type")
+    status = F.when(kind == "view", "running").when(kind == "purchase", "done").when(kind == "error", "failed").otherwise("queued")
+    started = F.when(kind.isin("view", "purchase", "error"), F.date_format("x.ts", "yyyy-MM-dd"))
+    return service.recovered(last.select("id", status.alias("status"), started.alias("started_at")))
 
 
 @query("""WITH j AS (SELECT o_orderkey AS id, o_orderstatus AS s, strftime(o_orderdate, '%Y-%m-%d') AS c FROM orders), f AS (SELECT id FROM j WHERE s = 'O' ORDER BY c, id LIMIT 1)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 
 from pagewright.workers import let_workers_import
 
-_OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
+_OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b")
+_OBJECT_END = re.compile(rb"\bendobj")
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R")
 _SHOWN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\bT[jJdDm*]|\bBT|\bET|['\"]|-?\d*\.?\d+|\]|\[", re.S)
@@ -49,7 +50,11 @@ def _inflated(body: bytes) -> bytes:
 
 def _objects(data: bytes) -> dict[int, bytes]:
     """Bodies by number; the last one of a number counts, as later parts of a file update earlier ones."""
-    found = {int(m.group(1)): m.group(3) for m in _OBJECT.finditer(data)}
+    found: dict[int, bytes] = {}
+    at = 0
+    while (begin := _OBJECT.search(data, at)) and (end := _OBJECT_END.search(data, begin.end())):  # without an end behind it there is none behind any other
+        found[int(begin.group(1))] = data[begin.end() : end.start()]
+        at = end.end()
     for body in list(found.values()):
         if b"/ObjStm" in body:
             flat, n, first = _inflated(body), _number(body, b"/N"), _number(body, b"/First")

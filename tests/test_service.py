@@ -245,3 +245,14 @@ def test_watch_polls_and_shows_life(spark, tmp_path):
         spark.streams.removeListener(listener)
     assert ["a.pdf"] in seen and [] in seen and watch.alive(life, 60)
     assert not watch.alive(life, 60, now=lambda: time.time() + 100)
+
+
+def test_objects_without_an_end_take_linear_time():
+    import time
+
+    from pagewright.sources import pdf
+
+    began = time.perf_counter()
+    assert pdf._objects(b"1 0 obj " * 300_000) == {}
+    assert time.perf_counter() - began < 3
+    assert pdf._objects(b"1 0 obj a endobj 2 0 obj b 3 0 obj c endobj 1 0 obj d endobj 4 0 obj") == {1: b" d ", 2: b" b 3 0 obj c "}
