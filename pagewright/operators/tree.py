@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.shared import scratch_path
+from pagewright.shared import cut
 
 PAGE, PARAGRAPH, LINE, WORD = "page", "paragraph", "line", "word"
 #: Rounds of doubling: a tree deeper than 2^40 is none.
@@ -19,14 +19,24 @@ _MOST_ROUNDS = 40
 
 
 def lineages(elements: DataFrame, key: str) -> DataFrame:
-    """Adds lineage: (id, kind, place) of all elements from the page down to the row's own."""
-    spark = elements.sparkSession
-    own = F.array(F.struct("id", "kind", F.col("place").cast("double").alias("place")))
-    rows = elements.withColumns({"lineage": own, "__jump": F.col("parent")})
-    for number in range(_MOST_ROUNDS):
-        path = scratch_path(spark, "lineages")
-        rows.write.parquet(path)
-        rows = spark.read.parquet(path)
+    """Adds lineage: (id, kind, place) of all elements from the page down to the row's own.
+
+    Rounds are made for the elements that have others below them; leaves, by far the most, are joined to their parents once."""
+    own = F.struct("id", "kind", F.col("place").cast("double").alias("place"))
+    rows = elements.withColumn("lineage", F.array(own))
+    parents = elements.where(F.col("parent").isNotNull()).select(F.col(key).alias("__key"), F.col("parent").alias("__id")).distinct()
+    is_parent = (F.col(key) == F.col("__key")) & (F.col("id") == F.col("__id"))
+    inner = _doubled(rows.join(parents, is_parent, "left_semi"), key)
+    leaves = rows.join(parents, is_parent, "left_anti")
+    above = inner.select(F.col(key).alias("__key"), F.col("id").alias("__id"), F.col("lineage").alias("__above"))
+    hung = leaves.join(above, (F.col(key) == F.col("__key")) & (F.col("parent") == F.col("__id"))).withColumn("lineage", F.concat("__above", "lineage"))
+    return cut(inner.unionByName(leaves.where(F.col("parent").isNull())).unionByName(hung.select(*rows.columns)), "lineages")
+
+
+def _doubled(rows: DataFrame, key: str) -> DataFrame:
+    rows = rows.withColumn("__jump", F.col("parent"))
+    for _ in range(_MOST_ROUNDS):
+        rows = cut(rows, "round")
         if rows.where(F.col("__jump").isNotNull()).isEmpty():
             return rows.drop("__jump")
         there = rows.select(F.col(key).alias("__key"), F.col("id").alias("__id"), F.col("lineage").alias("__above"), F.col("__jump").alias("__next"))
@@ -72,14 +82,14 @@ def rebuilt(elements: DataFrame, drop: DataFrame, added: DataFrame, key: str) ->
     hosts = rooted.where(F.col("kind") == PARAGRAPH).select(key, F.col("id").alias("host"), "lineage")
     hosted = roots.join(lines.where(F.col("host").isNotNull()), [key, "anchor"]).join(hosts, [key, "host"])
     around = hosted.select(key, F.explode(F.slice("lineage", 1, F.size("lineage") - 1)["id"]).alias("id")).distinct()
-    left = left.unionByName(rooted.join(around, [key, "id"], "left_semi")).dropDuplicates([key, "id"])
+    left = cut(left.unionByName(rooted.join(around, [key, "id"], "left_semi")).dropDuplicates([key, "id"]), "left")
     heights = left.where(F.col("kind") == LINE).select(key, F.explode(F.filter("lineage", lambda x: x["kind"] == PARAGRAPH)).alias("p"), "top").groupBy(key, F.col("p.id").alias("host")).agg(F.min("top").alias("highest"))
     order = W.partitionBy(key, "host").orderBy("at_line", "place")
     sides = hosted.join(heights, [key, "host"], "left").withColumns({"nth": F.row_number().over(order).cast("double"), "first_top": F.first("top").over(order)})
     side = F.when(F.coalesce(F.col("highest") < F.col("first_top"), F.lit(False)), 1.0).otherwise(-1.0)
     above = F.slice("lineage", 2, F.greatest(F.size("lineage") - 2, F.lit(0)))  # between the page and the host
     own = F.concat(_steps(above), F.array(F.element_at("lineage", -1)["place"], side, "nth"))
-    anchored = sides.select(key, "root", "top", own.alias("path"))
+    anchored = cut(sides.select(key, "root", "top", own.alias("path")), "anchored")
 
     # the page's areas in order, what was put among them included; then paragraphs without a place, each before the first area that begins below it
     tops = left.where(F.size("lineage") == 2).select(key, "top", _steps(F.slice("lineage", 2, 1)).alias("path"))
@@ -107,7 +117,7 @@ def rebuilt(elements: DataFrame, drop: DataFrame, added: DataFrame, key: str) ->
     starts = numbered_paths(anchored.select(key, "root", "path")).unionByName(placed)
     below = new.select(key, F.element_at("lineage", 1)["id"].alias("root"), "id", "kind", "top", "text", line, _steps(F.slice("lineage", 2, F.greatest(F.size("lineage") - 1, F.lit(0)))).alias("rest"))
     fresh = below.join(starts, [key, "root"]).select(key, "id", "kind", "top", "text", "line", F.concat("path", "rest").alias("path"))
-    return old.unionByName(fresh)
+    return cut(old.unionByName(fresh), "tree")
 
 
 def text_of(tree: DataFrame, key: str) -> DataFrame:

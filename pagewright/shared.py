@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
+    """The frame as a table in the shared folder: made once however often it is read, and whole when executors are lost."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def mounted(path: str) -> str:
     """A path as the file system of the machine has it; other schemes can't be opened there."""
     parts = urlsplit(path)
