@@ -100,5 +100,5 @@ def test_run_gives_the_last_stage(spark):
 
 def test_every_query_runs(spark):
     found = llm.queries()
-    assert [n.split("_")[0] for n in found] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in found] == [f"op{i}" for i in range(1, 14)]
     assert quality.RULES
