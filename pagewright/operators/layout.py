@@ -89,8 +89,9 @@ def split_runs(words: DataFrame, keys: list[str], order: str, parts: Column) ->
 
 
 def vote_winners(votes: DataFrame) -> DataFrame:
-    """votes: page, word, line, place (one row per letter). The line with most votes for each word, the first voted for among equals."""
-    counted = votes.groupBy("page", "word", "line").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    """votes: page, word, line, place (one row per letter, or per run of n letters from a place on). The line with most votes for each word, the first voted for among equals."""
+    n = F.sum("n") if "n" in votes.columns else F.count("*")
+    counted = votes.groupBy("page", "word", "line").agg(n.alias("n"), F.min("place").alias("first"))
     best = F.row_number().over(W.partitionBy("page", "word").orderBy(F.col("n").desc(), "first"))
     return counted.withColumn("__r", best).filter("__r = 1").select("page", "word", "line", "n")
 
