@@ -210,6 +210,7 @@ def _known(path: str) -> _Known:
     return _stores[path]
 
 
+_RANKS = "byte_bpe_multi_50k.tiktoken"
 _DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -230,8 +231,8 @@ def _hashes(room: Ragged, numbers: np.ndarray, bounds: np.ndarray, behind: int)
     return out
 
 
-def _digest_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _known(path)
+def _digest_batches(path: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _known(path or public_tokenizers.path(_RANKS))  # where the worker has it
     for batch in batches:
         counts, ids, texts = [], [], []
         for part in slices(batch.column(1)):
@@ -247,14 +248,13 @@ def _digest_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: the number of ids, and sha256 of the ids in decimal, joined by commas, and of the bytes that they decode to."""
     let_workers_import(docs.sparkSession)
-    file = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _digest_batches(file, batches), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lambda batches: _digest_batches(path, batches), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _token_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _known(path)
+def _token_batches(path: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _known(path or public_tokenizers.path(_RANKS))  # where the worker has it
     for batch in batches:
         out = []
         for part in slices(batch.column(1)):
@@ -268,7 +268,6 @@ def _token_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its ids, as an array."""
     let_workers_import(docs.sparkSession)
-    file = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _token_batches(file, batches), f"doc_id {kind}, ids array<int>")
+    return rows.mapInArrow(lambda batches: _token_batches(path, batches), f"doc_id {kind}, ids array<int>")

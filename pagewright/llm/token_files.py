@@ -41,6 +41,7 @@ from pagewright.llm.pieces import PieceStore, Ragged, slices
 
 #: Distinct pieces that a worker remembers at most; then it starts anew.
 MOST_PIECES = 1_000_000
+_VOCABULARY = "byte_bpe_50k.json"
 
 
 class LibraryEncoder:
@@ -118,9 +119,9 @@ def _local(folder: str) -> str:
     return unquote(parts.path) if parts.scheme else folder
 
 
-def _write(folder: str, path: str, width: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, path: str | None, width: int, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    encode = _encoder(path, width)
+    encode = _encoder(path or public_tokenizers.path(_VOCABULARY), width)  # where the worker has it
     name, own = f"part-{part:05d}", f".{uuid.uuid4().hex}"
     sizes, ids, nulls = [np.zeros(1, np.int64)], [], []
     with open(f"{folder}/{name}.bin{own}", "wb") as out:
@@ -157,8 +158,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0
     """Encodes every text, ends it with end_id, and writes the set into folder."""
     spark = docs.sparkSession
     let_workers_import(spark)
-    file = path or public_tokenizers.path("byte_bpe_50k.json")
-    with open(file) as f:
+    with open(path or public_tokenizers.path(_VOCABULARY)) as f:
         model = json.load(f)
     most = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])])
     width, place = (2 if most < 1 << 16 else 4), _local(folder)
@@ -166,7 +166,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 0
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     # the text's beginning parts rows of one id, or without any, that a range by the id alone would leave in one task
     dealt = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id"), F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
-    made = dealt.mapInArrow(lambda batches: _write(place, file, width, end_id, batches), "part int, n_docs long, n_tokens long")
+    made = dealt.mapInArrow(lambda batches: _write(place, path, width, end_id, batches), "part int, n_docs long, n_tokens long")
     parts, base = [], 0
     for part, n, ids in sorted(map(tuple, made.collect())):  # one row per part
         parts.append((part, n, ids, base))
