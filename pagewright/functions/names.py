@@ -15,6 +15,8 @@ from pagewright.workers import let_workers_import
 # Limits and names that file systems reserve.
 MAX_STEM = 150
 MAX_STEM_BYTES = 200
+# Marks of format as of Unicode 15; Java's own class has those of its release.
+FORMAT_MARKS = r"[\p{Cf}\x{890}\x{891}\x{13430}-\x{1343F}]"
 RESERVED = ("CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9")
 
 
@@ -58,12 +60,13 @@ def clip(text: Column) -> Column:
     return once(text, longest)
 
 
-def sanitize(text: Column, compose: bool = True) -> Column:
-    """A name that every file system takes; empty if nothing is left. compose=False for text that is ASCII or composed."""
-    clean = F.regexp_replace(nfc(text) if compose else text, r"\p{Cf}", "")
+def sanitize(text: Column, compose: bool = True, reserved: bool = True) -> Column:
+    """A name that every file system takes; empty if nothing is left. compose=False for text that is ASCII or composed; reserved=False for a part of a name, which may be
+    one that file systems reserve."""
+    clean = F.regexp_replace(nfc(text) if compose else text, FORMAT_MARKS, "")
     clean = F.regexp_replace(clean, r'[<>:"/\\|?*\x00-\x1f]', " ")
     clean = F.btrim(F.regexp_replace(clean, rf"[{WHITE}]+", " "), F.lit(" ."))
-    named = once(clean, lambda t: F.when(F.upper(t).isin(*RESERVED), F.concat(F.lit("_"), t)).otherwise(t))
+    named = once(clean, lambda t: F.when(F.upper(t).isin(*RESERVED), F.concat(F.lit("_"), t)).otherwise(t)) if reserved else clean
     return F.rtrim(clip(named), F.lit(" ."))
 
 
