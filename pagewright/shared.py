@@ -29,13 +29,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(frame: DataFrame, name: str = "cut") -> DataFrame:
-    """The frame as a table in the shared folder: made once however often it is read, and whole when executors are lost."""
+def cut(frame: DataFrame, name: str = "cut", made: list[str] | None = None) -> DataFrame:
+    """The frame as a table in the shared folder: made once however often it is read, and whole when executors are lost. Its path is added to ``made``, for ``remove``."""
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def remove(spark: SparkSession, made: list[str]) -> None:
+    """Removes tables that nothing reads any more."""
+    while made:
+        Files(spark, path := made.pop()).remove(path)
+
+
 def mounted(path: str) -> str:
     """A path as the file system of the machine has it; other schemes can't be opened there."""
     parts = urlsplit(path)
