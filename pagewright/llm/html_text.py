@@ -8,8 +8,9 @@ White space is space, tab, line feed, form feed and carriage return; other contr
 
 The renderer collapses white space outside pre and textarea, starts blocks on lines of their own, sets paragraphs, headings, lists and tables off by
 an empty line, marks list items with "- " or their number and indents nested lists, and aligns table cells: each begins where its column does. A column
-is as wide as its widest cell, but no more than WIDEST; what follows a wider cell goes on the next line, at its own column. colspan and rowspan are heeded. A table that would be more than MOST_PADDED times
-as long as what is written in it (columns can pile up where cells reach down over many rows) isn't aligned: its cells stand two spaces apart, in the same order. So a page's text is a few times the page at most.
+is as wide as its widest cell, but no more than WIDEST; what follows a wider cell goes on the next line, at its own column. colspan and rowspan are heeded. A cell
+begins at most FARTHEST behind what stands before it on its line, of which at most MOST_HELD are for columns that rows above reach down into (they can pile up, one for each row), in tables of any size: where
+its columns are as wide, a row is laid out the same however many others follow. So a page's text grows with the page.
 
 A tag ends at its first ">" outside of a quoted value. From the first tag on that would then never end, quotes aren't heeded any more. So each
 byte is looked at a bounded number of times, whatever the page.
@@ -40,8 +41,11 @@ WIDEST = 80
 _MOST_ACROSS, _MOST_DOWN = 1000, 65534
 #: Columns that are kept free below cells that reach down; beyond them cells close up.
 _MOST_COLUMNS = 100_000
-#: The most that alignment may make of a table's own characters, with something for small tables.
-MOST_PADDED, _PADDING = 4, 1000
+#: The most blanks before a cell (six of the widest columns without text), and of these for columns that cells of rows above reach down into, whatever the table's size:
+#: such columns can pile up, one for each row.
+FARTHEST, MOST_HELD = 500, 100
+#: Characters of text after which a batch is passed on.
+_MOST_OUT = 8_000_000
 
 _NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
 # Only a value behind "=" is quoted.
@@ -488,38 +492,42 @@ class _Below:
         self.until[column:end] = self.row + down
 
 
-def _aligned(grid: list[list[tuple[int, list[str]]]], widths: dict[int, int], most: int) -> list[str] | None:
-    """Lines of rows whose cells begin where their columns do; none if they are longer than most."""
-    known, out, size = sorted(widths), [], 0
+def _aligned(grid: list[list[tuple[int, int, list[str]]]], widths: dict[int, int]) -> list[str]:
+    """Lines of rows (per cell: its column, the first column behind the cell before it, lines) whose cells begin where their columns do."""
+    known, out = sorted(widths), []
     starts = [0, *accumulate(widths[c] + 2 for c in known)]
-    for line in grid:
-        for k in range(max((len(lines) for _, lines in line), default=0)):
-            text = ""
-            for column, lines in line:
-                value = lines[k] if k < len(lines) else ""
+    for row in grid:
+        # a row's cells by the lines that they have, so that a long cell's lines don't pass the others again
+        written: dict[int, list[tuple[int, int, str]]] = {}
+        held = 0
+        for column, behind, lines in row:
+            start = starts[bisect_left(known, column)]
+            held += start - starts[bisect_left(known, behind)]
+            for k, value in enumerate(lines):
                 if value:
-                    start = starts[bisect_left(known, column)]
-                    if text and len(text) > start - 2:  # a wide cell, or one over several columns, is in the way
-                        out.append(text)
-                        text = ""
-                    size += max(0, start - len(text)) + len(value)
-                    if size > most:
-                        return None
-                    text = text.ljust(start) + value
-            if text:
-                out.append(text.rstrip(_SPACES))
+                    written.setdefault(k, []).append((start, held, value))
+        for k in sorted(written):
+            parts, size, before = [], 0, 0
+            for start, held, value in written[k]:
+                if parts and size > start - 2:  # a wide cell, or one over several columns, is in the way
+                    out.append("".join(parts).rstrip(_SPACES))
+                    parts, size, before = [], 0, 0
+                gap = max(0, start - size)
+                gap = min(gap - max(0, min(held - before, gap) - MOST_HELD), FARTHEST)
+                parts += (" " * gap, value)
+                size, before = size + gap + len(value), held
+            out.append("".join(parts).rstrip(_SPACES))
     return out
 
 
 def _table(captions: list[Node], rows: list[tuple[str, list[Node]]]):
-    grid: list[list[tuple[int, list[str]]]] = []  # per row: column, lines
+    grid: list[list[tuple[int, int, list[str]]]] = []  # per row: column, first column behind the cell before, lines
     below = _Below()
     widths: dict[int, int] = {}
-    written = 0
     for _, cells in rows:
         column, line = 0, []
         for cell in cells:
-            column = below.free(column)
+            behind, column = column, below.free(column)
             own = cell.get() if cell.attributes else {}
             across = min(max(1, _number(own.get("colspan"), 1)), _MOST_ACROSS)
             down = min(max(1, _number(own.get("rowspan"), 1)), _MOST_DOWN)
@@ -528,18 +536,14 @@ def _table(captions: list[Node], rows: list[tuple[str, list[Node]]]):
                 below.keep(column, across, down)
             if across == 1:
                 widths[column] = max(widths.get(column, 0), min(WIDEST, max(map(len, lines), default=0)))
-            written += sum(len(x) - x.count(" ") for x in lines)
-            line.append((column, lines))
+            line.append((column, behind, lines))
             column += across
         below.row += 1
         grid.append(line)
     out: list[str] = []
     for caption in captions:
         out += yield _lines(caption)
-    found = _aligned(grid, widths, MOST_PADDED * written + _PADDING)
-    if found is None:
-        found = ["  ".join(x[k] for _, x in line if k < len(x) and x[k]) for line in grid for k in range(max((len(x) for _, x in line), default=0))]
-    return out + [x for x in found if x]
+    return out + [x for x in _aligned(grid, widths) if x]
 
 
 def extract(page: str | None) -> str:
@@ -555,8 +559,13 @@ def extract(page: str | None) -> str:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(x.as_py()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(texts, pa.string())], names=["page_id", "n_chars", "text"])
+        begin, size, texts = 0, 0, []
+        for i in range(batch.num_rows):
+            texts.append(extract(batch.column(1)[i].as_py()))
+            size += len(texts[-1])
+            if size > _MOST_OUT or i + 1 == batch.num_rows:  # texts can be longer than their pages
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(map(len, texts), pa.int64()), pa.array(texts, pa.string())], names=["page_id", "n_chars", "text"])
+                begin, size, texts = i + 1, 0, []
 
 
 def texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

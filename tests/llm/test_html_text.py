@@ -135,6 +135,28 @@ def test_wide_cells_leave_all_columns_aligned():
     assert extract(page).split("\n") == [wide, " " * 82 + "b" + " " * 81 + "c", "a" + " " * 81 + wide, " " * 164 + "d", "e" + " " * 81 + "f" + " " * 81 + wide, "x" * 170, " " * 164 + "y"]
 
 
+@pytest.mark.parametrize("more", [0, 10, 1000])
+def test_rows_are_laid_out_alike_however_many_follow(more):
+    """A wide cell above rows whose first cell is empty: padding is many times what is written."""
+    page = "<table><tr><td>" + "w" * 80 + "<td>head" + "<tr><td><td>short" * (5 + more) + "</table>"
+    assert extract(page).split("\n") == ["w" * 80 + "  head"] + [" " * 82 + "short"] * (5 + more)
+
+
+def test_far_columns_are_bounded_at_any_size():
+    wide = "".join(f"<td>{'w' * 80}" for _ in range(20))
+    for n in (1, 500):
+        lines = extract(f"<table><tr>{wide}" + ("<tr>" + "<td>" * 4 + "four" + "<td>" * 15 + "last") * n + "</table>").split("\n")
+        assert lines[1:] == [" " * 246 + "four" + " " * 500 + "last"] * n
+
+
+def test_cells_that_reach_down_and_long_rows_take_linear_time():
+    for page in ("<table>" + "<tr><td rowspan=1000>x" * 45_000, "<table><tr>" + "<td>x" * 200_000, "<table><tr>" + "<td>" * 20_000 + "x<br>" * 100_000):
+        began = time.process_time()
+        text = extract(page)
+        assert time.process_time() - began < 12
+        assert text.count("x") == page.count("x") and len(text) < 100 * len(page)
+
+
 def test_time_grows_with_the_page():
     pages = ["<a" * 500_000, "<a '>' " * 150_000, "<a x='>' " * 110_000, "<a b=\"" * 150_000, "<!--" * 250_000, "</" * 500_000, "<p>" * 300_000, "<span>" * 80_000 + "<div>" * 80_000, "<table><td>" + "<i>" * 100_000 + "<li>" * 100_000, "&" * 1_000_000, "<ul><li>x" * 100_000, "x " * 500_000, "<td colspan=1000 rowspan=1000>" * 3000]
     for page in pages:
